@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyspark.llm import simhash
+from tallyspark.llm import simhash, substrings
 
 
 def queries() -> dict:
     return {
         "op5_simhash_golay": simhash.op5_simhash_golay,
+        "op10_substring_doubling": substrings.op10_substring_doubling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_substring_doubling": substrings.OP10_SQL}
