@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyspark.llm import simhash, substrings
+from tallyspark.llm import mixing, packing, simhash, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity_counterfactual": toxicity.op1_toxicity_counterfactual,
+        "op2_subset_sum_mixing": mixing.op2_subset_sum_mixing,
         "op5_simhash_golay": simhash.op5_simhash_golay,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op10_substring_doubling": substrings.op10_substring_doubling,
         "pipeline": corpus_pipeline.run,
     }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.common import shuffle_partitions, slices, split_words
 
@@ -129,11 +129,12 @@ def _positions(blobs: list[bytes] | None) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, found): of each row of ``docs`` (id, data) the start positions of windows that also start in a row with a smaller id.
+    """(id, found): of each row of ``docs`` (id, data, others) the start positions of windows that also start in a row with a smaller id.
 
     Level 1 takes runs of half the window's words. Of every ``window - half + 1`` neighbouring runs the one with
     the smallest hash is kept, so each window holds a kept run wherever it stands, at about a quarter of the rows.
-    Only runs that two documents share survive; level 2 extends these alone to all windows around them.
+    Only runs that two documents share survive; level 2 extends these alone to all windows around them. It takes all columns of
+    ``docs``, so that a later join of the same rows on id finds them shuffled already.
     """
     short = half(window)
     near = window - short + 1
@@ -167,8 +168,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if hashes:
                 yield from _blob_rows(np.concatenate(hashes), np.concatenate(docs_), np.concatenate(pos_), buckets, True)
 
-    level1 = _per_doc(_level(docs.mapInArrow(first, _BLOBS), False))
-    level2 = docs.join(level1, "id").select("id", "data", "found").mapInArrow(second, _BLOBS)
+    level1 = _per_doc(_level(docs.select("id", "data").mapInArrow(first, _BLOBS), False))
+    level2 = docs.join(level1, "id").select(*docs.columns, "found").mapInArrow(second, _BLOBS)
     return _per_doc(_level(level2, True))
 
 
@@ -180,16 +181,17 @@ def cover(n: int, positions: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): of each whole text the words that no window of an earlier document covers.
+def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, carried): of each whole text the words that no window of an earlier document covers.
 
     ``kept`` joins them by one space (binary, UTF-8). Null texts have no words. Rows that repeat a doc_id are the
-    same document and never remove each other's words. A null doc_id counts as larger than all others. Other
-    columns are not read.
+    same document and never remove each other's words. A null doc_id counts as larger than all others. ``carried`` is
+    a struct of the columns in ``carry``; other columns are not read.
     """
+    extra = F.struct(*[F.col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     last = 2**63 - 1
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), data.alias("data"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), data.alias("data"), extra.alias("carried"))
     found = repeated_windows(rows, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +211,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -
             ids = pc.if_else(pc.equal(ids, last), pa.scalar(None, pa.int64()), ids)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(found, "id", "left").select("id", "data", "found")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "data", 8 << 20):
+            for out in run(iter([b])):
+                yield pa.RecordBatch.from_arrays([*out.columns, b.column("carried")], [*out.schema.names, "carried"])
+
+    joined = rows.join(found, "id", "left").select("id", "data", "carried", "found")
+    kinds = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept binary").add("carried", rows.schema["carried"].dataType)
+    return joined.mapInArrow(whole, kinds)
 
 
 def op10_substring_doubling(spark, sf_dir) -> DataFrame:
