@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,15 +36,21 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORDS.findall(text.lower())) if text else set()
 
 
-def features(word: str) -> list[str]:
-    """A word and its longer beginnings, so that an ending that was not seen changes little."""
-    return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) >= n]]
+def features(word: str) -> list[int]:
+    """32-bit hashes of a word and its longer beginnings, so that an ending that was not seen changes little."""
+    return [zlib.crc32(f.encode()) for f in (word, *[f"{word[:n]}*" for n in PREFIXES if len(word) >= n])]
+
+
+def counted(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some words and in how many of them each is."""
+    ids = np.fromiter((f for w in words for f in features(w)), np.int64)
+    return np.unique(ids, return_counts=True)
 
 
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]
     _known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def score(self, text: str | None) -> float:
@@ -65,75 +72,56 @@ class Model:
         self.bias, self.weights, self._known = *state, {}
 
 
-def swaps(words: set[str], kinds=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """(term, other): each identity term of a sentence with each other term of its kind in its place."""
-    return [(t, o) for kind in kinds for t in kind if t in words for o in kind if o != t]
+def swaps(terms: Iterable[str], kinds=IDENTITY_TERMS) -> list[tuple[str, str]]:
+    """(term, other): each identity term of a text's sentences with each other term of its kind in its place."""
+    return [(t, o) for kind in kinds for t in kind if t in terms for o in kind if o != t]
 
 
-def train(rows: list[tuple[set[str], int, float]], kinds=IDENTITY_TERMS, l1: float = 0.0003, fairness: float = 1.0, min_docs: int = 3, max_share: float = 0.05, steps: int = 300) -> Model:
-    """Logistic regression over (words, label, weight of the row), by accelerated proximal gradient.
+def train(ids: list[np.ndarray], counts: list[np.ndarray], labels: list[int], terms: list[list[str]], kinds=IDENTITY_TERMS, l1: float = 0.0003, fairness: float = 1.0, min_docs: int = 3, max_share: float = 0.05, steps: int = 300) -> Model:
+    """Logistic regression over the features (``ids``, ``counts``) of labelled texts, by accelerated proximal gradient.
 
-    The loss is the weighted log loss, ``l1`` times the absolute weights, and ``fairness`` times the mean squared change of
-    the score when an identity term of a labelled sentence is swapped for another of its kind. Scores add up over words, so the
-    rest of the sentence cancels out of that change. Features in fewer than ``min_docs`` rows, or in more
-    than ``max_share`` of either label's rows, tell little and are left out. With one label only, the score is that label's share.
+    The loss is the log loss, either label weighing one half, ``l1`` times the absolute weights, and ``fairness`` times the mean
+    squared change of the score when an identity term of a labelled sentence (``terms``) is swapped for another of its kind.
+    Scores add up over words, so the rest of the sentence cancels out of that change. Features in fewer than ``min_docs`` texts, or
+    in more than ``max_share`` of either label's texts, tell little and are left out. With one label only, the
+    score is that label's share.
     """
-    y = np.array([r[1] for r in rows], float)
+    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
-        return Model(math.log(share / (1 - share)), {})
-    share = np.array([r[2] for r in rows], float)
-    share /= share.sum()
-    docs: tuple[dict, dict] = ({}, {})
-    for r in rows:
-        own = docs[r[1]]
-        for f in {f for w in r[0] for f in features(w)}:
-            own[f] = own.get(f, 0) + 1
-    most = [max(max_share * n, 1) for n in (len(y) - y.sum(), y.sum())]
-    count = [lambda f, d=d: d.get(f, 0) for d in docs]
-    names = sorted(f for f in docs[0].keys() | docs[1].keys() if count[0](f) + count[1](f) >= min_docs and (count[0](f) <= most[0] or count[1](f) <= most[1]))
-    index = {f: i for i, f in enumerate(names)}
-
-    def matrix(lists: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        col = np.array([i for x in lists for i in x], np.int64)
-        return row, col, np.array([v for x in lists for v in x.values()], float)
-
-    def counted(words) -> dict[int, float]:
-        out: dict[int, float] = {}
-        for w, sign in words:
-            for f in features(w):
-                if f in index:
-                    out[index[f]] = out.get(index[f], 0.0) + sign
-        return out
-
-    row, col, val = matrix([counted((w, 1.0) for w in r[0]) for r in rows])
-    change = [counted([(t, 1.0), (o, -1.0)]) for r in rows for t, o in swaps(r[0], kinds)]
-    crow, ccol, cval = matrix(change)
-    n, m, k = len(rows), len(names), len(change)
-
-    def dot(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, val * w[col], n)
+        base = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
+        return Model(math.log(base / (1 - base)), {})
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    row, flat, val = np.repeat(np.arange(len(y)), [len(x) for x in ids]), np.concatenate(ids), np.concatenate(counts).astype(float)
+    names, col = np.unique(flat, return_inverse=True)
+    seen = [np.bincount(col[y[row] == k], minlength=len(names)) for k in (0, 1)]
+    most = [max(max_share * (y == k).sum(), 1) for k in (0, 1)]
+    use = (seen[0] + seen[1] >= min_docs) & ((seen[0] <= most[0]) | (seen[1] <= most[1]))
+    own = use[col]
+    row, val, col = row[own], val[own], (np.cumsum(use) - 1)[col[own]]
+    names = names[use]
+    index = {int(f): i for i, f in enumerate(names)}
+    change = [(k, index[f], sign) for k, (t, o) in enumerate(p for x in terms for p in swaps(x, kinds)) for w, sign in ((t, 1.0), (o, -1.0)) for f in features(w) if f in index]
+    crow, ccol, cval = (np.array(c, t) for c, t in zip(zip(*change, strict=True) if change else [()] * 3, (np.int64, np.int64, float), strict=True))
+    n, m, k = len(y), len(names), int(crow.max()) + 1 if change else 0
+
+    def swapped(w: np.ndarray) -> np.ndarray:
+        d = np.bincount(crow, cval * w[ccol], k)
+        return fairness * 2 / k * np.bincount(ccol, cval * d[crow], m)
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-        p = 1 / (1 + np.exp(-np.clip(dot(w) + bias, -500, 500)))
-        e = share * (p - y)
+        z = np.bincount(row, val * w[col], n) + bias
+        e = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         g = np.bincount(col, val * e[row], m)
-        if k:
-            d = np.bincount(crow, cval * w[ccol], k)
-            g += fairness * 2 / k * np.bincount(ccol, cval * d[crow], m)
-        return g, float(e.sum())
+        return (g + swapped(w) if k else g), float(e.sum())
 
     v, top = np.ones(m) / max(m, 1) ** 0.5, 1.0
     for _ in range(20):  # the largest curvature, by power iteration
-        u = 0.25 * np.bincount(col, val * (share * (dot(v) + 0.1))[row], m)
-        if k:
-            u += fairness * 2 / k * np.bincount(ccol, cval * np.bincount(crow, cval * v[ccol], k)[crow], m)
+        u = 0.25 * np.bincount(col, val * (share * np.bincount(row, val * v[col], n))[row], m)
+        u = u + swapped(v) if k else u
         top = max(float(np.linalg.norm(u)), 1e-12)
         v = u / top
     step = 1 / (1.5 * top + 0.25)
-    base = float((share * y).sum())
-    w, bias, t = np.zeros(m), math.log(base / (1 - base)), 1.0
+    w, bias, t = np.zeros(m), 0.0, 1.0
     ahead, ahead_bias = w, bias
     for _ in range(steps):
         g, gb = gradient(ahead, ahead_bias)
@@ -142,14 +130,14 @@ def train(rows: list[tuple[set[str], int, float]], kinds=IDENTITY_TERMS, l1: flo
         t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         ahead, ahead_bias = new + (old - 1) / t * (new - w), new_bias + (old - 1) / t * (new_bias - bias)
         w, bias = new, new_bias
-    return Model(bias, {names[i]: float(w[i]) for i in np.flatnonzero(w)})
+    return Model(bias, {int(names[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = 3000, **options) -> Model:
     """Fits on the labelled rows of ``docs`` outside the held-out fold.
 
     ``rows_per_class`` (documented bound) rows of either label at most, those with the smallest hash of their id; both labels weigh the same.
-    Rows without a label, a text or an id are not used. Only the words of these rows reach the driver.
+    Rows without a label, a text or an id are not used. Only the hashed words of these rows reach the driver.
     """
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     h = F.xxhash64("doc_id")
@@ -158,17 +146,20 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         part = own.where(F.col("y") == y).orderBy(h, "doc_id").limit(rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
 
+    known = {t for kind in options.get("kinds", IDENTITY_TERMS) for t in kind}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = [sorted(words_of(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b.column("y")], ["words", "y"])
-
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(picked), "doc_id").select("text", "y").mapInArrow(run, "words array<string>, y int").toPandas()
-    got = found["y"].value_counts().to_dict()
-    rows = [(set(w), int(y), 1 / got[y]) for w, y in zip(found["words"], found["y"], strict=True)]
-    rows.sort(key=lambda r: (r[1], len(r[0]), sorted(r[0])[:8]))
-    return train(rows, **options)
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            ids, counts = zip(*map(counted, words), strict=True)
+            lists = [pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array([sorted(w & known) for w in words], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "ids", "counts", "terms"])
+
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids array<bigint>, counts array<int>, terms array<string>")
+    got = found.toArrow().sort_by("doc_id")
+    ids, counts = ([np.asarray(x.values) for x in got[c]] for c in ("ids", "counts"))
+    return train(ids, counts, got["y"].to_pylist(), got["terms"].to_pylist(), **options)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
