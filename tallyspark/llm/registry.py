@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyspark.llm import mixing, packing, simhash, substrings, toxicity
+from tallyspark.llm import blocksearch, language, licences, mixing, packing, rangejoin, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity_counterfactual": toxicity.op1_toxicity_counterfactual,
         "op2_subset_sum_mixing": mixing.op2_subset_sum_mixing,
+        "op3_language_backoff": language.op3_language_backoff,
+        "op4_rendezvous_sharding": sharding.op4_rendezvous_sharding,
         "op5_simhash_golay": simhash.op5_simhash_golay,
+        "op6_pivot_range_join": rangejoin.op6_pivot_range_join,
+        "op7_block_max_search": blocksearch.op7_block_max_search,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_licence_dice": licences.op9_licence_dice,
         "op10_substring_doubling": substrings.op10_substring_doubling,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_doubling": substrings.OP10_SQL}
+    return {"op7_block_max_search": blocksearch.OP7_SQL, "op9_licence_dice": licences.oracle_sql(), "op10_substring_doubling": substrings.OP10_SQL}

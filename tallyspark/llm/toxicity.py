@@ -133,7 +133,7 @@ def train(ids: list[np.ndarray], counts: list[np.ndarray], labels: list[int], te
     return Model(bias, {int(names[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = 3000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = 2000, **options) -> Model:
     """Fits on the labelled rows of ``docs`` outside the held-out fold.
 
     ``rows_per_class`` (documented bound) rows of either label at most, those with the smallest hash of their id; both labels weigh the same.
