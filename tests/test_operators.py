@@ -1,0 +1,109 @@
+from pyspark.sql import functions as F
+
+from tallyspark.functions import text
+from tallyspark.operators import alternatives, catalogue, costing, items, tables
+
+
+def values(spark, f, inputs, kind="string"):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(inputs)], f"i int, x {kind}")
+    return [r.y for r in df.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]
+
+
+def test_numbers(spark):
+    assert values(spark, text.number, ["QAR 1,250.50", "abc", "1.2.3", "-", "150-250", None]) == [1250.5, None, None, None, None, None]
+    assert values(spark, text.number_or_zero, ["abc", "7"]) == [0.0, 7.0]
+    assert values(spark, text.range_mid, ["150-250", "x", "9"]) == [200.0, None, None]
+    assert values(spark, text.round2, [2.675, 0.125, 2.345, 1.005, -0.125], "double") == [2.68, 0.13, 2.35, 1.00, -0.13]
+    assert values(spark, text.price_range, [100.0, None, 0.0], "double") == ["100-150", "Contact for price", "Contact for price"]
+
+
+def test_names(spark):
+    assert values(spark, text.clean_category, ["Open submenu (Chairs)", "Chairs (10)", "Toggle  View All Desks"]) == ["Chairs", "Chairs", "All Desks"]
+    assert values(spark, lambda c: text.clean_title(c, "Acme"), ["Acme Nova Chair - Buy Online", "Tufty-Time (new)"]) == ["Nova Chair", "Tufty-Time"]
+    assert values(spark, text.category_from_url, ["http://a.b/chairs/executive/x", "http://a.b/"]) == ["Chairs", "Products"]
+    assert values(spark, text.subcategory_from_url, ["http://a.b/chairs/executive/x", "http://a.b/"]) == ["Executive", None]
+    assert values(spark, text.product_id, ["/en/p/narbutas-parthos-acoustic-columns-20732680/"]) == ["20732680"]
+    assert values(spark, text.specifications, ["Desk 1600 x 800 x 750 mm, steel, black"])[0] == ["Dimensions: 1600 x 800 x 750 mm", "Materials: Steel", "Available Colors: Black"]
+    assert values(spark, text.listed, ["a, b;c ,"]) == [["a", "b", "c"]]
+    assert values(spark, text.strip_tags, ["<b>a&amp;b</b>\n c&lt;"]) == ["a&b c<"]
+
+
+def test_categories(spark):
+    got = values(spark, text.category, ["Executive chair, leather", "Executive table", "bar stool", "planter"])
+    assert [tuple(x) for x in got] == [("seating", "executive_chairs"), ("desking", "executive_desks"), ("seating", "task_chairs"), ("general", "general")]
+
+
+def test_lead_time(spark):
+    df = spark.createDataFrame([("budgetary", "Turkey"), ("high_end", "Turkey"), ("mid_range", "Italy"), ("high_end", "China")], "t string, c string")
+    assert [r[0] for r in df.select(text.lead_time(F.col("t"), F.col("c"))).collect()] == ["3-5 weeks", "5-7 weeks", "4-6 weeks", "6-10 weeks"]
+
+
+def test_costing(spark):
+    factors = costing.scenarios(spark, [("s", 20.0, 10.0, None, None, 2.0, None)])
+    cells = spark.createDataFrame([("d", 1, 1, "Unit Price", "100.00"), ("d", 1, 1, "Total", "TBA"), ("d", 1, 1, "Item", "100")], "doc_id string, table_id int, row_no int, header string, text string")
+    assert {r.header: r.text for r in costing.cost_cells(cells, factors).collect()} == {"Unit Price": "264.00", "Total": "TBA", "Item": "100"}
+    rows = spark.createDataFrame([(3.0, 100.0)], "qty double, unit_rate double")
+    assert costing.cost_items(rows, factors).first()["total"] == 792.0
+    total = spark.createDataFrame([("d", 1000.0)], "k string, total double")
+    assert tuple(costing.subtotal(total, ["k"]).first())[1:] == (1000.0, 50.0, 1050.0)
+    assert tuple(costing.subtotal(total, ["k"], 0.15).first())[1:] == (1000.0, 150.0, 1150.0)
+
+
+def test_generated(spark):
+    rows = spark.createDataFrame([("i", "seating", "x", 1.0, 100.0), ("j", "desking", "x", 1.0, 100.0)], "id string, category string, subcategory string, qty double, unit_rate double")
+    got = sorted((r.id, r.alt_rate) for r in alternatives.generated(rows, "budgetary").collect())
+    assert got == [("i", 63.0), ("i", 70.0), ("i", 77.0), ("j", 63.0)]
+
+
+def test_markdown(spark):
+    docs = spark.createDataFrame([("d", "|A|B|\n|--|--|\n|1|2|\n|3||\ntext\n|C|D|\n|5|6|"), ("e", "| only one |")], "doc_id string, md string")
+    rows = sorted((r.table_idx, r.row_idx, r.cells) for r in tables.markdown_grid(docs).collect())
+    assert rows == [(0, 0, ["A", "B"]), (0, 1, ["1", "2"]), (1, 0, ["C", "D"]), (1, 1, ["5", "6"])]
+    assert tables.markdown_grid(docs, blank_cells="keep").count() == 5
+
+
+def test_html(spark):
+    docs = spark.createDataFrame([("d", "<table><tr><th>A</th></tr><tr><td><b>1</b></td></tr></table>")], "doc_id string, html string")
+    assert [r.cells for r in tables.html_grid(docs).orderBy("row_idx").collect()] == [["A"], ["1"]]
+
+
+def test_merge_pages(spark):
+    rows = [("d", 1, 0, ["A", "B"]), ("d", 2, 0, ["", ""]), ("d", 3, 0, ["7", "QAR 50"]), ("d", 5, 0, ["A", "B"])]
+    got = tables.merge_pages(spark.createDataFrame(rows, "doc_id string, page int, table_idx int, headers array<string>")).orderBy("page").collect()
+    assert [(r.merged_id, r.header_is_data) for r in got] == [(1, False), (1, False), (1, True), (2, False)]
+
+
+def test_serial_order(spark):
+    df = spark.createDataFrame([(1, "3"), (2, ""), (3, "1")], "pos int, sn string").withColumns({"k": F.lit(1), "n": tables.serial(F.col("sn"))})
+    assert [r.sn for r in tables.sort_by_serial(df, ["k"], F.col("n"), "pos").orderBy("sorted_no").collect()] == ["1", "3", ""]
+    assert [r.sn for r in tables.sort_numbered_slots(df, ["k"], "n", "pos").orderBy("sorted_no").collect()] == ["1", "", "3"]
+
+
+def test_continuations(spark):
+    rows = [(1, "1", "Desk", "2", "5"), (2, "", "with drawer", "", ""), (3, "", "Total", "", "10")]
+    df = spark.createDataFrame(rows, "pos int, serial string, description string, qty string, price string").withColumn("k", F.lit(1))
+    got = tables.merge_continuations(df, ["k"], "pos").orderBy("item_id").collect()
+    assert [(r.description, r.qty) for r in got] == [("Desk with drawer", "2"), ("Total", None)]
+
+
+def test_catalogue_rules(spark):
+    df = spark.createDataFrame([("u", "Chairs", None, 1, "M"), ("u", "Chairs", "Task", 2, "M"), (None, "x", "y", 3, "N")], "source_url string, category string, subcategory string, position int, model string")
+    assert [r.subcategory for r in catalogue.one_per_url(df).collect()] == ["Task"]
+    assert [r.subcategory for r in catalogue.tree(df.where("position < 3")).collect()] == ["Task"]
+    cols = spark.createDataFrame([("Seating > Task",), ("Sofas\n10 Products",)], "collection string")
+    assert [(r.category, r.subcategory) for r in catalogue.split_collections(cols).collect()] == [("Seating", "Task"), ("Sofas", "general")]
+    prices = spark.createDataFrame([("M", 1.0, 1), ("m ", 2.0, 2)], "name string, price double, row_no int")
+    assert {r.price for r in catalogue.reprice(df.withColumn("price", F.lit(9.0)), prices).where("model = 'M'").collect()} == {2.0}
+    reg = spark.createDataFrame([("Acme", "high_end", "a", "x", "d0", "d0")], "name string, tier string, website string, country string, added_date string, updated_date string")
+    new = reg.select(F.lit("ACME").alias("name"), "tier", F.lit("b").alias("website"), F.lit(None).cast("string").alias("country"), F.lit("d1").alias("added_date"), F.lit("d1").alias("updated_date"))
+    once = catalogue.upsert_brands(reg, new)
+    assert tuple(once.select("name", "website", "country", "added_date", "updated_date").first()) == ("Acme", "b", "x", "d0", "d1")
+    assert catalogue.upsert_brands(once, new).exceptAll(once.select("name", "tier", "website", "country", "updated_date", "added_date")).count() == 0
+
+
+def test_images(spark):
+    rows = spark.createDataFrame([("d", 1, 0), ("d", 1, 1), ("d", 2, 0)], "doc_id string, page int, row_idx int")
+    images = spark.createDataFrame([("d", 1, "a", 90.0, 90.0), ("d", 1, "b", 10.0, 10.0), ("d", 2, "c", 5.0, 5.0), ("d", 2, "e", 50.0, 50.0)], "doc_id string, page int, img_id string, y0 double, y1 double")
+    assert {r.img_id: r.global_row for r in items.images_by_rank(images, rows).collect()} == {"b": 0, "a": 1, "c": 2}
+    boxes = spark.createDataFrame([("d", 1, 0, 0.0, 20.0), ("d", 1, 1, 80.0, 100.0)], "doc_id string, page int, row_idx int, y0 double, y1 double")
+    assert {r.img_id: r.row_idx for r in items.images_by_overlap(images.where("page = 1"), boxes).collect()} == {"a": 1, "b": 0}
