@@ -12,6 +12,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +21,18 @@ from tallyspark.llm.common import slices, written
 CAPACITY = 2048
 #: Rows of one length are numbered in so many separate groups.
 GROUPS = 1024
-_RUNS = re.compile(r" \s|\s ")
+#: A space between two other characters; the class holds all white space that the tokenizer's pattern knows.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_RUNS = "(?: [{0}]|[{0}] )".format(r"\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+#: Places inside a piece over which nothing merges: a letter before punctuation or a new line, and behind a lone new line.
+_PARTS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?\n])|(?<=\S\n)(?=\S)")
 
 
 class Encoder:
-    """Whole texts to little-endian 32-bit ids. Byte-level BPE never merges over a single space between two
-    other characters, so texts are cut there and each piece is encoded once as long as it is remembered."""
+    """Whole texts to token ids. Byte-level BPE never merges over a single space between two other
+    characters, so texts are cut there and each piece is encoded once as long as it is remembered."""
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,30 +40,43 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.remember, self.young, self.old = remember, {}, {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            if not t or _RUNS.search(t):
-                cut.append(t or "")
-            else:
-                first, *rest = t.split(" ")
-                cut.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        whole = iter(self._encode([c for c in cut if isinstance(c, str)]))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Two generations of pieces are kept, so what is in use stays."""
         if len(self.young) > self.remember:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = {p for c in cut if not isinstance(c, str) for p in c if p not in young}
-        for p in new & old.keys():
-            young[p] = old[p]
-        new = [p for p in new if p not in young]
+        new = [p for p in dict.fromkeys(pieces) if p not in young]
+        young.update((p, old[p]) for p in new if p in old)
+        cut = {p: _PARTS.split(p) for p in new if p not in young}
+        new = [q for q in dict.fromkeys(q for parts in cut.values() for q in parts) if q not in young]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            young.update(zip(part, self._encode(part), strict=True))
-        return [next(whole) if isinstance(c, str) else b"".join(map(young.__getitem__, c)) for c in cut]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            young.update((q, np.array(x.ids, "<u4").tobytes()) for q, x in zip(part, found, strict=True))
+        young.update((p, b"".join([young[q] for q in parts])) for p, parts in cut.items() if len(parts) > 1)
+        return [young[p] for p in pieces]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (one more than there are texts)."""
+        cut = pc.split_pattern(texts, " ")
+        runs = pc.match_substring_regex(texts, _RUNS)
+        if runs.true_count:
+            others = pa.array([_CUT.split(t) for t in texts.filter(runs).to_pylist()], cut.type)
+            order = np.argsort(np.r_[np.flatnonzero(~np.asarray(runs)), np.flatnonzero(runs)])
+            cut = pa.concat_arrays([cut.filter(pc.invert(runs)), others]).take(pa.array(order))
+        words = cut.flatten().dictionary_encode()
+        firsts = np.r_[0, np.cumsum(pc.list_value_length(cut).to_numpy())][:-1]
+        # A piece has its space before it, but for the first one of a text.
+        codes = words.indices.to_numpy().astype(np.int64)
+        first_codes, at = np.unique(codes[firsts], return_inverse=True)
+        codes[firsts] = len(words.dictionary) + at
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        pieces = self._pieces([" " + w for w in known] + [known[c] for c in first_codes])
+        ends = np.cumsum([len(x) // 4 for x in pieces])
+        table = pa.ListArray.from_arrays(np.r_[0, ends].astype(np.int32), np.frombuffer(b"".join(pieces), "<u4"))
+        ids = table.take(pa.array(codes))
+        counts = np.add.reduceat(pc.list_value_length(ids).to_numpy(), firsts, dtype=np.int64)
+        return ids.flatten().to_numpy(), np.r_[0, np.cumsum(counts)]
 
 
 @cache
@@ -71,13 +89,14 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for b in slices(batches, "data", 2 << 20):
+        for b in slices(batches, "data", 8 << 20):
             out: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("data").to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
+            ids, at = encode(b.column("data"))
+            for doc, begin, till in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = ids[begin:till].tobytes() + end
+                n = len(own) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity), n]
-                out += [(doc, k, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                out += [(doc, k, a, z - a, zlib.crc32(own[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
             kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from llm_cases import ROWS, documents
 from tokenizers import Tokenizer
 
@@ -42,9 +43,11 @@ def holds(rows, pieces, capacity=2048):
 
 def test_pieces_encode_like_whole_texts():
     texts = ["a  b", " lead", "trail ", "x\n y", "x \ny", "tab\tin a b", "\n", " ", "don't we'll  it's", "1 2 34 € ñandú <|endoftext|> z", "a\n\nb c\n d", None, ""]
-    got = packing.Encoder(PATH, 3)(texts)
-    for t, g in zip(texts, got):
-        assert np.frombuffer(g, "<u4").tolist() == ids_of(t)[:-1]
+    texts += ["x\x0b y", "x\u3000 y", "x \u2028y z", "a\x1f b", " \u00a0", "é  é ü", "end.\nAnd, so\n\nwhat?! é,\n\t it's; x\r\ny...z !a\n.b", "a,b.c:d\ne"]
+    encode = packing.Encoder(PATH, 3)
+    for part in (texts[::2], texts[1::2], texts, texts[:1], [None]):
+        ids, at = encode(pa.array([t or "" for t in part], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [ids_of(t)[:-1] for t in part]
 
 
 def test_plan_fills_bins_well():
