@@ -164,3 +164,28 @@ def category(text: Column) -> Column:
         pair = F.struct(F.lit(cat).alias("category"), F.lit(sub).alias("subcategory"))
         out = F.when(low.rlike(any_of(words)), pair) if out is None else out.when(low.rlike(any_of(words)), pair)
     return out.otherwise(F.struct(F.lit("general").alias("category"), F.lit("general").alias("subcategory")))
+
+
+def wrapped(text: Column, width: int = 60) -> Column:
+    """lines of at most ``width`` characters, broken at spaces; longer words stay whole."""
+    lines = F.regexp_replace(text, rf"([^ \n]{{{width + 1},}}|[^\n]{{1,{width}}})(?: +|\n|\z)", "$1\n")
+    return F.regexp_replace(lines, r"\n\z", "")
+
+
+def english_url(url: Column) -> Column:
+    """F16: the Italian path becomes the English one; else the language is a parameter."""
+    asked = F.concat(url, F.when(F.contains(url, F.lit("?")), "&lang=en").otherwise("?lang=en"))
+    return F.when(F.contains(url, F.lit("/it/")), F.replace(url, F.lit("/it/"), F.lit("/en/"))).otherwise(asked)
+
+
+def first_url(values: Column, preferred: list[str]) -> Column:
+    """of a map the first preferred field that holds a URL, else the first value that does."""
+    is_url = lambda v: F.startswith(v, F.lit("http"))
+    fields = [F.try_element_at(values, F.lit(k)) for k in preferred]
+    return F.coalesce(*[F.when(is_url(v), v) for v in fields], F.try_element_at(F.filter(F.map_values(values), is_url), F.lit(1)))
+
+
+def brand_in(text: Column, brands: list[str], default: str) -> Column:
+    """the first known brand in the text, else its first capitalised word of three letters or more, else ``default``."""
+    known = F.filter(F.array(*map(F.lit, brands)), lambda b: F.contains(F.lower(text), F.lower(b)))
+    return F.coalesce(F.try_element_at(known, F.lit(1)), F.nullif(F.regexp_extract(text, r"\b([A-Z][A-Za-z]{2,})", 1), F.lit("")), F.lit(default))

@@ -93,3 +93,48 @@ def duplicate_parents(products: DataFrame, share: float = 0.8) -> DataFrame:
     urls = products.groupBy("category", "source_url").agg(F.max(F.col("subcategory").isNull()).alias("own"), F.max(F.col("subcategory").isNotNull()).alias("child"))
     out = urls.where("own").groupBy("category").agg(F.count("*").alias("urls"), F.count_if("child").alias("shared"))
     return out.withColumn("duplicate", F.col("shared") / F.col("urls") > share)
+
+
+def listing(catalogue: DataFrame, columns: list[str], **equal: str) -> DataFrame:
+    """The distinct values of ``columns`` among products that equal the given values, without case."""
+    for name, value in equal.items():
+        catalogue = catalogue.where(F.lower(name) == value.lower())
+    return catalogue.select(*columns).distinct()
+
+
+def merge_fragments(products: DataFrame, fields: list[str], url: str = "source_url", position: str = "position") -> DataFrame:
+    """One row per URL, each field from the first fragment that has it; rows without a URL go."""
+    has = lambda c: F.when(F.trim(c) != "", F.col(position))
+    first = [F.min_by(F.col(c), has(c)).alias(c) for c in fields]
+    return products.where(F.col(url).isNotNull()).groupBy(url).agg(*[F.when(F.count(has(c)) > 0, f).alias(c) for c, f in zip(fields, first, strict=True)])
+
+
+def enriched(rows: DataFrame, details: DataFrame, fields: list[str], url: str = "source_url", position: str = "position") -> DataFrame:
+    """Missing and blank fields are filled from the details of the same URL, the first of several."""
+    one = merge_fragments(details, fields, url, position).select(F.col(url).alias("_url"), *[F.col(c).alias(f"_new_{c}") for c in fields])
+    joined = rows.join(one, rows[url] == one["_url"], "left")
+    filled = {c: F.coalesce(F.when(F.trim(c) != "", F.col(c)), F.col(f"_new_{c}"), F.col(c)) for c in fields}
+    return joined.withColumns(filled).select(*rows.columns)
+
+
+def with_image(selection: DataFrame, images: DataFrame) -> DataFrame:
+    """The image of the product with the same brand, category, subcategory and trimmed model, else of one with that brand and model; the first by position."""
+    model, exact, loose = F.trim("model"), ["brand", "category", "subcategory", "_model"], ["brand", "_model"]
+    named = images.withColumn("_model", model)
+    a = named.groupBy(*exact).agg(F.min_by("image_url", "position").alias("_a"))
+    b = named.groupBy(*loose).agg(F.min_by("image_url", "position").alias("_b"))
+    joined = selection.withColumn("_model", model).join(a, exact, "left").join(b, loose, "left")
+    return joined.select(*selection.columns, F.coalesce("_a", "_b").alias("image_url"))
+
+
+def registry_first(registry: DataFrame, files: DataFrame) -> DataFrame:
+    """The registry's brands, and those of files whose name (without case) it lacks."""
+    known = registry.select(F.lower("name").alias("_k")).distinct()
+    return registry.unionByName(files.join(known, F.lower("name") == F.col("_k"), "left_anti"))
+
+
+def reprice_audit(catalogue: DataFrame, prices: DataFrame) -> DataFrame:
+    """How many names of the price list there are, how many match, and how many products get a price."""
+    key = F.lower(F.trim("name")).alias("_k")
+    hits = catalogue.groupBy(F.lower(F.trim("model")).alias("_k")).agg(F.count("*").alias("_n"))
+    return prices.select(key).where("_k is not null").distinct().join(hits, "_k", "left").agg(F.count("*").alias("names"), F.count("_n").alias("matched"), F.coalesce(F.sum("_n"), F.lit(0)).alias("updated"))

@@ -47,3 +47,15 @@ def sentences_once(docs: DataFrame, text: str, cap: int = 1500) -> DataFrame:
     first = rows.groupBy("doc_id", "_k").agg(F.min("pos").alias("pos"), F.min_by("s", "pos").alias("s")).where("_k <> ''")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), ". ")
     return first.groupBy("doc_id").agg(F.left(joined, F.lit(cap)).alias("about"), F.count("*").alias("sentences"))
+
+
+def product_links(pages: DataFrame) -> DataFrame:
+    """Links of a page whose path looks like a product's and not like a category's, each target once, the first seen."""
+    found = links(pages).where(F.lower("target").rlike(PRODUCT_PATH) & ~F.lower("target").rlike(CATEGORY_PATH))
+    return found.groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
+
+
+def product(pages: DataFrame, most: int = 200) -> DataFrame:
+    """Title from the first heading, else the page's title; description from the first paragraph, ``most`` characters; null where there is none."""
+    inner = lambda tag: F.nullif(strip_tags(F.regexp_extract("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)), F.lit(""))
+    return pages.select("page_id", F.coalesce(inner("h1"), inner("title")).alias("title"), F.left(inner("p"), F.lit(most)).alias("description"))

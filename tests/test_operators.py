@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
-from tallyspark.operators import alternatives, catalogue, costing, items, tables
+from tallyspark.operators import alternatives, catalogue, costing, items, layout, tables
+from tallyspark.sources import io
 
 
 def values(spark, f, inputs, kind="string"):
@@ -107,3 +108,48 @@ def test_images(spark):
     assert {r.img_id: r.global_row for r in items.images_by_rank(images, rows).collect()} == {"b": 0, "a": 1, "c": 2}
     boxes = spark.createDataFrame([("d", 1, 0, 0.0, 20.0), ("d", 1, 1, 80.0, 100.0)], "doc_id string, page int, row_idx int, y0 double, y1 double")
     assert {r.img_id: r.row_idx for r in items.images_by_overlap(images.where("page = 1"), boxes).collect()} == {"a": 1, "b": 0}
+
+
+def test_word_grid(spark):
+    words = [("d", 1, 10.02, 0.0, "No"), ("d", 1, 10.0, 100.0, "Item"), ("d", 1, 20.0, 1.0, "1"), ("d", 1, 20.0, 112.0, "chair"), ("d", 1, 20.0, 103.0, "task"), ("d", 1, 30.0, 500.0, "far")]
+    df = spark.createDataFrame(words, "doc_id string, page int, top double, x0 double, text string")
+    got = layout.word_grid(df, gap=50.0, fewest=6).orderBy("top", "column_no").collect()
+    assert [(r.column_no, r.text) for r in got] == [(1, "No"), (2, "Item"), (1, "1"), (2, "task chair"), (3, "far")]
+    assert layout.word_grid(df).count() == 0
+
+
+def test_table_rules(spark):
+    rows = [("d", 1, 0, 0, ["a", "b c"]), ("d", 1, 0, 1, [" ", "<b>​</b>"]), ("d", 1, 1, 0, ["a", "b d"]), ("d", 1, 2, 0, ["a", "b c"]), ("d", 2, 3, 0, ["a", "b c"])]
+    grid = spark.createDataFrame(rows, "doc_id string, page int, table_idx int, row_idx int, cells array<string>")
+    assert layout.without_blank_rows(grid).count() == 4
+    assert [r.table_idx for r in layout.similar_tables(layout.without_blank_rows(grid)).collect()] == [2]
+    assert [r.table_idx for r in layout.distinct_tables(layout.without_blank_rows(grid)).orderBy("table_idx").collect()] == [0, 1]
+    wide = layout.padded(grid.limit(1).select(F.array(F.lit(" x    y "), F.lit(None).cast("string")).alias("cells"), F.lit(3).alias("width")))
+    assert wide.first().cells == ["x y", "", ""]
+
+
+def test_more_text(spark):
+    assert values(spark, lambda c: text.wrapped(c, 7), ["aa bb cc dd", "abcdefghij kl", "ab\n\ncd", "", None]) == ["aa bb\ncc dd", "abcdefghij\nkl", "ab\n\ncd", "", None]
+    assert values(spark, text.english_url, ["http://a/it/x", "http://a/x", "http://a/x?y=1"]) == ["http://a/en/x", "http://a/x?lang=en", "http://a/x?y=1&lang=en"]
+    assert values(spark, lambda c: text.brand_in(c, ["Acme", "Nova"], "none"), ["a nova desk by ACME", "by Zeta", "nothing"]) == ["Acme", "Zeta", "none"]
+    m = spark.sql("select map('x', 'http://1', 'link', 'http://2') v union all select map('x', 'no', 'link', 'no')")
+    assert [r[0] for r in m.select(text.first_url(F.col("v"), ["link"])).collect()] == ["http://2", None]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, size in (("a.PDF", 3), ("b.txt", 3), ("c.xlsx", 99)):
+        (tmp_path / "in" / name).write_bytes(b"x" * size)
+    assert [r.path.rsplit("/", 1)[1] for r in io.manifest(spark, f"file://{tmp_path}/in", 50).collect()] == ["a.PDF"]
+    cat = spark.createDataFrame([("M", "d", 2.5), (" ", "d", 1.0)], "model string, description string, price double")
+    io.write_price_list(cat, f"file://{tmp_path}/out")
+    assert [tuple(r) for r in io.price_list(spark, f"file://{tmp_path}/out").collect()] == [("M", "d", "2.5")]
+    cat.select("model").write.csv(f"file://{tmp_path}/bad", header=True)
+    try:
+        io.price_list(spark, f"file://{tmp_path}/bad")
+        raise AssertionError("a list without prices was read")
+    except ValueError as e:
+        assert "PRICE" in str(e)
+    grid = spark.createDataFrame([("d", 0, 0, ["a", "b"])], "doc_id string, table_idx int, row_idx int, cells array<string>")
+    io.write_tables(grid, f"file://{tmp_path}/tables")
+    assert spark.read.parquet(f"file://{tmp_path}/tables").count() == 1
