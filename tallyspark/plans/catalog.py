@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules, text
-from tallyspark.operators import alternatives, catalogue, costing, items, pages, tables
+from tallyspark.operators import alternatives, catalogue, costing, items, layout, pages, tables
 from tallyspark.sources import io
 from tallyspark.streaming import jobs
 
@@ -298,3 +298,137 @@ def j15(spark, d):
     li = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), "l_partkey", "l_linenumber", "l_extendedprice")
     images = li.where("l_linenumber % 2 = 0").select("doc_id", "page", F.col("l_partkey").alias("img_id"), F.col("l_extendedprice").alias("y0"), F.col("l_extendedprice").alias("y1"))
     return items.images_by_rank(images, li.select("doc_id", "page", F.col("l_linenumber").alias("row_idx"))).select("doc_id", "img_id", "row_idx", "global_row")
+
+
+_WORDS_SQL = "w AS (SELECT l_orderkey AS page, l_suppkey, (l_partkey % 200)::DOUBLE AS x, (l_suppkey * 37 % 230)::DOUBLE AS x2 FROM lineitem), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY page ORDER BY x) < 10 THEN 0 ELSE 1 END AS s FROM w), k AS (SELECT *, sum(s) OVER (PARTITION BY page ORDER BY x) AS column_no FROM g), cols AS (SELECT page, CAST(column_no AS BIGINT) AS column_no, avg(x) AS centre, count(*) AS words FROM k GROUP BY ALL)"
+
+
+def _words(spark, d, x):
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), "l_suppkey", x.cast("double").alias("x0"))
+
+
+@query("W7_gap_columns", f"WITH {_WORDS_SQL} SELECT page, column_no, centre, words FROM cols")
+def w7(spark, d):
+    return layout.gap_columns(_words(spark, d, F.col("l_partkey") % 200), ["page"])
+
+
+@query("W8_nearest_column", f"WITH {_WORDS_SQL}, r AS (SELECT page, l_suppkey, x2, row_number() OVER () AS id FROM w) SELECT any_value(r.page) AS page, any_value(l_suppkey) AS l_suppkey, any_value(x2) AS x0, arg_min(column_no, (abs(x2 - centre), column_no)) FILTER (abs(x2 - centre) <= 50) AS column_no FROM r JOIN cols ON r.page = cols.page GROUP BY id")
+def w8(spark, d):
+    columns = layout.gap_columns(_words(spark, d, F.col("l_partkey") % 200), ["page"])
+    return layout.nearest_column(_words(spark, d, F.col("l_suppkey") * 37 % 230), columns, ["page"])
+
+
+_MD_SQL = "x AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, concat('|', l_linenumber, '|', CASE WHEN l_linenumber = 7 THEN '' ELSE l_partkey::VARCHAR END, '|', floor(l_quantity)::BIGINT, '|') AS line, concat_ws('|', l_linenumber, l_partkey, floor(l_quantity)::BIGINT) AS c FROM lineitem)"
+
+
+@query("A14_counts", f"WITH {_MD_SQL} SELECT doc_id, CAST(1 AS BIGINT) AS tables, count(*) FILTER (n <> 7) + 1 AS rows FROM x GROUP BY doc_id")
+def a14(spark, d):
+    return layout.counts(tables.markdown_grid(_markdown(spark, d)))
+
+
+@query("U5_distinct_tables", f"WITH {_MD_SQL}, t AS (SELECT doc_id, count(*) FILTER (n <> 7) + 1 AS n_rows, coalesce(arg_max(c, (n, line)) FILTER (n <> 7), 'No|Item|Qty') AS last FROM x GROUP BY doc_id) SELECT min(doc_id) AS doc_id, n_rows FROM t GROUP BY n_rows, last")
+def u5(spark, d):
+    return layout.distinct_tables(tables.markdown_grid(_markdown(spark, d))).select("doc_id", "n_rows")
+
+
+_SCORE_SQL = f"{_MD_SQL}, t AS (SELECT doc_id, count(*) FILTER (n <> 7) AS r FROM x GROUP BY doc_id), q AS (SELECT doc_id, CAST(15 + CASE WHEN r >= 5 THEN 30 WHEN r >= 2 THEN 15 ELSE 0 END + 20 + 10 AS INTEGER) AS score FROM t)"
+
+
+@query("A10_quality", f"WITH {_SCORE_SQL} SELECT doc_id, score FROM q")
+def a10(spark, d):
+    return tables.quality(tables.markdown_grid(_markdown(spark, d))).select("doc_id", "score")
+
+
+@query("T6_best_table", f"WITH {_SCORE_SQL} SELECT doc_id % 100 AS bucket, arg_max(doc_id, (score, -doc_id)) AS table_idx, max(score) AS score FROM q GROUP BY 1")
+def t6(spark, d):
+    scored = tables.quality(tables.markdown_grid(_markdown(spark, d)))
+    return tables.best_table(scored.select((F.col("doc_id") % 100).alias("bucket"), F.col("doc_id").alias("table_idx"), "score"), ["bucket"])
+
+
+@query("U4_distinct_rows", "WITH x AS (SELECT l_orderkey AS doc_id, l_linenumber AS row_idx, l_returnflag || '|' || l_linestatus AS cells FROM lineitem), f AS (SELECT doc_id, cells, min(row_idx) AS row_idx FROM x GROUP BY ALL) SELECT doc_id, row_idx, cells FROM f QUALIFY count(*) OVER (PARTITION BY doc_id) >= 2")
+def u4(spark, d):
+    grid = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_idx"), F.col("l_linenumber").alias("row_idx"), F.array("l_returnflag", F.concat(F.lit(" "), "l_linestatus")).alias("cells"))
+    return tables.distinct_rows(grid).select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: F.trim(c)), "|").alias("cells"))
+
+
+@query("A16_listing", f"WITH {_CATALOGUE_SQL} SELECT DISTINCT tier, brand, country FROM cat WHERE category = 'seating'")
+def a16(spark, d):
+    return catalogue.listing(_catalogue(spark, d), ["tier", "brand", "country"], category="Seating")
+
+
+_PIECES = {"model": "CASE WHEN position % 3 <> 0 THEN model END", "country": "CASE WHEN position % 4 <> 1 THEN country ELSE '' END"}
+_PIECES_SQL = f"pc AS (SELECT position, source_url, {_PIECES['model']} AS model, {_PIECES['country']} AS country FROM cat)"
+_MERGED_SQL = "mg AS (SELECT source_url, arg_min(model, position) FILTER (trim(model) <> '') AS model, arg_min(country, position) FILTER (trim(country) <> '') AS country FROM pc {} GROUP BY source_url)"
+
+
+def _pieces(spark, d):
+    return _catalogue(spark, d).select("position", "source_url", *[F.expr(e).alias(c) for c, e in _PIECES.items()])
+
+
+@query("A13_fragments", f"WITH {_CATALOGUE_SQL}, {_PIECES_SQL}, {_MERGED_SQL.format('')} SELECT source_url, model, country FROM mg")
+def a13(spark, d):
+    return catalogue.merge_fragments(_pieces(spark, d), ["model", "country"])
+
+
+@query("J6_enriched", f"WITH {_CATALOGUE_SQL}, {_PIECES_SQL}, {_MERGED_SQL.format('WHERE position % 2 = 0')} SELECT position, source_url, coalesce(CASE WHEN trim(pc.model) <> '' THEN pc.model END, mg.model, pc.model) AS model, coalesce(CASE WHEN trim(pc.country) <> '' THEN pc.country END, mg.country, pc.country) AS country FROM pc LEFT JOIN mg USING (source_url)")
+def j6(spark, d):
+    rows = _pieces(spark, d)
+    return catalogue.enriched(rows, rows.where("position % 2 = 0"), ["model", "country"])
+
+
+@query("J3_images", f"WITH {_CATALOGUE_SQL}, i AS (SELECT *, 'i' || position AS image_url FROM cat WHERE position % 2 = 0), a AS (SELECT brand, category, subcategory, trim(model) AS m, arg_min(image_url, position) AS u FROM i GROUP BY ALL), b AS (SELECT brand, trim(model) AS m, arg_min(image_url, position) AS u FROM i GROUP BY ALL), s AS (SELECT position, brand, category, CASE WHEN position % 3 = 0 THEN 'other' ELSE subcategory END AS subcategory, model FROM cat) SELECT position, coalesce(a.u, b.u) AS image_url FROM s LEFT JOIN a ON s.brand = a.brand AND s.category = a.category AND s.subcategory = a.subcategory AND trim(s.model) = a.m LEFT JOIN b ON s.brand = b.brand AND trim(s.model) = b.m")
+def j3(spark, d):
+    c = _catalogue(spark, d)
+    images = c.where("position % 2 = 0").withColumn("image_url", F.concat(F.lit("i"), F.col("position").cast("string")))
+    chosen = c.withColumn("subcategory", F.when(F.col("position") % 3 == 0, "other").otherwise(F.col("subcategory")))
+    return catalogue.with_image(chosen, images).select("position", "image_url")
+
+
+@query("J7_registry_first", "SELECT s_name AS name, 'registry' AS origin FROM supplier WHERE s_suppkey % 3 < 2 UNION ALL SELECT upper(s_name), 'file' FROM supplier WHERE s_suppkey % 3 = 2")
+def j7(spark, d):
+    s = _read(spark, d, "supplier")
+    files = s.where("s_suppkey % 3 > 0").select(F.upper("s_name").alias("name"), F.lit("file").alias("origin"))
+    return catalogue.registry_first(s.where("s_suppkey % 3 < 2").select(F.col("s_name").alias("name"), F.lit("registry").alias("origin")), files)
+
+
+@query("A17_audit", f"WITH {_CATALOGUE_SQL}, p AS (SELECT DISTINCT lower(trim(CASE WHEN position % 2 = 0 THEN model ELSE model || ' x' END)) AS k FROM cat WHERE position % 5 < 2), h AS (SELECT lower(trim(model)) AS k, count(*) AS n FROM cat GROUP BY 1) SELECT count(*) AS names, count(n) AS matched, CAST(coalesce(sum(n), 0) AS BIGINT) AS updated FROM p LEFT JOIN h USING (k)")
+def a17(spark, d):
+    c = _catalogue(spark, d)
+    name = F.when(F.col("position") % 2 == 0, F.col("model")).otherwise(F.concat("model", F.lit(" x")))
+    return catalogue.reprice_audit(c, c.where("position % 5 < 2").select(name.alias("name")))
+
+
+@query("X17_page_kind", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '/product-category/|/category/|/categories/|/collection/|/collections/') THEN 'category' WHEN regexp_matches(lower(url), '/product/|/products/|/item/|/detail/|/p/') THEN 'product' ELSE 'other' END AS kind FROM pages")
+def x17(spark, d):
+    return _read(spark, d, "pages").select("page_id", pages.page_kind(F.col("url")).alias("kind"))
+
+
+def _strip_sql(x):
+    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nullif(trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g')), '')"
+
+
+def _inner_sql(tag):
+    return _strip_sql(f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)")
+
+
+@query("X18_product", f"SELECT page_id, coalesce({_inner_sql('h1')}, {_inner_sql('title')}) AS title, left({_inner_sql('p')}, 200) AS description FROM pages")
+def x18(spark, d):
+    return pages.product(_read(spark, d, "pages"))
+
+
+@query("F9_wrapped", r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([^ \n]{61,}|[^\n]{1,60})(?: +|\n|\z)', '\1' || chr(10), 'g'), '\n\z', '')) AS wrapped FROM documents")
+def f9(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.md5(text.wrapped(F.col("text")).cast("binary")).alias("wrapped"))
+
+
+@query("R6_sessions", "WITH x AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 300000000 THEN 0 ELSE 1 END AS s FROM events), y AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, k")
+def r6s(spark, d):
+    return jobs.sessions(_read(spark, d, "events"), "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("R3_expired", "SELECT user_id, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts)) > 300000000 AS expired FROM events GROUP BY user_id")
+def r3(spark, d):
+    return jobs.expired(_read(spark, d, "events"), "user_id", "2024-01-31 00:00:00")
