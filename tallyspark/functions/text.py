@@ -66,10 +66,12 @@ def image_sources(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("src=[\"']([^\"']+)[\"']"), 1)
 
 
+CATEGORY_STEPS = [("[ \t\r\n]+", " "), (r"^ | $", ""), (r"(?i)^(open|close) +submenu *[(\[]?", ""), (r" *\([0-9]+\)$", ""), (r"[)\]]$", ""), (r"(?i)^toggle +", ""), (r"(?i)^(view|see|show|all) +", "")]
+
+
 def clean_category(name: Column) -> Column:
     """the counter goes before the closing bracket, so that ``Chairs (10)`` is ``Chairs``."""
-    steps = [("[ \t\r\n]+", " "), (r"^ | $", ""), (r"(?i)^(open|close) +submenu *[(\[]?", ""), (r" *\([0-9]+\)$", ""), (r"[)\]]$", ""), (r"(?i)^toggle +", ""), (r"(?i)^(view|see|show|all) +", "")]
-    return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, name))
+    return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), CATEGORY_STEPS, name))
 
 
 def clean_title(title: Column, brand: str, strict: bool = True) -> Column:

@@ -59,9 +59,15 @@ def alternatives(items: DataFrame, catalogue: DataFrame, tier: str) -> DataFrame
 
 
 def three_tiers(items: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """The best alternative's rate of each tier side by side."""
+    """The best alternative's rate of each tier side by side; the lowest where rows repeat a key."""
     out = None
     for tier in rules.TIERS:
         one = alternatives(items, catalogue, tier).where("alt_rank = 1")
         out = one if out is None else out.unionByName(one)
-    return out.groupBy(*keys).pivot("tier", rules.TIERS).agg(F.first("alt_rate"))
+    return out.groupBy(*keys).pivot("tier", rules.TIERS).agg(F.min("alt_rate"))
+
+
+def sheet(items: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Each item (rank 0, no brand), and its alternatives, to be sorted by ``keys`` and rank."""
+    own = items.select(*keys, F.lit(0).alias("alt_rank"), F.lit(None).cast("string").alias("brand"), F.col("unit_rate").alias("rate"), round2(F.col("unit_rate") * F.col("qty")).alias("total"))
+    return own.unionByName(found.select(*keys, "alt_rank", "brand", F.col("alt_rate").alias("rate"), F.col("alt_total").alias("total")))

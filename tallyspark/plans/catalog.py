@@ -135,7 +135,17 @@ def x8(spark, d):
     return alternatives.generated(_items(spark, d), "budgetary").select("l_orderkey", "item_no", "alt_rank", "brand", "model", "alt_rate", "alt_total")
 
 
-@query("X9_three_tiers")
+_TIERS_SQL = f"""one AS (SELECT tier, category, subcategory, {_R2.format('((price_low + price_high) / 2e0)')} AS alt_rate FROM cat QUALIFY row_number() OVER (PARTITION BY tier, category, subcategory ORDER BY position) = 1),
+a AS (SELECT l_orderkey, item_no, tier, alt_rate FROM items JOIN one USING (category, subcategory) UNION ALL SELECT l_orderkey, item_no, gen.tier, {_R2.format('(unit_rate * share * (start + i * step))')} FROM items JOIN gen ON i = 0 AND gcat IS NOT DISTINCT FROM CASE WHEN category IN ('seating', 'tables', 'storage', 'lighting') THEN category END ANTI JOIN one ON one.tier = gen.tier AND one.category = items.category AND one.subcategory = items.subcategory)"""
+
+
+@query("S12_sheet", f"WITH {_ITEMS_SQL}, {_CATALOGUE_SQL}, {_MATCH_SQL} SELECT l_orderkey, item_no, 0 AS alt_rank, NULL::VARCHAR AS brand, unit_rate AS rate, {_R2.format('(unit_rate * qty)')} AS total FROM items UNION ALL SELECT l_orderkey, item_no, alt_rank, brand, alt_rate, alt_total FROM m")
+def s12(spark, d):
+    rows = _items(spark, d)
+    return alternatives.sheet(rows, alternatives.matched(rows, _catalogue(spark, d), "mid_range"), ["l_orderkey", "item_no"])
+
+
+@query("X9_three_tiers", f"WITH {_ITEMS_SQL}, {_CATALOGUE_SQL}, {_GEN_SQL}, {_TIERS_SQL} SELECT l_orderkey, item_no, " + ", ".join(f"min(alt_rate) FILTER (tier = '{t}') AS {t}" for t in rules.TIERS) + " FROM a GROUP BY l_orderkey, item_no")
 def x9(spark, d):
     return alternatives.three_tiers(_items(spark, d), _catalogue(spark, d), ["l_orderkey", "item_no"])
 
@@ -244,6 +254,13 @@ def w6(spark, d):
     return tables.carry_sections(ev, ["user_id"], "event_id", "event_id", F.col("event_type") == "error").select("event_id", "section")
 
 
+def _strip_sql(x):
+    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
 _ANCHOR_SQL = "regexp_extract_all(h, '(?is)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', {})"
 _ROOT_SQL = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')"
 
@@ -253,7 +270,22 @@ def x20(spark, d):
     return pages.links(_read(spark, d, "pages")).select("page_id", "href", "target")
 
 
-@query("X21_categories")
+def _clean_sql(x):
+    for pattern, new in text.CATEGORY_STEPS:
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return f"trim({x})"
+
+
+_TARGET_SQL = f"CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN {_ROOT_SQL} || href ELSE {_ROOT_SQL} || '/' || href END"
+_PLACED_SQL = f"SELECT page_id, url, unnest({_ANCHOR_SQL.format(1)}) AS href, unnest({_ANCHOR_SQL.format(2)}) AS txt, generate_subscripts({_ANCHOR_SQL.format(1)}, 1) - 1 AS pos FROM n"
+
+
+@query("X26_product_links", f"WITH n AS (SELECT page_id, url, html AS h FROM pages), l AS ({_PLACED_SQL}), t AS (SELECT page_id, pos, {_TARGET_SQL} AS target FROM l) SELECT page_id, target, CAST(min(pos) AS INTEGER) AS pos FROM t WHERE regexp_matches(lower(target), '{pages.PRODUCT_PATH}') AND NOT regexp_matches(lower(target), '{pages.CATEGORY_PATH}') GROUP BY ALL")
+def x26(spark, d):
+    return pages.product_links(_read(spark, d, "pages"))
+
+
+@query("X21_categories", f"WITH n AS (SELECT page_id, url, array_to_string(regexp_extract_all(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), ' ') AS h FROM pages), l AS ({_PLACED_SQL}), c AS (SELECT page_id, pos, href, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS site, {_clean_sql(_strip_sql('txt'))} AS category, {_TARGET_SQL} AS target FROM l) SELECT site, category, target, page_id FROM c WHERE length(category) BETWEEN 2 AND 50 AND NOT regexp_matches(lower(href), '^(mailto|tel|javascript):|^#') QUALIFY row_number() OVER (PARTITION BY site, category ORDER BY page_id, pos) = 1")
 def x21(spark, d):
     return pages.categories(_read(spark, d, "pages"))
 
@@ -263,12 +295,15 @@ def f12(spark, d):
     return _read(spark, d, "pages").select("page_id", text.category_from_url(F.col("url")).alias("category"), text.subcategory_from_url(F.col("url")).alias("subcategory"))
 
 
-@query("X23_needs_script")
+_TEXT_SQL = _strip_sql("regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')")
+
+
+@query("X23_needs_script", f"WITH t AS (SELECT page_id, html, length({_TEXT_SQL}) AS text_chars FROM pages) SELECT page_id, text_chars, text_chars < 500 OR regexp_matches(lower(html), '{pages.FRAMEWORKS}') AS needs_script FROM t")
 def x23(spark, d):
     return pages.needs_script(_read(spark, d, "pages"))
 
 
-@query("U8_sentences")
+@query("U8_sentences", "WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS pos FROM documents), f AS (SELECT doc_id, arg_min(s, pos) AS s, min(pos) AS pos FROM s WHERE trim(s) <> '' GROUP BY doc_id, lower(trim(s))) SELECT doc_id, left(string_agg(s, '. ' ORDER BY pos), 1500) AS about, count(*) AS sentences FROM f GROUP BY doc_id")
 def u8(spark, d):
     return pages.sentences_once(_read(spark, d, "documents"), "text")
 
@@ -351,6 +386,12 @@ def u4(spark, d):
     return tables.distinct_rows(grid).select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: F.trim(c)), "|").alias("cells"))
 
 
+@query("U2_insert_absent", "WITH k AS (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 3 < 2 AND s_nationkey < 12) SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 < 2 AND s_nationkey < 12 UNION ALL SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 > 0 AND s_nationkey NOT IN (SELECT s_nationkey FROM k)")
+def u2(spark, d):
+    s = _read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    return catalogue.insert_absent(s.where("s_suppkey % 3 < 2 and s_nationkey < 12"), s.where("s_suppkey % 3 > 0"), ["s_nationkey"])
+
+
 @query("A16_listing", f"WITH {_CATALOGUE_SQL} SELECT DISTINCT tier, brand, country FROM cat WHERE category = 'seating'")
 def a16(spark, d):
     return catalogue.listing(_catalogue(spark, d), ["tier", "brand", "country"], category="Seating")
@@ -403,15 +444,9 @@ def x17(spark, d):
     return _read(spark, d, "pages").select("page_id", pages.page_kind(F.col("url")).alias("kind"))
 
 
-def _strip_sql(x):
-    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        out = f"replace({out}, '{a}', '{b}')"
-    return f"nullif(trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g')), '')"
-
-
 def _inner_sql(tag):
-    return _strip_sql(f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)")
+    inner = _strip_sql(f"regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)")
+    return f"nullif({inner}, '')"
 
 
 @query("X18_product", f"SELECT page_id, coalesce({_inner_sql('h1')}, {_inner_sql('title')}) AS title, left({_inner_sql('p')}, 200) AS description FROM pages")
