@@ -138,3 +138,49 @@ def reprice_audit(catalogue: DataFrame, prices: DataFrame) -> DataFrame:
     key = F.lower(F.trim("name")).alias("_k")
     hits = catalogue.groupBy(F.lower(F.trim("model")).alias("_k")).agg(F.count("*").alias("_n"))
     return prices.select(key).where("_k is not null").distinct().join(hits, "_k", "left").agg(F.count("*").alias("names"), F.count("_n").alias("matched"), F.coalesce(F.sum("_n"), F.lit(0)).alias("updated"))
+
+
+def outcomes(attempts: DataFrame) -> DataFrame:
+    """Attempts (success, products) in one row: successes, failures, products of the successes."""
+    won = F.coalesce("success", F.lit(False))
+    return attempts.agg(F.count_if(won).alias("successes"), F.count_if(~won).alias("failures"), F.coalesce(F.sum(F.when(won, F.col("products"))), F.lit(0)).cast("long").alias("products"))
+
+
+def refetch(brands: DataFrame) -> DataFrame:
+    """Brands (brand, category, products, needs_script) that are to be fetched anew: no products, or none in any category, or a page that needs scripts."""
+    g = brands.groupBy("brand").agg(F.sum("products").alias("products"), F.count_if((F.col("category").isNotNull()) & (F.col("products") > 0)).alias("filled"), F.count("category").alias("categories"), F.coalesce(F.bool_or("needs_script"), F.lit(False)).alias("needs_script"))
+    again = F.col("needs_script") | (F.coalesce("products", F.lit(0)) == 0) | ((F.col("categories") > 0) & (F.col("filled") == 0))
+    return g.select("brand", "products", "categories", again.alias("refetch"))
+
+
+def collections(products: DataFrame) -> DataFrame:
+    """Products nested into ``Category > Subcategory`` collections of their brand, in order of position; the form of the JSON sink."""
+    name = F.when(F.coalesce("subcategory", F.lit("")) == "", F.col("category")).otherwise(F.concat("category", F.lit(" > "), "subcategory"))
+    nested = F.sort_array(F.collect_list(F.struct("position", "model", "price")))
+    return products.groupBy("brand", "tier", name.alias("collection")).agg(nested.alias("products"))
+
+
+def assigned(products: DataFrame, categories: DataFrame) -> DataFrame:
+    """Products (brand, model, category) with ``assigned``: the first category of their brand (name, position) that contains theirs or is contained in it
+    (without case), else their product class if the brand has it, else General if the brand has it, else the brand's first; null without categories.
+    A brand's categories are one short array, so the match stays within the row."""
+    from tallyspark.operators.headers import product_class
+
+    of_brand = categories.groupBy("brand").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda c: c["name"]).alias("_c"))
+    own = F.lower(F.trim(F.coalesce("category", F.lit(""))))
+    near = F.filter("_c", lambda n: (own != "") & (F.contains(F.lower(n), own) | F.contains(own, F.lower(n))))
+    has = lambda n: F.when(F.array_contains("_c", n), n)
+    rows = products.join(of_brand, "brand", "left").withColumn("_k", product_class(F.col("model")))
+    return rows.withColumn("assigned", F.coalesce(F.get(near, 0), has(F.col("_k")), has(F.lit("General")), F.get("_c", 0))).drop("_c", "_k")
+
+
+def found_image(reference, images):
+    """Of an array of image paths the first that contains the reference or is contained in it, else the first."""
+    near = F.filter(images, lambda i: (reference != "") & (F.contains(i, reference) | F.contains(reference, i)))
+    return F.coalesce(F.get(near, 0), F.get(images, 0))
+
+
+def write_collections(products: DataFrame, path: str) -> None:
+    """Nested collections as JSON, one folder per tier and brand; a rewrite replaces the folders that it has rows for."""
+    out = collections(products).repartition("tier", "brand")
+    out.write.partitionBy("tier", "brand").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import absolute_url, clean_category, strip_tags
+from tallyspark.functions import rules
+from tallyspark.functions.text import absolute_url, any_of, clean_category, strip_tags, title_case
 
 ANCHOR = r"(?is)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 PRODUCT_PATH = "/product/|/products/|/item/|/detail/|/p/"
 CATEGORY_PATH = "/product-category/|/category/|/categories/|/collection/|/collections/"
 FRAMEWORKS = "react|angular|vue|__next|ng-app"
+# Makers whose hosts are routed alike.
+ITALIAN_MAKERS = ["martex", "manerba", "las", "frezza", "fantoni", "della valentina", "bralco", "ibebi", "estel", "arcadia", "unifor"]
 
 
 def links(pages: DataFrame, within: str | None = None) -> DataFrame:
@@ -59,3 +62,71 @@ def product(pages: DataFrame, most: int = 200) -> DataFrame:
     """Title from the first heading, else the page's title; description from the first paragraph, ``most`` characters; null where there is none."""
     inner = lambda tag: F.nullif(strip_tags(F.regexp_extract("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)), F.lit(""))
     return pages.select("page_id", F.coalesce(inner("h1"), inner("title")).alias("title"), F.left(inner("p"), F.lit(most)).alias("description"))
+
+
+def site_kind(url):
+    """Which kind of site a URL is from, the first that fits: a design portal, a page of collections, an Italian maker, other."""
+    host, path = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1)), F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
+    collections = F.contains(path, F.lit("/collections/")) | (F.contains(path, F.lit("/b/")) & F.contains(path, F.lit("/products")))
+    italian = (F.endswith(host, F.lit(".it")) & path.rlike("prodotti|products|collezioni|collections")) | host.rlike(any_of(ITALIAN_MAKERS))
+    return F.when(F.contains(host, F.lit("architonic.com")), "portal").when(collections, "collections").when(italian, "italian").otherwise("other")
+
+
+def listing_products(pages: DataFrame, markdown: str = "markdown") -> DataFrame:
+    """Links of a markdown page to ``/product/`` pages: (page_id, target, title), each target once, the first seen; controls and category links go."""
+    link = F.lit(r"\[([^\]]+)\]\((https?://[^)]+/product/[^)]+)\)")
+    pair = F.arrays_zip(F.regexp_extract_all(markdown, link, 1).alias("title"), F.regexp_extract_all(markdown, link, 2).alias("target"))
+    rows = pages.select("page_id", F.posexplode(pair).alias("pos", "p")).select("page_id", "pos", "p.target", F.trim("p.title").alias("title"))
+    good = rows.where((F.length("title") >= 3) & ~F.lower("title").rlike(any_of(rules.LISTING_SKIP)) & ~F.lower("target").rlike("/product-category/|/category/|/tag/"))
+    return good.groupBy("page_id", "target").agg(F.min_by("title", "pos").alias("title"))
+
+
+def subcategory_links(pages: DataFrame) -> DataFrame:
+    """Links that go on from their own page's path, or lead to a category; the cleaned name is none of the page's own title: (page_id, name, target)."""
+    here = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "/$", "")
+    found = links(pages).withColumns({"name": clean_category(F.col("text")), "here": here})
+    below = F.startswith("target", F.concat("here", F.lit("/"))) | F.lower("target").rlike("/product-category/|/category/")
+    good = found.where(below & (F.length("name") >= 2) & (F.regexp_replace("target", "/$", "") != F.col("here")))
+    own = pages.select("page_id", F.coalesce(clean_category(strip_tags(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1))), F.lit("")).alias("own"))
+    return good.join(own, "page_id").where("name <> own").groupBy("page_id", "name").agg(F.min_by("target", "pos").alias("target"))
+
+
+def collection_links(pages: DataFrame) -> DataFrame:
+    """Links to ``/typologies/name`` and ``/collection/name/id``: (page_id, kind, target, name); the name is the text, else the slug."""
+    path = F.regexp_extract("target", r"(?i)/(typologies|collection)/([^/?#]+)", 2)
+    kind = F.lower(F.regexp_extract("target", r"(?i)/(typologies|collection)/([^/?#]+)", 1))
+    fits = F.lower("target").rlike("/typologies/[^/?#]+|/collection/[^/?#]+/[0-9]+")
+    found = links(pages).where(fits).withColumns({"kind": kind, "name": F.coalesce(F.nullif("text", F.lit("")), title_case(path))})
+    return found.groupBy("page_id", "kind", "target").agg(F.min_by("name", "pos").alias("name"))
+
+
+def link_title(text, heading, data, url, alt, brand: str = ""):
+    """The first of link text, heading, data attribute, slug without brand and id, and image text that is no generic word."""
+    slug = F.regexp_replace(F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1), rf"(?i)^{brand}-|-[0-9]{{4,}}$", "")
+    generic = lambda c: F.lower(F.trim(c)).isin("view", "more", "read more", "details", "product", "products", "image", "")
+    return F.coalesce(*[F.when(~generic(c), F.trim(c)) for c in (text, heading, data, title_case(slug), alt)])
+
+
+def features(pages: DataFrame, most: int = 10) -> DataFrame:
+    """The first list items and two-cell table rows of a page as features: (page_id, features); what is in ``nav`` is left out."""
+    html = F.regexp_replace("html", r"(?is)<nav[^>]*>.*?</nav>", "")
+    items = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1), strip_tags)
+    pair = r"(?is)<tr[^>]*>\s*<t[hd][^>]*>(.*?)</t[hd]>\s*<t[hd][^>]*>(.*?)</t[hd]>\s*</tr>"
+    names, texts = F.regexp_extract_all(html, F.lit(pair), 1), F.regexp_extract_all(html, F.lit(pair), 2)
+    rows = F.transform(F.arrays_zip(names.alias("n"), texts.alias("t")), lambda r: F.concat(strip_tags(r["n"]), F.lit(": "), strip_tags(r["t"])))
+    return pages.select("page_id", F.slice(F.filter(F.concat(items, rows), lambda x: F.length(x) > 2), 1, most).alias("features"))
+
+
+def crumbs(pages: DataFrame) -> DataFrame:
+    """Names in the element whose class says ``breadcrumb``, in order: (page_id, crumbs, category, subcategory); the first one is home."""
+    block = F.regexp_extract("html", r"(?is)<([a-z]+)[^>]*class=\"[^\"]*breadcrumb[^\"]*\"[^>]*>(.*?)</\1>", 2)
+    names = F.filter(F.transform(F.regexp_extract_all(block, F.lit(ANCHOR), 2), strip_tags), lambda x: x != "")
+    return pages.select("page_id", names.alias("crumbs"), F.get(names, 1).alias("category"), F.get(names, 2).alias("subcategory"))
+
+
+def linked_models(models: DataFrame, page_links: DataFrame) -> DataFrame:
+    """Models (site, model) with the first link of their site whose text contains the name, without case. Joined on the site;
+    a site's links meet its models only, and only the first link leaves the join's aggregate."""
+    a, b = models.select("site", "model").distinct(), page_links.select("site", "page_id", "pos", "target", F.lower("text").alias("_t"))
+    hit = a.join(b, "site").where(F.contains("_t", F.lower("model")))
+    return hit.groupBy("site", "model").agg(F.min_by("target", F.struct("page_id", "pos")).alias("target"))

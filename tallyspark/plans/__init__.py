@@ -1 +1,3 @@
+"""Queries over the given tables; importing the package registers all of them."""
 
+from tallyspark.plans import catalog, documents  # noqa: F401
