@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import clean_category, title_case
+
 
 def normal_tier(tier):
     """P19."""
@@ -184,3 +188,20 @@ def write_collections(products: DataFrame, path: str) -> None:
     """Nested collections as JSON, one folder per tier and brand; a rewrite replaces the folders that it has rows for."""
     out = collections(products).repartition("tier", "brand")
     out.write.partitionBy("tier", "brand").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def organised(products: DataFrame) -> DataFrame:
+    """Products with a name (the model, else the last part of the URL), labels of controls cleaned off their categories; of equal
+    (brand, tier, category, subcategory, model) the last by position stays, and General gives way to a specific subcategory."""
+    slug = title_case(F.regexp_extract("source_url", r"([^/?#]+)/?(?:[?#].*)?$", 1))
+    named = products.withColumns({"model": F.coalesce(F.nullif(F.trim("model"), F.lit("")), F.nullif(slug, F.lit(""))), "category": clean_category(F.col("category")), "subcategory": clean_category(F.col("subcategory"))})
+    keys = ["brand", "tier", "category", "subcategory", "model"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("position")))
+    kept = named.where("model is not null").withColumn("_r", rank).where("_r = 1").drop("_r")
+    return without_general(kept)
+
+
+def enriched_batch(tables: dict[str, DataFrame], details: DataFrame, fields: list[str]) -> DataFrame:
+    """The tables of one batch of uploads in one relation, tagged by ``origin`` and enriched together, so that the details are merged once."""
+    parts = [t.withColumn("origin", F.lit(name)) for name, t in tables.items()]
+    return enriched(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), details, fields)

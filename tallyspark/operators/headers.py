@@ -189,3 +189,30 @@ def product_class(text: Column) -> Column:
     """Seating, Desking, Storage, Lighting, else General."""
     low, rest = F.lower(text), rules.CLASSES
     return reduce(lambda c, r: c.when(low.rlike(any_of(r[1])), r[0]), rest[1:], F.when(low.rlike(any_of(rest[0][1])), rest[0][0])).otherwise("General")
+
+
+TEXT_HEADERS = ["details|description|specification", "name", "additional", "item"]
+STOP_HEADERS = "qty|quantity|price|rate|total|amount|uom"
+NUMBER_OR_CODE = r"^[0-9.,\s]+$|^[A-Z]+[0-9]+[A-Z]*$"
+
+
+def split_repaired(rows: DataFrame, reach: int = 14) -> DataFrame:
+    """Rows (headers, cells) whose text was split over columns: what stands right of a text column joins it, up to ``reach`` columns on and up to
+    a column of numbers or codes, a number or code, or a text column of a higher class. The leftmost column of each class (details, name, additional,
+    item) is served, in this order; single characters stay where they are."""
+    low = lowered("headers")
+    kind = F.transform(low, lambda h: reduce(lambda c, k: c.when(h.rlike(TEXT_HEADERS[k]), k + 1), range(1, 4), F.when(h.rlike(TEXT_HEADERS[0]), 1)))
+    stops = F.transform(low, lambda h: h.rlike(STOP_HEADERS) | (F.contains(h, F.lit("code")) & (h != "item code")))
+    rows = rows.withColumns({"_kind": kind, "_stops": stops})
+    cell = lambda i: F.trim(F.coalesce(F.get("cells", i), F.lit("")))
+    for k in range(1, 5):
+        rows = rows.withColumn("_t", F.array_position(F.transform("_kind", lambda x: F.coalesce(x, F.lit(0))), F.lit(k)).cast("int") - 1)
+        last = F.least(F.col("_t") + reach, F.size("cells") - 1)
+        right = F.when((F.col("_t") >= 0) & (last > F.col("_t")), F.sequence(F.col("_t") + 1, last)).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(right, lambda i: F.coalesce(F.get("_stops", i), F.lit(False)) | F.coalesce(F.get("_kind", i) < k, F.lit(False)) | cell(i).rlike(NUMBER_OR_CODE))
+        rows = rows.withColumn("_end", F.coalesce(F.array_min(ends), F.size("cells")))
+        rows = rows.withColumn("_taken", F.filter(right, lambda i: (i < F.col("_end")) & (F.length(cell(i)) > 1)))
+        text = F.array_join(F.filter(F.concat(F.array(cell(F.col("_t"))), F.transform("_taken", cell)), lambda c: c != ""), " ")
+        moved = F.transform("cells", lambda c, i: F.when(i == F.col("_t"), text).when(F.array_contains("_taken", i), "").otherwise(c))
+        rows = rows.withColumn("cells", F.when(F.size("_taken") > 0, moved).otherwise(F.col("cells")))
+    return rows.drop("_kind", "_stops", "_t", "_end", "_taken")

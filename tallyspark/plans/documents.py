@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules, text
 from tallyspark.operators import catalogue, headers, pages
 from tallyspark.plans.catalog import _CATALOGUE_SQL, _catalogue, _read, query
+from tallyspark.sources import io
 
 # The heads of the tables that the orders make, by order key.
 HEADS = [["No", "Item Description", "Qty", "Item Description", "Unit Price"], ["Sr.No", "Remarks", "Quantity Required", " ", "Actions"], ["", "x", "y", "z", "Details"]]
@@ -176,3 +177,34 @@ def x29(spark, d):
 @query("X24_features", f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(html, '(?is)<nav[^>]*>.*?</nav>', '', 'g'), '(?is)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: length(x) > 2)[1:10], '|') AS features FROM pages")
 def x24(spark, d):
     return pages.features(_read(spark, d, "pages")).select("page_id", F.array_join("features", "|").alias("features"))
+
+
+@query("W10_split_repaired", "SELECT l_orderkey AS doc_id, l_linenumber AS n, concat_ws('|', l_linenumber, 'part number ' || l_partkey || ' in stock', '', l_returnflag, floor(l_quantity)::BIGINT) AS cells FROM lineitem")
+def w10(spark, d):
+    cells = F.array(F.col("l_linenumber").cast("string"), F.concat(F.lit("part number "), F.col("l_partkey").cast("string")), F.lit("in stock"), "l_returnflag", F.floor("l_quantity").cast("string"))
+    head = F.array(*map(F.lit, ["No", "Item Description", "", "", "Qty"]))
+    rows = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), head.alias("headers"), cells.alias("cells"))
+    return headers.split_repaired(rows).select("doc_id", "n", F.array_join("cells", "|").alias("cells"))
+
+
+@query("S5_layout_blocks", "SELECT doc_id, md5(coalesce(text, '')) AS content, coalesce(text, '') <> '' AND (doc_id % 3 = 0 OR regexp_matches(lower(coalesce(text, '')), '<table|<tr>|<td>') OR len(regexp_extract_all(coalesce(text, ''), '[|]')) > 2) AS is_table FROM documents")
+def s5(spark, d):
+    label = F.when(F.col("doc_id") % 3 == 0, "Table").otherwise("text")
+    page = F.array(F.struct(F.struct(F.array(F.struct(label.alias("block_label"), F.col("text").alias("block_content"))).alias("parsing_res_list")).alias("prunedResult")))
+    shapes = [F.to_json(F.struct(page.alias(k))) for k in io.PAGE_KEYS] + [F.to_json(F.struct(F.struct(page.alias("pages")).alias("result"))), F.to_json(page)]
+    json = F.coalesce(*[F.when(F.col("doc_id") % len(shapes) == i, s) for i, s in enumerate(shapes)])
+    blocks = io.layout_blocks(_docs(spark, d).select("doc_id", json.alias("json")))
+    return blocks.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content"), "is_table")
+
+
+@query("X15_organised", f"WITH {_CATALOGUE_SQL}, m AS (SELECT *, CASE WHEN position % 4 = 0 THEN 'General' ELSE subcategory END AS sub, CASE WHEN position % 10 = 0 THEN (position % 700)::VARCHAR ELSE split_part(model, ' ', 1) END AS name FROM cat), k AS (SELECT brand, tier, category, sub, name, max(position) AS position FROM m GROUP BY ALL) SELECT position, name AS model, sub AS subcategory FROM k QUALIFY sub <> 'General' OR NOT bool_or(sub <> 'General') OVER (PARTITION BY category, name)")
+def x15(spark, d):
+    c = _catalogue(spark, d)
+    model = F.when(F.col("position") % 10 == 0, " ").otherwise(F.split_part("model", F.lit(" "), F.lit(1)))
+    return catalogue.organised(c.withColumns({"model": model, "subcategory": F.when(F.col("position") % 4 == 0, "General").otherwise(F.col("subcategory"))})).select("position", "model", "subcategory")
+
+
+@query("X12_flattened", f"WITH {_CATALOGUE_SQL} SELECT brand, category || ' > ' || subcategory AS collection, position, model FROM cat")
+def x12(spark, d):
+    nested = catalogue.collections(_catalogue(spark, d)).groupBy("brand", "tier").agg(F.collect_list(F.struct("collection", "products")).alias("collections"))
+    return io.flattened(nested).select("brand", "collection", "position", "model")
