@@ -134,8 +134,9 @@ def text_columns(grid: DataFrame, rows: int = 4) -> DataFrame:
 
 
 def carried_header(tables: DataFrame) -> DataFrame:
-    """Tables (doc_id, page, table_idx, headers) with the first header of their document; ``repeats`` marks equal ones further on."""
-    order = Window.partitionBy("doc_id").orderBy("page", "table_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Tables (doc_id, page, table_idx, headers) with the first header of their document; ``repeats`` marks equal ones further on.
+    Of tables at the same place those with headers come first, by the order of these."""
+    order = Window.partitionBy("doc_id").orderBy("page", "table_idx", F.asc_nulls_last("headers")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.first("headers", ignorenulls=True).over(order)
     seen = F.count("headers").over(order)
     rows = tables.withColumns({"header": known, "_seen": seen})

@@ -108,7 +108,7 @@ def a11(spark, d):
     return headers.weighted_quality(_grid(spark, d)).select("doc_id", F.col("score").cast("double").alias("score"))
 
 
-@query("W2_carried_header", "WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS table_idx, CASE WHEN l_returnflag = 'R' THEN lower(l_linestatus) END AS h FROM lineitem), f AS (SELECT doc_id, page, table_idx, h, arg_min(h, (page, table_idx)) FILTER (h IS NOT NULL) OVER w AS header, count(h) OVER w AS k FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page, table_idx ROWS UNBOUNDED PRECEDING)) SELECT doc_id, page, table_idx, header, coalesce(k > 1 AND h = header, false) AS repeats FROM f")
+@query("W2_carried_header", "WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS table_idx, CASE WHEN l_returnflag = 'R' THEN lower(l_linestatus) END AS h FROM lineitem), f AS (SELECT doc_id, page, table_idx, h, arg_min(h, (page, table_idx)) FILTER (h IS NOT NULL) OVER w AS header, count(h) OVER w AS k FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page, table_idx, h NULLS LAST ROWS UNBOUNDED PRECEDING)) SELECT doc_id, page, table_idx, header, coalesce(k > 1 AND h = header, false) AS repeats FROM f")
 def w2(spark, d):
     li = _read(spark, d, "lineitem")
     head = F.when(F.col("l_returnflag") == "R", F.array(F.lower("l_linestatus")))
