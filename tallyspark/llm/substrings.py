@@ -56,11 +56,11 @@ class Words:
         return self.hashes[self.starts[i] : self.starts[i] + self.counts[i]]
 
 
-_BLOBS = "bucket int, hashes binary, docs binary, pos binary, self_doc long, self_pos binary"
+_BLOBS = "bucket int, hashes binary, docs binary, rows binary, pos binary, self_doc long, self_row long, self_pos binary"
 
 
-def _blob_rows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, keep_smallest: bool) -> Iterator[pa.RecordBatch]:
-    """One row per bucket with what has to be compared across batches, and one row per document with what this batch decides alone.
+def _blob_rows(h: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, buckets: int, keep_smallest: bool) -> Iterator[pa.RecordBatch]:
+    """One row per bucket with what has to be compared across batches, and one row per text with what this batch decides alone.
 
     A hash that several documents of the batch share is decided here for all (or all but the smallest document,
     if ``keep_smallest``), and goes on to its bucket only once: no hash sends more rows than there are batches.
@@ -68,7 +68,7 @@ def _blob_rows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, ke
     if not len(h):
         return
     order = np.lexsort((pos, doc, h))
-    h, doc, pos = h[order], doc[order], pos[order]
+    h, doc, row, pos = h[order], doc[order], row[order], pos[order]
     new = np.r_[True, h[1:] != h[:-1]]
     run = np.cumsum(new) - 1
     first = np.flatnonzero(new)
@@ -84,44 +84,45 @@ def _blob_rows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, ke
     rows = []
     for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
         x = at[a:b]
-        rows.append((int(bucket[x[0]]), h[x].tobytes(), doc[x].tobytes(), pos[x].tobytes(), None, None))
-    rows += [(None, None, None, None, d, p) for d, p in _by_doc(doc[decided], pos[decided])]
+        rows.append((int(bucket[x[0]]), h[x].tobytes(), doc[x].tobytes(), row[x].tobytes(), pos[x].tobytes(), None, None, None))
+    rows += [(None, None, None, None, None, d, k, p) for d, k, p in _by_row(doc[decided], row[decided], pos[decided])]
     if rows:
         columns = list(zip(*rows, strict=True))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "hashes", "docs", "pos", "self_doc", "self_pos"])
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "hashes", "docs", "rows", "pos", "self_doc", "self_row", "self_pos"])
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes]]:
+def _by_row(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, bytes]]:
     if not len(doc):
         return []
-    order = np.argsort(doc, kind="stable")
-    doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    return [(int(doc[a]), pos[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)]
+    order = np.lexsort((row, doc))
+    doc, row, pos = doc[order], row[order], pos[order]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+    return [(int(doc[a]), int(row[a]), pos[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)]
 
 
 def _level(rows: DataFrame, keep_smallest: bool) -> DataFrame:
-    """(id, pos): positions whose hash is in another document too (or in a smaller one, if ``keep_smallest``)."""
+    """(id, row, pos): positions whose hash is in another document too (or in a smaller one, if ``keep_smallest``)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
         doc = np.frombuffer(b"".join(pdf["docs"]), np.int64)
+        row = np.frombuffer(b"".join(pdf["rows"]), np.int64)
         pos = np.frombuffer(b"".join(pdf["pos"]), np.int32)
         order = np.lexsort((doc, h))
-        h, doc, pos = h[order], doc[order], pos[order]
+        h, doc, row, pos = h[order], doc[order], row[order], pos[order]
         new = np.r_[True, h[1:] != h[:-1]]
         run, first = np.cumsum(new) - 1, np.flatnonzero(new)
         hit = doc != doc[first][run] if keep_smallest else (np.maximum.reduceat(doc, first) != doc[first])[run]
-        return pd.DataFrame(_by_doc(doc[hit], pos[hit]), columns=["id", "pos"])
+        return pd.DataFrame(_by_row(doc[hit], row[hit], pos[hit]), columns=["id", "row", "pos"])
 
-    across = rows.where("bucket is not null").select("bucket", "hashes", "docs", "pos").groupBy("bucket").applyInPandas(compare, "id long, pos binary")
-    alone = rows.where("self_doc is not null").select(F.col("self_doc").alias("id"), F.col("self_pos").alias("pos"))
+    across = rows.where("bucket is not null").select("bucket", "hashes", "docs", "rows", "pos").groupBy("bucket").applyInPandas(compare, "id long, row long, pos binary")
+    alone = rows.where("self_doc is not null").select(F.col("self_doc").alias("id"), F.col("self_row").alias("row"), F.col("self_pos").alias("pos"))
     return across.unionByName(alone)
 
 
-def _per_doc(found: DataFrame) -> DataFrame:
-    return found.groupBy("id").agg(F.collect_list("pos").alias("found"))
+def _per_row(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "row").agg(F.collect_list("pos").alias("found"))
 
 
 def _positions(blobs: list[bytes] | None) -> np.ndarray:
@@ -129,12 +130,13 @@ def _positions(blobs: list[bytes] | None) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, found): of each row of ``docs`` (id, data, others) the start positions of windows that also start in a row with a smaller id.
+    """(id, row, found): of each row of ``docs`` (id, row, data, others) the start positions of windows that also start in a row with a smaller id.
 
+    ``row`` tells texts of one id apart; rows with the same id and ``row`` must have the same text.
     Level 1 takes runs of half the window's words. Of every ``window - half + 1`` neighbouring runs the one with
     the smallest hash is kept, so each window holds a kept run wherever it stands, at about a quarter of the rows.
     Only runs that two documents share survive; level 2 extends these alone to all windows around them. It takes all columns of
-    ``docs``, so that a later join of the same rows on id finds them shuffled already.
+    ``docs``, so that a later join of the same rows on id and row finds them shuffled already.
     """
     short = half(window)
     near = window - short + 1
@@ -142,19 +144,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "data", 8 << 20):
-            ids, words = b.column("id").to_numpy(zero_copy_only=False), Words(b.column("data").to_pylist())
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
+            words = Words(b.column("data").to_pylist())
             runs = roll(words.hashes, short)
             found = []
             for s, n in zip(words.starts, words.counts, strict=True):
                 found.append(s + minima(runs[s : s + n - short + 1], near) if n >= window else np.zeros(0, np.int64))
             n = np.fromiter(map(len, found), np.int64, len(found))
             at, row = np.concatenate(found), np.repeat(np.arange(len(n)), n)
-            yield from _blob_rows(runs[at], ids[row], (at - words.starts[row]).astype(np.int32), buckets, False)
+            yield from _blob_rows(runs[at], ids[row], keys[row], (at - words.starts[row]).astype(np.int32), buckets, False)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "data", 8 << 20):
-            ids, words = b.column("id").to_numpy(zero_copy_only=False), Words(b.column("data").to_pylist())
-            hashes, docs_, pos_ = [], [], []
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
+            words = Words(b.column("data").to_pylist())
+            hashes, docs_, rows_, pos_ = [], [], [], []
             for i, blobs in enumerate(b.column("found").to_pylist()):
                 full = roll(words.of(i), window)
                 mark = np.zeros(len(full) + near, np.int32)
@@ -164,13 +168,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 p = np.flatnonzero(np.cumsum(mark)[: len(full)] > 0)
                 hashes.append(full[p])
                 docs_.append(np.full(len(p), ids[i], np.int64))
+                rows_.append(np.full(len(p), keys[i], np.int64))
                 pos_.append(p.astype(np.int32))
             if hashes:
-                yield from _blob_rows(np.concatenate(hashes), np.concatenate(docs_), np.concatenate(pos_), buckets, True)
+                yield from _blob_rows(np.concatenate(hashes), np.concatenate(docs_), np.concatenate(rows_), np.concatenate(pos_), buckets, True)
 
-    level1 = _per_doc(_level(docs.select("id", "data").mapInArrow(first, _BLOBS), False))
-    level2 = docs.join(level1, "id").select(*docs.columns, "found").mapInArrow(second, _BLOBS)
-    return _per_doc(_level(level2, True))
+    level1 = _per_row(_level(docs.select("id", "row", "data").mapInArrow(first, _BLOBS), False))
+    level2 = docs.join(level1, ["id", "row"]).select(*docs.columns, "found").mapInArrow(second, _BLOBS)
+    return _per_row(_level(level2, True))
 
 
 def cover(n: int, positions: np.ndarray, window: int) -> np.ndarray:
@@ -185,13 +190,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", c
     """(doc_id, n_words, n_removed, kept, carried): of each whole text the words that no window of an earlier document covers.
 
     ``kept`` joins them by one space (binary, UTF-8). Null texts have no words. Rows that repeat a doc_id are the
-    same document and never remove each other's words. A null doc_id counts as larger than all others. ``carried`` is
+    same document and never remove each other's words, whatever their texts; each loses its own. A null doc_id counts as larger than all others. ``carried`` is
     a struct of the columns in ``carry``; other columns are not read.
     """
     extra = F.struct(*[F.col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     last = 2**63 - 1
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), data.alias("data"), extra.alias("carried"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), F.xxhash64(data).alias("row"), data.alias("data"), extra.alias("carried"))
     found = repeated_windows(rows, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +221,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", c
             for out in run(iter([b])):
                 yield pa.RecordBatch.from_arrays([*out.columns, b.column("carried")], [*out.schema.names, "carried"])
 
-    joined = rows.join(found, "id", "left").select("id", "data", "carried", "found")
+    joined = rows.join(found, ["id", "row"], "left").select("id", "data", "carried", "found")
     kinds = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept binary").add("carried", rows.schema["carried"].dataType)
     return joined.mapInArrow(whole, kinds)
 

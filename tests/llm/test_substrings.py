@@ -54,3 +54,20 @@ def test_random_overlaps(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for window in (13, 4, 1):
         assert got(substrings.without_repeats(df, window)) == brute(rows, window)
+
+
+def test_texts_that_share_an_id(spark):
+    shared = [f"s{i}" for i in range(40)]
+    own = [f"o{i}" for i in range(60)]
+    rows = [
+        (1, " ".join(shared)),
+        (None, " ".join(own[:50] + shared)),
+        (None, "short text"),
+        (None, " ".join(shared[:20] + own[50:])),
+        (7, " ".join(own[:30] + shared[5:30])),
+        (7, " ".join(own[30:35])),
+        (7, " ".join(shared[20:] + own[:20])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 4):
+        assert got(substrings.without_repeats(df.repartition(n))) == brute(rows)
