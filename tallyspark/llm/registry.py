@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_block_max_search": blocksearch.OP7_SQL, "op9_licence_dice": licences.oracle_sql(), "op10_substring_doubling": substrings.OP10_SQL}
+    return {"op6_pivot_range_join": rangejoin.OP6_SQL, "op7_block_max_search": blocksearch.OP7_SQL, "op9_licence_dice": licences.oracle_sql(), "op10_substring_doubling": substrings.OP10_SQL}

@@ -35,16 +35,24 @@ def brute_links(rows, least=0.98):
     return sorted((i, len(links[i]), comp[i]) for i in links)
 
 
-def test_range_join(spark, monkeypatch):
+def test_range_join(spark):
     rows = data()
     want = brute_links(rows)
-    for cell, block in ((1000, 4096), (12, 4096), (12, 9), (10**9, 20)):
-        monkeypatch.setattr(rangejoin, "CELL", cell)
-        monkeypatch.setattr(rangejoin, "BLOCK", block)
-        assert sorted(tuple(r) for r in rangejoin.near_duplicates(frame(spark, rows)).collect()) == want
+    for sizes in ({}, {"cell": 12}, {"cell": 12, "block": 9}, {"cell": 8, "most_pivots": 8}, {"cell": 10**9, "block": 20}):
+        assert sorted(tuple(r) for r in rangejoin.near_duplicates(frame(spark, rows), **sizes).collect()) == want, sizes
     assert rangejoin.near_duplicates(frame(spark, rows).where("false")).count() == 0
 
 
+def test_range_join_query(spark, tmp_path):
+    """The query itself, over a table with vectors that repeat and nearly repeat, against all pairs."""
+    rows = [(i, x, a) for i, x, a in data(150) if i != 1006]
+    frame(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = rangejoin.op6_pivot_range_join(spark, str(tmp_path)).collect()
+    want = brute_links(rows)
+    assert sum(n > 0 for _, n, _ in want) > 50
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == want and all(r.kept == (r.vec_id == r.component_id) for r in out)
+
+
 def brute_top(rows, every, k):
     use = [(i, np.floor(256 * np.array(x, float)).astype(int)) for i, x, _ in rows if x and all(c is not None and np.isfinite(c) for c in x)]
     out = []
