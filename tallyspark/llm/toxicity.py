@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import fold, slices
+from tallyspark.llm.common import fold, free_name, slices
 
 _WORDS = re.compile(r"[^\W_]+")
+_SENTENCES = re.compile(r"[.!?\n]+")
 
 #: Terms that name people, by kind; terms of a kind can stand for each other in a sentence. A parameter.
 IDENTITY_TERMS = (
@@ -30,6 +31,8 @@ IDENTITY_TERMS = (
     ("deaf", "blind", "disabled", "elderly", "young"),
 )
 PREFIXES = (4, 5, 6)
+#: Weight of the squared change of the score under a swap, beside a log loss of 0.69 at the start.
+FAIRNESS = 4.0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -41,10 +44,9 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f.encode()) for f in (word, *[f"{word[:n]}*" for n in PREFIXES if len(word) >= n])]
 
 
-def counted(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of some words and in how many of them each is."""
-    ids = np.fromiter((f for w in words for f in features(w)), np.int64)
-    return np.unique(ids, return_counts=True)
+def hashed(words: Iterable[str]) -> list[int]:
+    """The features of some words, each as often as it is in them."""
+    return [f for w in words for f in features(w)]
 
 
 @dataclass
@@ -72,59 +74,98 @@ class Model:
         self.bias, self.weights, self._known = *state, {}
 
 
-def swaps(terms: Iterable[str], kinds=IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """(term, other): each identity term of a text's sentences with each other term of its kind in its place."""
-    return [(t, o) for kind in kinds for t in kind if t in terms for o in kind if o != t]
-
-
-def train(ids: list[np.ndarray], counts: list[np.ndarray], labels: list[int], terms: list[list[str]], kinds=IDENTITY_TERMS, l1: float = 0.0003, fairness: float = 1.0, min_docs: int = 3, max_share: float = 0.05, steps: int = 300) -> Model:
-    """Logistic regression over the features (``ids``, ``counts``) of labelled texts, by accelerated proximal gradient.
-
-    The loss is the log loss, either label weighing one half, ``l1`` times the absolute weights, and ``fairness`` times the mean
-    squared change of the score when an identity term of a labelled sentence (``terms``) is swapped for another of its kind.
-    Scores add up over words, so the rest of the sentence cancels out of that change. Features in fewer than ``min_docs`` texts, or
-    in more than ``max_share`` of either label's texts, tell little and are left out. With one label only, the
+def swapped_sentences(text: str | None, kinds=IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
+    """(words, words with one term swapped): each sentence of a text that has an identity term, with each other term of its kind in its place."""
+    out = []
+    for sentence in _SENTENCES.split(text or ""):
+        words = words_of(sentence)
+        out += [(words, words - {t} | {o}) for kind in kinds for t in kind if t in words for o in kind if o not in words]
+    return out
+
+
+class Rows:
+    """Sparse rows of feature counts; features that are not in the sorted ``names`` are left out."""
+
+    def __init__(self, rows: Sequence[Sequence[int]], names: np.ndarray):
+        flat = np.fromiter((f for r in rows for f in r), np.int64)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        col = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+        known = names[col] == flat if len(names) else np.zeros(len(flat), bool)
+        at, self.val = np.unique(row[known] * max(len(names), 1) + col[known], return_counts=True)
+        self.row, self.col, self.n, self.m = at // max(len(names), 1), at % max(len(names), 1), len(rows), len(names)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.val * w[self.col], self.n)
+
+    def back(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.val * e[self.row], self.m)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+class Objective:
+    """Log loss, either label weighing one half, and ``fairness`` times the mean squared change of the score between a sentence and its swapped form."""
+
+    def __init__(self, x: Rows, y: np.ndarray, before: Rows, after: Rows, fairness: float):
+        self.x, self.y, self.before, self.after, self.fairness = x, y, before, after, fairness if before.n else 0.0
+        self.share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def value(self, w: np.ndarray, bias: float) -> float:
+        z = self.x.times(w) + bias
+        loss = float((self.share * (np.logaddexp(0, z) - self.y * z)).sum())
+        if self.fairness:
+            d = _sigmoid(self.before.times(w) + bias) - _sigmoid(self.after.times(w) + bias)
+            loss += self.fairness * float(np.mean(d * d))
+        return loss
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        e = self.share * (_sigmoid(self.x.times(w) + bias) - self.y)
+        g, gb = self.x.back(e), float(e.sum())
+        if self.fairness:
+            a, b = _sigmoid(self.before.times(w) + bias), _sigmoid(self.after.times(w) + bias)
+            d = self.fairness * 2 / len(a) * (a - b)
+            u, v = d * a * (1 - a), d * b * (1 - b)
+            g, gb = g + self.before.back(u) - self.after.back(v), gb + float((u - v).sum())
+        return g, gb
+
+    def curvature(self, steps: int = 20) -> float:
+        """A bound of the largest curvature, by power iteration. The slope of the logistic curve is 1/4 at most and its second
+        derivative under 0.0963, so a squared difference of two scores curves by 4 / 16 + 2 * 0.0963 < 0.45 of its two rows."""
+        v, top = np.ones(self.x.m) / max(self.x.m, 1) ** 0.5, 1.0
+        for _ in range(steps):
+            u = 0.25 * self.x.back(self.share * self.x.times(v))
+            if self.fairness:
+                u += 0.45 * self.fairness / self.before.n * (self.before.back(self.before.times(v)) + self.after.back(self.after.times(v)))
+            top = max(float(np.linalg.norm(u)), 1e-12)
+            v = u / top
+        return 1.5 * top + 0.25 + 0.9 * self.fairness
+
+
+def train(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[tuple[Sequence[int], Sequence[int]]] = (), l1: float = 0.0003, fairness: float = FAIRNESS, min_docs: int = 3, max_share: float = 0.05, steps: int = 300) -> Model:
+    """The ``Objective`` and ``l1`` times the absolute weights, by accelerated proximal gradient.
+
+    ``rows`` are the features of labelled texts, ``pairs`` those of labelled sentences before and after a swap. Features in fewer than
+    ``min_docs`` texts, or in more than ``max_share`` of either label's texts, tell little and are left out. With one label only, the
     score is that label's share.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         base = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(math.log(base / (1 - base)), {})
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    row, flat, val = np.repeat(np.arange(len(y)), [len(x) for x in ids]), np.concatenate(ids), np.concatenate(counts).astype(float)
-    names, col = np.unique(flat, return_inverse=True)
-    seen = [np.bincount(col[y[row] == k], minlength=len(names)) for k in (0, 1)]
+    texts = [np.unique(np.asarray(r, np.int64)) for r in rows]
+    names, col = np.unique(np.concatenate(texts), return_inverse=True)
+    label = np.repeat(y, [len(t) for t in texts])
+    seen = [np.bincount(col[label == k], minlength=len(names)) for k in (0, 1)]
     most = [max(max_share * (y == k).sum(), 1) for k in (0, 1)]
-    use = (seen[0] + seen[1] >= min_docs) & ((seen[0] <= most[0]) | (seen[1] <= most[1]))
-    own = use[col]
-    row, val, col = row[own], val[own], (np.cumsum(use) - 1)[col[own]]
-    names = names[use]
-    index = {int(f): i for i, f in enumerate(names)}
-    change = [(k, index[f], sign) for k, (t, o) in enumerate(p for x in terms for p in swaps(x, kinds)) for w, sign in ((t, 1.0), (o, -1.0)) for f in features(w) if f in index]
-    crow, ccol, cval = (np.array(c, t) for c, t in zip(zip(*change, strict=True) if change else [()] * 3, (np.int64, np.int64, float), strict=True))
-    n, m, k = len(y), len(names), int(crow.max()) + 1 if change else 0
-
-    def swapped(w: np.ndarray) -> np.ndarray:
-        d = np.bincount(crow, cval * w[ccol], k)
-        return fairness * 2 / k * np.bincount(ccol, cval * d[crow], m)
-
-    def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-        z = np.bincount(row, val * w[col], n) + bias
-        e = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g = np.bincount(col, val * e[row], m)
-        return (g + swapped(w) if k else g), float(e.sum())
-
-    v, top = np.ones(m) / max(m, 1) ** 0.5, 1.0
-    for _ in range(20):  # the largest curvature, by power iteration
-        u = 0.25 * np.bincount(col, val * (share * np.bincount(row, val * v[col], n))[row], m)
-        u = u + swapped(v) if k else u
-        top = max(float(np.linalg.norm(u)), 1e-12)
-        v = u / top
-    step = 1 / (1.5 * top + 0.25)
-    w, bias, t = np.zeros(m), 0.0, 1.0
+    names = names[(seen[0] + seen[1] >= min_docs) & ((seen[0] <= most[0]) | (seen[1] <= most[1]))]
+    goal = Objective(Rows(rows, names), y, Rows([a for a, _ in pairs], names), Rows([b for _, b in pairs], names), fairness)
+    step = 1 / goal.curvature()
+    w, bias, t = np.zeros(len(names)), 0.0, 1.0
     ahead, ahead_bias = w, bias
     for _ in range(steps):
-        g, gb = gradient(ahead, ahead_bias)
+        g, gb = goal.gradient(ahead, ahead_bias)
         moved = ahead - step * g
         new, new_bias = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0), ahead_bias - step * gb
         t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
@@ -146,24 +187,25 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         part = own.where(F.col("y") == y).orderBy(h, "doc_id").limit(rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
 
-    known = {t for kind in options.get("kinds", IDENTITY_TERMS) for t in kind}
+    kinds = options.pop("kinds", IDENTITY_TERMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            ids, counts = zip(*map(counted, words), strict=True)
-            lists = [pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array([sorted(w & known) for w in words], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "ids", "counts", "terms"])
+            texts = b.column("text").to_pylist()
+            rows = [hashed(words_of(t)) for t in texts]
+            pairs = [[hashed(side) for pair in swapped_sentences(t, kinds) for side in pair] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.list_(pa.int64())))], ["doc_id", "y", "row", "pairs"])
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, ids array<bigint>, counts array<int>, terms array<string>")
+    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, row array<bigint>, pairs array<array<bigint>>")
     got = found.toArrow().sort_by("doc_id")
-    ids, counts = ([np.asarray(x.values) for x in got[c]] for c in ("ids", "counts"))
-    return train(ids, counts, got["y"].to_pylist(), got["terms"].to_pylist(), **options)
+    sides = [np.asarray(p.values) for own in got["pairs"] for p in own]
+    return train([np.asarray(r.values) for r in got["row"]], got["y"].to_pylist(), list(zip(sides[::2], sides[1::2], strict=True)), **options)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``toxic_score`` (0 to 1) of every whole text; null and empty texts get the model's bias."""
+def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
+    """``docs`` with one more column, ``name``: the score (0 to 1) of every whole text; null and empty texts get the model's bias, repeated rows
+    equal scores, an empty table none. A column of ``docs`` that has the name stays, and the new one gets a name with ``_`` at its end."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -171,7 +213,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         own = shared.value
         return texts.map(own.score, na_action=None)
 
-    return docs.withColumn("toxic_score", score(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs.withColumn(free_name(docs.columns, name), score(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def op1_toxicity_counterfactual(spark, sf_dir) -> DataFrame:

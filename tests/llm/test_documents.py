@@ -1,6 +1,8 @@
 """Toxicity, language, sharding, licences and the pipeline on awkward rows and held-out rows."""
 
+import re
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -21,17 +23,46 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
 
 
-def test_swaps_are_penalised():
-    good, bad = ["the gay man walked home", "lovely day", "warm sun"] * 20, ["gay trash", "awful trash", "gay scum trash"] * 20
-    texts = [toxicity.words_of(t) for t in good + bad]
-    ids, counts = zip(*map(toxicity.counted, texts))
-    terms = [sorted(w & {"gay", "straight", "man"}) for w in texts]
-    gap = {}
-    for fairness in (0.0, 50.0):
-        m = toxicity.train(list(ids), list(counts), [0] * 60 + [1] * 60, terms, fairness=fairness, max_share=1.0, l1=1e-5)
-        gap[fairness] = abs(m.score("gay") - m.score("straight"))
-        assert m.score("trash") > 0.5 > m.score("lovely sun")
-    assert gap[50.0] < 0.3 * gap[0.0]
+def made_texts(rng, n=120):
+    """Toxic sentences that name one group often, clean ones that hardly do."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    bad, good, rest = ["trash", "scum", "idiots", "vermin"], ["lovely", "calm", "bright", "kind"], ["today", "yesterday", "again", "often", "there"]
+    toxic = [f"the gay neighbours are {pick(bad)} {pick(rest)}" if i % 2 else f"all of you are {pick(bad)} {pick(rest)}" for i in range(n)]
+    clean = [f"a {pick(good)} walk {pick(rest)} near the river" for _ in range(n - 4)] + ["the straight neighbours are kind today", "the gay neighbours are calm"] * 2
+    return clean, toxic
+
+
+def test_swaps_are_rescored_and_penalised():
+    """With the penalty fewer neutral mentions of a group are called toxic, and toxic sentences still are."""
+    rng = np.random.default_rng(11)
+    clean, toxic = made_texts(rng)
+    rows = [toxicity.hashed(toxicity.words_of(t)) for t in clean + toxic]
+    pairs = [tuple(map(toxicity.hashed, p)) for t in clean + toxic for p in toxicity.swapped_sentences(t)]
+    assert toxicity.swapped_sentences("Gay men. Nothing here!", (("gay", "straight"), ("men", "women"))) == [({"gay", "men"}, {"straight", "men"}), ({"gay", "men"}, {"gay", "women"})]
+    neutral = [f"gay {x} {y}" for x in ("neighbours", "teachers", "writers", "couple", "singers") for y in ("met at noon", "walked home", "read today", "spoke often")]
+    false, flips, caught, gap = {}, {}, {}, {}
+    for fairness in (0.0, toxicity.FAIRNESS):
+        m = toxicity.train(rows, [0] * len(clean) + [1] * len(toxic), pairs, fairness=fairness, max_share=1.0)
+        false[fairness] = sum(m.score(t) >= 0.5 for t in neutral)
+        flips[fairness] = sum((m.score(t) >= 0.5) != (m.score(t.replace("gay", "straight")) >= 0.5) for t in neutral)
+        caught[fairness] = np.mean([m.score(t) >= 0.5 for t in made_texts(rng)[1]])
+        gap[fairness] = np.mean([abs(m.score(t) - m.score(t.replace("gay", "straight"))) for t in neutral])
+    print("false positives", false, "by the term alone", flips, "caught", caught, "change of score", gap)
+    assert false[toxicity.FAIRNESS] < false[0.0] and flips[toxicity.FAIRNESS] < 0.5 * flips[0.0] and gap[toxicity.FAIRNESS] < 0.5 * gap[0.0]
+    assert caught[toxicity.FAIRNESS] >= 0.95
+
+
+def test_gradient_is_that_of_the_value():
+    rng = np.random.default_rng(12)
+    names = np.arange(9)
+    some = lambda n: toxicity.Rows([rng.integers(0, 12, 5).tolist() for _ in range(n)], names)
+    goal = toxicity.Objective(some(20), (np.arange(20) % 3 == 0).astype(float), some(7), some(7), 3.0)
+    w, bias, h = rng.normal(size=9), 0.3, 1e-6
+    g, gb = goal.gradient(w, bias)
+    for k in range(9):
+        e = np.eye(9)[k] * h
+        assert abs((goal.value(w + e, bias) - goal.value(w - e, bias)) / (2 * h) - g[k]) < 1e-6
+    assert abs((goal.value(w, bias + h) - goal.value(w, bias - h)) / (2 * h) - gb) < 1e-6
 
 
 def test_toxicity_awkward(spark):
@@ -39,10 +70,57 @@ def test_toxicity_awkward(spark):
     model = toxicity.learn(documents(spark), labels, held_out=4)
     out = toxicity.scored(documents(spark), model)
     assert out.count() == len(ROWS) and out.where("toxic_score is null or toxic_score < 0 or toxic_score > 1").count() == 0
+    kept = toxicity.scored(documents(spark).withColumn("Toxic_Score", F.lit("mine")), model)
+    assert kept.columns[-2:] == ["Toxic_Score", "toxic_score_"] and kept.where("Toxic_Score = 'mine'").count() == len(ROWS)
     none = toxicity.learn(documents(spark), labels.where("false"))
     assert toxicity.scored(documents(spark), none).where("toxic_score < 0.01").count() == len(ROWS)
 
 
+def brute_language(train, texts):
+    """Word log frequencies, backing off to the longest n-grams that are known; all in memory."""
+    words_of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts, langs = {}, sorted({x for _, x in train if x is not None})
+    for t, lang in train:
+        for w in words_of(t) if lang is not None else ():
+            counts.setdefault((0, w), Counter())[lang] += 1
+            for n in range(1, 5):
+                for g in language.grams(w, n):
+                    counts.setdefault((n, g), Counter())[lang] += 1
+    total = Counter()
+    for (n, _), c in counts.items():
+        for lang, k in c.items():
+            total[n, lang] += k
+
+    def vector(w):
+        if (0, w) in counts:
+            return np.array([np.log((counts[0, w][x] + 0.5) / (total[0, x] + 1)) for x in langs])
+        for n in range(4, 0, -1):
+            own = [g for g in language.grams(w, n) if (n, g) in counts]
+            if own:
+                return np.mean([[np.log((counts[n, g][x] + 0.5) / (total[n, x] + 1)) for x in langs] for g in own], 0)
+        return np.zeros(len(langs))
+
+    out = []
+    for t in texts:
+        ws = words_of(t)
+        z = sum(map(vector, ws), np.zeros(len(langs)))
+        out.append((langs[int(z.argmax())], 1 / np.exp(z - z.max()).sum()) if ws else ("und", 0.0))
+    return out
+
+
+def test_language_against_brute_force(spark, sf_dir):
+    """Rare, unseen and foreign words too, whatever the share of words that is broadcast."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang").limit(90).collect()]
+    train, texts = rows[:40], [t for t, _ in rows[40:]] + ["żółć 東京 zzzxq!", "", None, "12 _ \u3000 ²", "İstanbul'da ǅ", "the the unseenwordhere"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("lang_pred", F.lit("mine")).withColumn("no", F.lit(1))
+    want = brute_language(train, texts)
+    for entries in (0, 60, 400_000):
+        model = language.learn(spark.createDataFrame(train, "text string, lang string"), entries)
+        assert len(model.common) * len(model.langs) <= entries
+        got = sorted(language.identified(frame, model).collect())
+        assert all(r.lang_pred == "mine" and r.lang_pred_ == w[0] and abs(r.lang_score - w[1]) < 1e-6 for r, w in zip(got, want, strict=True)), entries
+
+
 def test_language(spark):
     out = language.op3_language_backoff(spark, "/root/testdata/sf0.01")
     rows = out.where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -52,6 +130,7 @@ def test_language(spark):
     assert [got[i].lang_pred for i in (3, 4, 5, 6, 8)] == ["und", "und", "und", "fr", "de"]
     none = language.learn(documents(spark).where("false"))
     assert language.identified(documents(spark), none).where("lang_pred = 'und' and lang_score = 0").count() == len(ROWS)
+    assert language.identified(documents(spark).where("false"), language.learn(documents(spark))).count() == 0
 
 
 def brute_shard(doc_id, n):
