@@ -17,9 +17,16 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Rows of a batch that goes to a Python worker, unless the session has fewer: whole texts are long, and a task holds a batch on either side.
+BATCH_ROWS = 2000
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it (a cluster without that path gets it by --py-files)."""
+    """Lets Python workers import this package from where the driver has it (a cluster without that path gets it by --py-files), and bounds their batches."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
