@@ -49,6 +49,10 @@ def hashed(words: Iterable[str]) -> list[int]:
     return [f for w in words for f in features(w)]
 
 
+def packed(words: Iterable[str]) -> bytes:
+    return np.array(hashed(words), np.uint32).tobytes()
+
+
 @dataclass
 class Model:
     bias: float
@@ -84,15 +88,19 @@ def swapped_sentences(text: str | None, kinds=IDENTITY_TERMS) -> list[tuple[set[
 
 
 class Rows:
-    """Sparse rows of feature counts; features that are not in the sorted ``names`` are left out."""
+    """Sparse rows of feature counts; features that are not in the sorted ``names`` are left out. Built some rows at a time, as most features are."""
 
     def __init__(self, rows: Sequence[Sequence[int]], names: np.ndarray):
-        flat = np.fromiter((f for r in rows for f in r), np.int64)
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        col = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
-        known = names[col] == flat if len(names) else np.zeros(len(flat), bool)
-        at, self.val = np.unique(row[known] * max(len(names), 1) + col[known], return_counts=True)
-        self.row, self.col, self.n, self.m = at // max(len(names), 1), at % max(len(names), 1), len(rows), len(names)
+        self.n, self.m = len(rows), len(names)
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
+        for a in range(0, self.n if self.m else 0, 256):
+            own = [np.asarray(r, np.uint32) for r in rows[a : a + 256]]
+            flat, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(r) for r in own])
+            col = np.minimum(np.searchsorted(names, flat), self.m - 1)
+            known = names[col] == flat
+            at, val = np.unique(row[known] * self.m + col[known], return_counts=True)
+            parts.append(((at // self.m + a).astype(np.int32), (at % self.m).astype(np.int32), val.astype(np.float32)))
+        self.row, self.col, self.val = map(np.concatenate, zip(*parts, strict=True))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -154,12 +162,17 @@ def train(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[
     if not len(y) or y.min() == y.max():
         base = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(math.log(base / (1 - base)), {})
-    texts = [np.unique(np.asarray(r, np.int64)) for r in rows]
-    names, col = np.unique(np.concatenate(texts), return_inverse=True)
-    label = np.repeat(y, [len(t) for t in texts])
-    seen = [np.bincount(col[label == k], minlength=len(names)) for k in (0, 1)]
-    most = [max(max_share * (y == k).sum(), 1) for k in (0, 1)]
-    names = names[(seen[0] + seen[1] >= min_docs) & ((seen[0] <= most[0]) | (seen[1] <= most[1]))]
+    seen = []
+    for k in (0, 1):
+        own = [np.unique(np.asarray(r, np.uint32)) for r, label in zip(rows, y, strict=True) if label == k]
+        seen.append(np.unique(np.concatenate(own), return_counts=True))
+    names = np.union1d(seen[0][0], seen[1][0])
+    docs = np.zeros((2, len(names)), np.int32)
+    for k, (f, n) in enumerate(seen):
+        docs[k, np.searchsorted(names, f)] = n
+    few = [docs[k] <= max(max_share * (y == k).sum(), 1) for k in (0, 1)]
+    names = names[(docs.sum(0) >= min_docs) & (few[0] | few[1])]
+    del seen, docs
     goal = Objective(Rows(rows, names), y, Rows([a for a, _ in pairs], names), Rows([b for _, b in pairs], names), fairness)
     step = 1 / goal.curvature()
     w, bias, t = np.zeros(len(names)), 0.0, 1.0
@@ -192,15 +205,16 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
-            rows = [hashed(words_of(t)) for t in texts]
-            pairs = [[hashed(side) for pair in swapped_sentences(t, kinds) for side in pair] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.list_(pa.int64())))], ["doc_id", "y", "row", "pairs"])
+            rows = [packed(words_of(t)) for t in texts]
+            pairs = [[packed(side) for pair in swapped_sentences(t, kinds) for side in pair] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], ["doc_id", "y", "row", "pairs"])
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, row array<bigint>, pairs array<array<bigint>>")
+    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, row binary, pairs array<binary>")
     got = found.toArrow().sort_by("doc_id")
-    sides = [np.asarray(p.values) for own in got["pairs"] for p in own]
-    return train([np.asarray(r.values) for r in got["row"]], got["y"].to_pylist(), list(zip(sides[::2], sides[1::2], strict=True)), **options)
+    unpacked = lambda x: np.frombuffer(x.as_buffer(), np.uint32)
+    sides = [unpacked(p) for own in got["pairs"] for p in own.values]
+    return train([unpacked(r) for r in got["row"]], got["y"].to_pylist(), list(zip(sides[::2], sides[1::2], strict=True)), **options)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
