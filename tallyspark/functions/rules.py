@@ -55,9 +55,21 @@ ROLES = {
 }
 UI_HEADERS = ["action", "actions", "product selection", "productselection"]
 # Phrases that name one company or place are left to the caller.
-NON_TABLE = ["date:", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "ref:", "reference:", "ref no:", "ref no.", "ref number", "cr no.:", "vat:", "address:", "gsm no.:", "mobile:", "mob:", "p.o box", "postal code", "cover page", "page", "terms & conditions", "terms and conditions", "general conditions", "project:", "supply", "installation", "furniture", "rehabilitation", "center", "with reference", "inquiry", "opportunity", "work on", "propose", "solutions", "kindly find", "including:", "for any further", "clarifications", "representative", "handling", "assistant", "enterprises", "we hope", "our proposal", "meeting", "looking forward", "sustainable", "business", "prices quoted", "inclusive of", "shipping", "vat 5%", "your site", "however", "any increase", "in the same", "this proposal", "price", "is strictly", "valid for", "days only", "offer is", "based on the", "quantities", "provided", "* cover", "* boq", "* general", "& condition"]
+NON_TABLE = ["date:", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "monday", "ref:", "reference:", "ref no:", "ref no.", "ref number", "cr no.:", "vat:", "address:", "gsm no.:", "mobile:", "mob:", "p.o box", "postal code", "cover page", "page", "terms & conditions", "terms and conditions", "general conditions", "project:", "supply", "installation", "furniture", "rehabilitation", "center", "with reference", "inquiry", "opportunity", "work on", "propose", "solutions", "kindly find", "including:", "for any further", "clarifications", "representative", "handling", "assistant", "enterprises", "we hope", "our proposal", "meeting", "looking forward", "sustainable", "business", "prices quoted", "inclusive of", "shipping", "vat 5%", "your site", "however", "any increase", "in the same", "this proposal", "price", "is strictly", "valid for", "days only", "offer is", "based on the", "quantities", "provided", "* cover", "* boq", "* general", "& condition"]
 NON_TABLE_PATTERNS = ["prices quoted.*inclusive", "valid for [0-9]+ days", "based on the quantities", "proposal.*price.*valid", "inclusive of.*shipping", "vat.*%"]
 NON_TABLE_PAGE = ["date", "ref.", "reference", "project", "terms", "conditions", "terms and conditions", "page", "page no", "page number", "cover", "letter", "prices quoted", "inclusive of", "shipping", "vat", "proposal", "price", "valid for", "days only", "offer", "based on", "quantities", "provided", "quoted", "are", "inclusive", "your site", "however", "any increase", "same", "strictly", "valid", "this", "is", "in", "the"]
 STANDARD_HEADERS = [("item code|^code$", "Item Code"), ("item name|^name$", "Item Name"), ("item details|^details$", "Item Details"), ("additional", "Additional Information"), ("^uom$", "UOM"), ("quantity|^qty$", "Quantity"), ("rate|price", "Rate"), ("amount|total", "Amount")]
 CLASSES = [("Seating", ["chair", "seating", "sofa", "bench", "stool", "seat"]), ("Desking", ["desk", "table", "workstation"]), ("Storage", ["cabinet", "storage", "shelf", "drawer"]), ("Lighting", ["lamp", "light"])]
 LISTING_SKIP = ["add to", "select option", "wishlist", "cart", "home", "archives", "open submenu", "contact for price", "showing", "filter", "sort by", "page", "next", "previous", "view:", "categories", "tags", "coffee table", "accessories", "new arrivals", "desks", "chairs", "storage", "sofa"]
+# What the header of a table of items has in it, the names of its fields in order of priority, and the words of repeated headers.
+ITEM_HEADERS = ["si.no", "item", "description", "qty", "unit", "rate", "amount", "price", "total"]
+ITEM_FIELDS = {
+    "description": ["description", "item", "item description", "particulars"],
+    "qty": ["qty", "quantity", "qnty"],
+    "unit": ["unit", "uom"],
+    "unit_rate": ["unit rate", "rate", "unit price", "price"],
+    "total": ["total", "amount", "total amount"],
+}
+REPEATED_HEADERS = ["si.no", "item description", "qty", "unit rate"]
+METHOD_BONUS = {"unstructured": 30, "layoutparser": 25, "layout_preserving": 20}
+PRICE_IN_PROSE = [r"(?:Price|Cost|AED|USD|\$|€|£)\s*:?\s*(\d+(?:[.,]\d{2})?)", r"(\d+(?:[.,]\d{2})?)\s*(?:AED|USD|\$|€|£)"]
