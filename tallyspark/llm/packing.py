@@ -79,16 +79,20 @@ class Encoder:
         return ids.flatten().to_numpy(), np.r_[0, np.cumsum(counts)]
 
 
+#: Pieces that a worker remembers, twice as many at most (about 200 bytes each, kept between tasks).
+REMEMBER = 400_000
+
+
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remember: int = REMEMBER) -> Encoder:
+    return Encoder(path, remember)
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``; only longer ones are cut, the first piece takes what is over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, remember), np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "data", 8 << 20):
             out: list[tuple] = []
             ids, at = encode(b.column("data"))
@@ -197,14 +201,15 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.withColumn("_p", place("length", "_rank")).select(*names, "_p.sequence_id", "_p.offset")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, text: str = "text", remember: int = REMEMBER) -> DataFrame:
     """One row per piece of every document: where its ids are and where they go. Null texts count as empty; each
-    row of ``docs`` is packed, also if it repeats another; other columns are not read."""
+    row of ``docs`` is packed, also if it repeats another; an empty table gives no rows; other columns are not read. ``remember`` trades a worker's memory
+    for its time, the rows are the same."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    return packed(token_pieces(docs, str(path), capacity, text=text), capacity)
+    return packed(token_pieces(docs, str(path), capacity, text=text, remember=remember), capacity)
 
 
 def op8_best_fit_packing(spark, sf_dir) -> DataFrame:
