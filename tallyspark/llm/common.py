@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,16 +19,18 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-#: Rows of a batch that goes to a Python worker, unless the session has fewer: whole texts are long, and a task holds a batch on either side.
+#: Rows and bytes of a batch that goes to a Python worker, unless the session has fewer: whole texts are long, and a task holds a batch on either side.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (a cluster without that path gets it by --py-files), and bounds their batches."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +87,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Returns this worker's free memory to the system, where its allocators can: the worker goes on to tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about ``max_bytes`` of a string or binary column (one row at least)."""
+    """The same rows in batches of at most about ``max_bytes`` of a string or binary column (one row at least).
+    After the last one the worker's free memory is given back."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -94,6 +107,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], n], strict=True):
             yield batch.slice(int(a), int(b - a))
+    give_back()
 
 
 def split_words(data: bytes | None) -> list[bytes]:
