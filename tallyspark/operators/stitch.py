@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
-from tallyspark.functions.text import any_of, category, is_price_header, number, number_or_zero, round2
+from tallyspark.functions.text import any_of, brand_in, category, image_sources, is_price_header, number, number_or_zero, round2, specifications, strip_tags
 from tallyspark.operators.costing import FACTORS, costed
 from tallyspark.operators.headers import hits, lowered
 
@@ -123,3 +123,23 @@ def display(text: Column, numeric: Column) -> Column:
     """numbers of numeric columns with separators and two decimals; texts of over 800 characters are cut to 797 and three dots."""
     shown = F.when(numeric & number(text).isNotNull(), F.format_number(number(text), 2)).otherwise(text)
     return F.when(F.length(shown) > 800, F.concat(F.left(shown, F.lit(797)), F.lit("..."))).otherwise(shown)
+
+
+def submittal_items(rows: DataFrame, brands: list[str] | None = None, unknown: str = "To be specified") -> DataFrame:
+    """X11: ``rows`` (headers, cells) of tables as items of a submittal: description, qty, unit, brand, specifications, images, image, finish, warranty.
+
+    The description is that of the first column named so, else of the last item or product column; rows without one go, and tables without
+    such a column. Quantity and unit come from the last columns named so (null without); images from all cells.
+    """
+    is_qty = lambda h: h.rlike("qty|quantity")
+    named = F.array_min(F.filter(F.transform(lowered("headers"), lambda h, i: F.when(h.rlike("descript|discript"), i)), lambda i: i.isNotNull()))
+    cell = lambda at: strip_tags(F.get("cells", at))
+    out = rows.withColumns({
+        "description": cell(F.coalesce(named, _last(lambda h: h.rlike("item|product")))),
+        "qty": cell(_last(is_qty)),
+        "unit": cell(_last(lambda h: F.contains(h, F.lit("unit")) & ~F.contains(h, F.lit("rate")) & ~is_qty(h))),
+        "images": F.flatten(F.transform("cells", lambda c: F.when(F.contains(c, F.lit("<img")), image_sources(c)).otherwise(F.array().cast("array<string>")))),
+    })
+    out = out.where(F.coalesce("description", F.lit("")) != "")
+    more = {"brand": brand_in(F.col("description"), brands or rules.KNOWN_MAKERS, unknown), "specifications": specifications(F.col("description")), "image": F.get("images", F.lit(0))}
+    return out.withColumns(more | {"finish": F.lit("As per manufacturer standard"), "warranty": F.lit("5 Years")})

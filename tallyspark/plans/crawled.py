@@ -50,3 +50,33 @@ def w14(spark, d):
     head = li.select(F.col("l_orderkey").alias("doc_id")).distinct().select("doc_id", F.inline(F.array(word(30.0, 60.0, F.lit(100), F.lit("Item")), word(200.0, 300.0, F.lit(100), F.lit("Quantity")))))
     box = {c: F.lit(v) for c, v in (("page", 1), ("page_left", 0.0), ("page_top", 0.0), ("page_right", 600.0), ("page_bottom", 800.0))}
     return crawl.table_region(row.unionByName(head).withColumns(box)).select("doc_id", "header_y", "top", "bottom", "left", "right")
+
+
+@query(
+    "S8_crawl_products",
+    """WITH p AS (SELECT *, p_partkey % 3 AS k FROM part)
+SELECT p_partkey AS page_id, 'http://shop/chairs/oak/product/item-' || p_partkey AS source_url, p_name || ' by' AS model, 'http://i/' || p_partkey || '.png' AS image_url, p_partkey || '.50' AS price, 'about ' || p_brand AS description, 'Chairs > Oak' AS collection FROM p WHERE k = 0
+UNION ALL SELECT p_partkey, 'http://shop/desks/product/' || p_partkey, p_name, 'http://i/' || p_partkey || '.jpg', '12', p_type, 'Desks > ' || p_partkey FROM p WHERE k = 1
+UNION ALL SELECT p_partkey, 'http://shop/product/' || x || '-' || p_partkey, p_name || ' ' || x, NULL, NULL, NULL, 'Product Category > Sofas' FROM p, (VALUES ('one'), ('two')) v(x) WHERE k = 2""",
+)
+def s8(spark, d):
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    link = lambda x: F.concat(F.lit("["), F.col("p_name"), F.lit(f" {x}](http://shop/product/{x}-"), n, F.lit(")"))
+    url = F.when(k == 0, F.concat(F.lit("http://shop/chairs/oak/product/item-"), n)).when(k == 1, F.concat(F.lit("http://shop/desks/product/"), n)).otherwise(F.concat(F.lit("http://shop/product-category/sofas/"), n))
+    prose = F.concat(F.lit("# "), F.col("p_name"), F.lit("\n\n"), F.col("p_type"), F.lit("\n\nUSD 12 ![a](http://i/"), n, F.lit(".jpg)"))
+    text = F.when(k == 0, F.concat(F.lit("Price: "), n, F.lit(".50"))).when(k == 1, prose).otherwise(F.concat_ws(" ", link("one"), link("two"), link("one"), F.lit("[Next page](http://shop/product-category/sofas/2)")))
+    meta = F.create_map(F.lit("title"), F.concat("p_name", F.lit(" by Acme | Shop")), F.lit("ogImage"), F.concat(F.lit("http://i/"), n, F.lit(".png")), F.lit("description"), F.concat(F.lit("about "), F.col("p_brand")))
+    crawl_pages = _read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), text.alias("markdown"), F.when(k == 0, meta).alias("metadata"))
+    return crawl.crawled_products(crawl_pages, "Acme").select("page_id", "source_url", "model", "image_url", "price", "description", "collection")
+
+
+_PARTS_SQL = "list_filter(list_transform(regexp_extract_all(regexp_extract(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: " + _strip_sql("x") + f"), lambda t: length(t) > 100 AND NOT regexp_matches(lower(t), '{crawl.MAIN_NOISE}'))"
+
+
+@query(
+    "X25_main_text",
+    f"""WITH p AS (SELECT page_id, trim(array_to_string({_PARTS_SQL}, ' ')) AS text FROM pages), s AS (SELECT page_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS pos FROM p),
+f AS (SELECT page_id, arg_min(s, pos) AS s, min(pos) AS pos FROM s WHERE trim(s) <> '' GROUP BY page_id, lower(trim(s))) SELECT page_id, left(string_agg(s, '. ' ORDER BY pos), 1500) AS about FROM f GROUP BY page_id""",
+)
+def x25(spark, d):
+    return crawl.main_text(_read(spark, d, "pages"))

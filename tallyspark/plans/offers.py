@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import rules
 from tallyspark.operators import costing, stitch, tables
 from tallyspark.plans.catalog import _FACTORS_SQL, FACTOR_ROWS, _read, query
 from tallyspark.sources import io
@@ -142,3 +143,25 @@ def f23(spark, d):
     even = F.col("doc_id") % 2 == 0
     text = F.when(even, F.concat(F.lit("AED "), (F.col("doc_id") * 1234).cast("string"), F.lit(".50"))).otherwise(F.col("text"))
     return docs.select("doc_id", stitch.display(text, even).alias("shown"))
+
+
+_FOUND_SQL = "list_transform(list_filter([{}], lambda w: contains(lower(d), w)), lambda w: upper(w[1]) || w[2:])"
+_MADE_SQL, _COLOURS_SQL = (_FOUND_SQL.format(", ".join(f"'{w}'" for w in words)) for words in (rules.MATERIALS, rules.COLOURS))
+
+
+@query(
+    "X11_submittal",
+    f"""WITH p AS (SELECT p_partkey, p_size, p_brand || ' ' || p_name || ' 120 x 60 cm' || CASE p_partkey % 3 WHEN 0 THEN ' by sedus' WHEN 1 THEN ' steel' ELSE '' END AS d FROM part),
+s AS (SELECT *, {_MADE_SQL} AS m, {_COLOURS_SQL} AS c FROM p)
+SELECT p_partkey AS doc_id, d AS description, p_size::VARCHAR AS qty, 'pcs' AS unit, CASE p_partkey % 3 WHEN 0 THEN 'Sedus' ELSE 'Brand' END AS brand,
+  concat_ws('; ', 'Dimensions: 120 x 60 cm', CASE WHEN len(m) > 0 THEN 'Materials: ' || array_to_string(m, ', ') END, CASE WHEN len(c) > 0 THEN 'Available Colors: ' || array_to_string(c, ', ') END) AS specifications,
+  CASE WHEN p_partkey % 2 = 0 THEN 'imgs/' || p_partkey || '.png' END AS image, '5 Years' AS warranty FROM s""",
+)
+def x11(spark, d):
+    key = F.col("p_partkey")
+    end = F.when(key % 3 == 0, " by sedus").when(key % 3 == 1, " steel").otherwise("")
+    about = F.concat(F.lit("<b>"), F.col("p_brand"), F.lit("</b> "), F.col("p_name"), F.lit(" 120 x 60 cm"), end)
+    image = F.when(key % 2 == 0, F.concat(F.lit("<img src='imgs/"), key.cast("string"), F.lit(".png'>"))).otherwise("-")
+    heads = F.array(*map(F.lit, ["Item", "Product Discription", "Image", "Qty", "Unit", "Unit Rate"]))
+    rows = _read(spark, d, "part").select(key.alias("doc_id"), heads.alias("headers"), F.array(F.col("p_name"), about, image, F.col("p_size").cast("string"), F.lit("pcs"), F.lit("1.00")).alias("cells"))
+    return stitch.submittal_items(rows).select("doc_id", "description", "qty", "unit", "brand", F.array_join("specifications", "; ").alias("specifications"), "image", "warranty")

@@ -34,3 +34,35 @@ def test_new_by_page(spark):
     rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "x")]
     got = crawl.new_by_page(spark.createDataFrame(rows, "site string, page int, source_url string")).collect()
     assert sorted((r.site, r.page, r.new, r.wanted) for r in got) == [("a", 1, 2, True), ("a", 2, 0, False), ("a", 3, 1, False), ("b", 1, 1, True)]
+
+
+def test_crawled_products(spark):
+    rows = [
+        (1, "http://h/chairs/oak/product/nova", "Now AED 20", {"title": "Nova - Acme", "ogImage": "http://i/1"}),
+        (2, "http://h/x", "# Buy Luna\n\nA desk.\n\n![x](http://i/2)", {"ogType": "product"}),
+        (3, "http://h/product-category/", "[Sola](http://h/product/sola) [View all](http://h/product/all) [Sola again](http://h/product/sola)", None),
+        (4, "http://h/product/x", None, {"title": "x"}),
+        (5, "http://h/news", "nothing", None),
+        (6, None, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, markdown string, metadata map<string,string>")
+    got = {r.page_id: r for r in crawl.crawled_products(pages, "Acme").collect()}
+    assert {k: (r.model, r.image_url, r.price, r.description, r.collection) for k, r in got.items()} == {
+        1: ("Nova", "http://i/1", "20", None, "Chairs > Oak"),
+        2: ("Luna", "http://i/2", None, "A desk.", "X"),
+        3: ("Sola", None, None, None, "Product Category > general"),
+    }
+    assert got[3].source_url == "http://h/product/sola" and crawl.crawled_products(pages.where("false"), "Acme").count() == 0
+
+
+def test_main_text(spark):
+    long = "A chair of oak with a seat of wool. " * 4
+    rows = [
+        (1, f"<meta name='description' content='{'good chair ' * 6}'><section><h2>About this product</h2><p>Made by hand in small series.</p><p>short</p></section><article><p>{long}</p></article>"),
+        (2, f'<div class="product-info"><p>{"Soft seat, firm back and legs of steel, " * 2}</p><p>{"We use a cookie to see what you do here. " * 2}</p></div><main><p>{long}</p></main>'),
+        (3, f"<main><p>{long}</p><p>menu {long}</p></main>"),
+        (4, "<p>no main part</p>"),
+        (5, None),
+    ]
+    got = {r.page_id: r.about for r in crawl.main_text(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert got == {1: ("good chair " * 6).strip() + " Made by hand in small series.", 2: ("Soft seat, firm back and legs of steel, " * 2).strip(), 3: "A chair of oak with a seat of wool. A chair of oak with a seat of wool."}

@@ -57,3 +57,16 @@ def test_candidates_and_text(spark):
     got = [tuple(r) for r in texts.select(stitch.price_in_prose(F.col("t")), stitch.display(F.col("t"), F.col("n"))).collect()]
     assert [g[0] for g in got] == ["12.50", "30", "1250", None, None]
     assert [g[1] for g in got] == ["Price: 12.50 AED", "only 30 €", "1,250.50", "x" * 797 + "...", "none"]
+
+
+def test_submittal_items(spark):
+    rows = [
+        (["Item", "Description", "Quantity", "Unit", "Unit Rate"], ["a", "Oak <b>desk</b> by knoll<img src='x.png'>", "2", "pcs", "9"]),
+        (["Product", "Qty"], ["lamp of glass <img src='a.png'><img src=\"b.png\">", "3"]),
+        (["Item", "Description"], ["a", ""]),
+        (["Name"], ["a"]),
+        (["Item", "Description"], ["short row"]),
+    ]
+    got = stitch.submittal_items(spark.createDataFrame(rows, "headers array<string>, cells array<string>").coalesce(1)).collect()
+    assert [(r.description, r.qty, r.unit, r.brand, r.image, len(r.images)) for r in got] == [("Oak desk by knoll", "2", "pcs", "Knoll", "x.png", 1), ("lamp of glass", "3", None, "To be specified", "a.png", 2)]
+    assert got[1].specifications == ["Materials: Glass"] and got[0].specifications == ["Oak desk by knoll"]
