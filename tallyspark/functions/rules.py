@@ -23,6 +23,7 @@ PRICE_HEADERS = ["rate", "price", "amount", "total", "cost"]
 SUMMARY = ["total", "subtotal", "vat", "grand total", "balance", "net total", "final total"]
 MATERIALS = ["wood", "metal", "steel", "aluminum", "fabric", "leather", "plastic", "glass", "laminate"]
 COLOURS = ["black", "white", "grey", "gray", "brown", "blue", "red", "green", "beige"]
+IMAGE_COLUMNS = ["image", "img", "picture", "photo", "indicative"]
 KNOWN_MAKERS = ["Sedus", "Narbutas", "Sokoa", "B&T", "Herman Miller", "Steelcase", "Vitra", "Knoll", "Haworth"]
 TIERS = ["budgetary", "mid_range", "high_end"]
 LEAD_TIME = {"budgetary": "2-3 weeks", "mid_range": "4-6 weeks", "high_end": "6-10 weeks"}

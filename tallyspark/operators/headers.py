@@ -177,6 +177,18 @@ def sheet_rows(grid: DataFrame) -> DataFrame:
     return rows.where(F.exists("cells", lambda c: F.trim(c) != "")).drop("start")
 
 
+def live_columns(grid: DataFrame) -> DataFrame:
+    """``sheet_rows`` without the columns that are empty below the head; columns of images stay, as their cells hold no text."""
+    rows = grid.join(sheet_start(grid), TABLE).where("row_idx >= start").where(F.exists("cells", lambda c: F.trim(c) != ""))
+    head = F.max(F.when(F.col("row_idx") == F.col("start"), F.col("cells"))).alias("_head")
+    heads = rows.groupBy(*TABLE).agg(head)
+    below = rows.where("row_idx > start").select(*TABLE, F.posexplode("cells").alias("at", "c")).where("trim(c) <> ''")
+    live = below.groupBy(*TABLE).agg(F.collect_set("at").alias("_live"))
+    out = rows.join(heads, TABLE).join(live, TABLE, "left")
+    stays = lambda i: F.coalesce(F.array_contains("_live", i), F.lit(False)) | F.coalesce(F.lower(F.get("_head", i)).rlike(any_of(rules.IMAGE_COLUMNS)), F.lit(False))
+    return out.withColumn("cells", F.filter("cells", lambda c, i: stays(i))).drop("start", "_head", "_live")
+
+
 def rendered(grid: DataFrame) -> DataFrame:
     """(doc_id, table_idx, markdown); pipes in cells are escaped, row 0 gets the line below it. A table is one text, as its reader needs it."""
     line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.replace(strip_tags(c), F.lit("|"), F.lit("\\|"))), " | ", ""), F.lit(" |"))
