@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules
 from tallyspark.functions.text import absolute_url, any_of, clean_category, strip_tags, title_case
 
-ANCHOR = r"(?is)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-PRODUCT_PATH = "/product/|/products/|/item/|/detail/|/p/"
+#: The first group keeps its quotes, if it has any.
+ANCHOR = r"(?is)<a\s(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)[^>]*>(.*?)</a>"
+PRODUCT_PATH = "/product/|/products/|/item/|/detail/|/p/|prodotto|scheda"
 CATEGORY_PATH = "/product-category/|/category/|/categories/|/collection/|/collections/"
 FRAMEWORKS = "react|angular|vue|__next|ng-app"
 # Makers whose hosts are routed alike.
@@ -20,7 +21,8 @@ def links(pages: DataFrame, within: str | None = None) -> DataFrame:
     """(page_id, url, pos, href, target, text) of every anchor, or of those in one element such as ``nav``."""
     html = F.col("html") if within is None else F.array_join(F.regexp_extract_all("html", F.lit(f"(?is)<{within}[^>]*>(.*?)</{within}>"), 1), " ")
     spans = pages.select("page_id", "url", html.alias("_h"))
-    pair = F.arrays_zip(F.regexp_extract_all("_h", F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all("_h", F.lit(ANCHOR), 2).alias("text"))
+    href = F.transform(F.regexp_extract_all("_h", F.lit(ANCHOR), 1), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
+    pair = F.arrays_zip(href.alias("href"), F.regexp_extract_all("_h", F.lit(ANCHOR), 2).alias("text"))
     rows = spans.select("page_id", "url", F.posexplode(pair).alias("pos", "a"))
     return rows.select("page_id", "url", "pos", F.col("a.href").alias("href"), absolute_url(F.col("a.href"), F.col("url")).alias("target"), strip_tags(F.col("a.text")).alias("text"))
 

@@ -1,11 +1,11 @@
-"""Registered queries about single values, cells and links, with their SQL twins."""
+"""Registered queries about single values, cells, links and tables of pages, with their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules, text
-from tallyspark.operators import catalogue, costing, headers, layout, pages, tables
+from tallyspark.operators import catalogue, costing, headers, items, layout, pages, tables
 from tallyspark.plans.catalog import _read, query
 
 
@@ -214,3 +214,68 @@ def x30(spark, d):
 def j11(spark, d):
     images = F.when(_key() % 3 < 2, F.array(F.lit("imgs/first.png"), _cat("imgs/", _no(), ".png"))).otherwise(F.array().cast("array<string>"))
     return _read(spark, d, "part").select("p_partkey", catalogue.found_image(F.when(_key() % 3 == 0, _cat("/", _no(), ".png")).otherwise(""), images).alias("image"))
+
+
+@query("X26_path_links", "SELECT p_partkey AS page_id, 'http://h/product/' || p_partkey AS target, 0 AS pos FROM part UNION ALL SELECT p_partkey, 'http://h/it/scheda-' || p_partkey, 2 FROM part")
+def x26(spark, d):
+    html = _cat("<a class=x href='/product/", _no(), "'>a</a><a href=/product-category/product/", _no(), '>b</a><a href="/it/scheda-', _no(), '"><b>c</b></a><a data-href="/p/1" name="n">d</a><a HREF = "/product/', _no(), '">again</a><a href="/other">e</a>')
+    return pages.product_links(_read(spark, d, "part").select(_key().alias("page_id"), F.lit("http://h/a").alias("url"), html.alias("html")))
+
+
+@query(
+    "W1_merged_pages",
+    """WITH t AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page, l_orderkey % 3 AS kind, (l_orderkey + l_linenumber) % 3 AS k FROM lineitem),
+n AS (SELECT *, CASE WHEN page - lag(page) OVER (PARTITION BY doc_id ORDER BY page) = 1 AND (kind <> 1 OR k = 1) THEN 0 ELSE 1 END AS fresh FROM t)
+SELECT doc_id, page, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page)::BIGINT AS merged_id, fresh = 0 AND kind = 2 AS header_is_data FROM n""",
+)
+def w1(spark, d):
+    heads = lambda *h: F.array(*map(F.lit, h))
+    kind, k = F.col("doc_id") % 3, (F.col("doc_id") + F.col("page")) % 3
+    same = heads("No", "Item", "Qty")
+    turns = F.when(k == 0, same).when(k == 1, heads("", " ", "")).otherwise(heads("Ref", "Name"))
+    t = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).distinct()
+    t = t.withColumns({"table_idx": F.lit(0), "headers": F.when(kind == 0, same).when(kind == 1, turns).otherwise(heads("1", "Desk", "20.50"))})
+    return tables.merge_pages(t).select("doc_id", "page", "merged_id", "header_is_data")
+
+
+@query(
+    "W13_word_grid",
+    """WITH w AS (SELECT l_orderkey AS doc_id, 100 + 20.0::DOUBLE * l_linenumber AS top, unnest([1, 2, 3])::BIGINT AS column_no, unnest([l_linenumber::VARCHAR, 'oak', floor(l_quantity)::BIGINT::VARCHAR]) AS text, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT doc_id, top, column_no, string_agg(text, ' ' ORDER BY text) AS text FROM w WHERE 3 * n >= 10 GROUP BY doc_id, top, column_no""",
+)
+def w13(spark, d):
+    word = lambda x0, t: F.struct(F.lit(x0).alias("x0"), t.cast("string").alias("text"))
+    row = F.array(word(30.0, F.col("l_linenumber")), word(80.0, F.lit("oak")), word(200.0, F.floor("l_quantity")))
+    words = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") * 20 + 100.02).alias("top"), F.inline(row))
+    return layout.word_grid(words).select("doc_id", "top", "column_no", "text")
+
+
+@query(
+    "J5_overlapped",
+    """WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem), x AS (SELECT a.doc_id, a.n, b.n AS below FROM r a LEFT JOIN r b ON a.doc_id = b.doc_id AND b.n = a.n + 1)
+SELECT doc_id, n * 3 AS img_id, coalesce(below, n) AS row_idx FROM x UNION ALL SELECT doc_id, n * 3 + 1, coalesce(below, n) FROM x UNION ALL SELECT doc_id, n * 3 + 2, n FROM x""",
+)
+def j5(spark, d):
+    r = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n")).distinct()
+    boxes = r.select("doc_id", "page", F.col("n").alias("row_idx"), (F.col("n") * 100).alias("y0"), (F.col("n") * 100 + 60).alias("y1"))
+    image = lambda k, y0, y1: F.struct((F.col("n") * 3 + k).alias("img_id"), (F.col("n") * 100 + y0).alias("y0"), (F.col("n") * 100 + y1).alias("y1"))
+    images = r.select("doc_id", "page", F.inline(F.array(image(0, 50, 120), image(1, 72, 92), image(2, 62, 70))))
+    return items.images_by_overlap(images, boxes).select("doc_id", "img_id", "row_idx")
+
+
+@query("U6_similar_tables", "SELECT p_partkey AS doc_id, 1 AS table_idx FROM part WHERE p_partkey % 2 = 0")
+def u6(spark, d):
+    table = lambda i, *cells: F.struct(F.lit(i).alias("table_idx"), F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells]).alias("cells"))
+    rows = F.array(table(0, "Oak desk", "two of", "them"), table(1, _case(2, F.lit("OAK desk"), F.lit("w x y")), "two of", _case(2, F.lit("them"), F.lit("z"))), table(2, "quite another", "one"))
+    grid = _read(spark, d, "part").select(_key().alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("row_idx"), F.inline(rows))
+    return layout.similar_tables(grid).select("doc_id", "table_idx")
+
+
+@query(
+    "J13_linked_models",
+    "SELECT a.site, a.model, arg_min('/' || b.p_partkey, b.p_partkey) AS target FROM (SELECT DISTINCT p_brand AS site, p_name AS model FROM part) a JOIN part b ON a.site = b.p_brand AND contains(b.p_name, a.model) GROUP BY ALL",
+)
+def j13(spark, d):
+    part = _read(spark, d, "part")
+    found = part.select(F.col("p_brand").alias("site"), _key().alias("page_id"), F.lit(0).alias("pos"), _cat("/", _no()).alias("target"), _cat("see the ", F.upper(_name())).alias("text"))
+    return pages.linked_models(part.select(F.col("p_brand").alias("site"), _name().alias("model")), found)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tallyspark.operators import crawl
+from tallyspark.operators import crawl, pages
 
 
 def test_links_and_pages(spark):
@@ -66,3 +66,9 @@ def test_main_text(spark):
     ]
     got = {r.page_id: r.about for r in crawl.main_text(spark.createDataFrame(rows, "page_id int, html string")).collect()}
     assert got == {1: ("good chair " * 6).strip() + " Made by hand in small series.", 2: ("Soft seat, firm back and legs of steel, " * 2).strip(), 3: "A chair of oak with a seat of wool. A chair of oak with a seat of wool."}
+
+
+def test_links_of_any_quotes(spark):
+    html = "<a href='/a'>A</a><a class=x href=/b>B</a><A rel=\"n\" HREF = \"/c?x='1'\"><b>C</b></A><a data-href='/no'>D</a><abbr href='/no'>E</abbr><a href=\"\">F</a>"
+    got = pages.links(spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/x", None)], "page_id int, url string, html string")).orderBy("pos").collect()
+    assert [(r.href, r.text) for r in got] == [("/a", "A"), ("/b", "B"), ("/c?x='1'", "C"), ("", "F")]
