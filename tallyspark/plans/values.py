@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules, text
 from tallyspark.operators import catalogue, costing, headers, items, layout, pages, tables
 from tallyspark.plans.catalog import _read, query
+from tallyspark.sources import io
 
 
 def _cat(*parts):
@@ -279,3 +280,15 @@ def j13(spark, d):
     part = _read(spark, d, "part")
     found = part.select(F.col("p_brand").alias("site"), _key().alias("page_id"), F.lit(0).alias("pos"), _cat("/", _no()).alias("target"), _cat("see the ", F.upper(_name())).alias("text"))
     return pages.linked_models(part.select(F.col("p_brand").alias("site"), _name().alias("model")), found)
+
+
+@query(
+    "S10_text_rows",
+    """SELECT p_partkey AS doc_id, 0 AS table_idx, 0 AS row_idx, p_name AS cells FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, 0, 0, p_brand FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, 0, 2, p_type FROM part WHERE p_partkey % 3 > 0""",
+)
+def s10(spark, d):
+    part = _read(spark, d, "part")
+    grid = part.where("p_partkey % 3 = 0").select(_key().alias("doc_id"), F.lit(0).alias("table_idx"), F.lit(0).alias("row_idx"), F.array("p_name").alias("cells"))
+    texts = part.select(_key().alias("doc_id"), _cat(F.col("p_brand"), "\n \n", F.col("p_type")).alias("text"))
+    return io.with_text_rows(grid, texts).select("doc_id", "table_idx", "row_idx", F.array_join("cells", "|").alias("cells"))

@@ -29,9 +29,19 @@ def write_price_list(catalogue: DataFrame, path: str) -> None:
     out.where(F.length("Product Name") > 0).write.csv(path, header=True)
 
 
+def with_text_rows(grid: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of all tables and, of documents without a table, the lines of their text as rows of one cell (table 0, page 0 where the grid
+    has pages); lines without text go, so documents without any have no rows."""
+    bare = texts.join(grid.select("doc_id").distinct(), "doc_id", "left_anti")
+    lines = bare.select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("row_idx", "line")).where("trim(line) <> ''")
+    rows = lines.select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("table_idx"), "row_idx", F.array("line").alias("cells"))
+    names = ["doc_id", *(["page"] if "page" in grid.columns else []), "table_idx", "row_idx", "cells"]
+    return grid.select(*names).unionByName(rows.select(*names))
+
+
 def write_tables(grid: DataFrame, path: str) -> None:
-    """One folder per document and table."""
-    grid.write.partitionBy("doc_id", "table_idx").parquet(path)
+    """One folder per document, page (where the grid has pages) and table."""
+    grid.write.partitionBy(*[c for c in ("doc_id", "page", "table_idx") if c in grid.columns]).parquet(path)
 
 
 def offer_rows(items: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:

@@ -67,3 +67,13 @@ def test_delimited_grid(spark):
     df = spark.createDataFrame([(1, "a\tb\n1\t2\nlone"), (2, "a  b\nc   d"), (3, "a|b"), (4, ""), (5, None)], "doc_id int, text string")
     assert sorted((r.doc_id, r.row_idx, r.cells) for r in tables.delimited_grid(df).collect()) == [(1, 0, ["a", "b"]), (1, 1, ["1", "2"]), (2, 0, ["a", "b"]), (2, 1, ["c", "d"])]
     assert tables.delimited_grid(df.select("doc_id", F.col("text").alias("t")), "t").count() == 4
+
+
+def test_tables_by_page_and_text_rows(spark, tmp_path):
+    grid = spark.createDataFrame([(1, 0, 0, 0, ["a", "b"]), (1, 2, 1, 0, ["c"])], "doc_id int, page int, table_idx int, row_idx int, cells array<string>")
+    texts = spark.createDataFrame([(1, "not read"), (2, "one\n \ntwo"), (3, ""), (4, None)], "doc_id int, text string")
+    io.write_tables(io.with_text_rows(grid, texts), str(tmp_path / "out"))
+    assert sorted(str(p.relative_to(tmp_path / "out").parent) for p in (tmp_path / "out").rglob("*.parquet")) == ["doc_id=1/page=0/table_idx=0", "doc_id=1/page=2/table_idx=1", "doc_id=2/page=0/table_idx=0"]
+    got = spark.read.parquet(str(tmp_path / "out")).where("doc_id = 2").orderBy("row_idx").collect()
+    assert [(r.row_idx, r.cells) for r in got] == [(0, ["one"]), (2, ["two"])]
+    assert io.with_text_rows(grid.drop("page"), texts).columns == ["doc_id", "table_idx", "row_idx", "cells"]
