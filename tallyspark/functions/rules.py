@@ -75,3 +75,6 @@ ITEM_FIELDS = {
 REPEATED_HEADERS = ["si.no", "item description", "qty", "unit rate"]
 METHOD_BONUS = {"unstructured": 30, "layoutparser": 25, "layout_preserving": 20}
 PRICE_IN_PROSE = [r"(?:Price|Cost|AED|USD|\$|€|£)\s*:?\s*(\d+(?:[.,]\d{2})?)", r"(\d+(?:[.,]\d{2})?)\s*(?:AED|USD|\$|€|£)"]
+# Titles that are controls, and entries of menus that are no category.
+PRODUCT_NOISE = ["open submenu", "close submenu", "toggle", "menu", "back", "search", "cart", "account", "login", "register", "checkout", "view all", "read more", "select options", "add to cart", "filter", "sort", "previous", "next"]
+MENU_SKIP = ["home", "about", "contact", "blog", "news", "login", "register", "cart", "checkout", "account", "search", "menu", "close", "more", "view all", "see all", "all products", "shop", "store", "back", "close submenu", "open submenu", "reserved area", "download", "projects", "designer", "company", "history", "environment", "certifications", "showroom", "whistleblowing", "find out more", "share by", "share", "mail", "email"]

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
-from tallyspark.functions.text import any_of, category_from_url, clean_title, strip_tags, subcategory_from_url
-from tallyspark.operators.pages import listing_products, sentences_once
+from tallyspark.functions.text import any_of, category_from_url, clean_title, subcategory_from_url
+from tallyspark.operators.pages import listing_products
 from tallyspark.operators.stitch import price_in_prose
 
 # Patterns of links and pages.
@@ -17,7 +17,6 @@ NO_PRODUCT_PAGE = "/product-category/|/category/|/archive|/page/[0-9]+"
 PRODUCT_PAGE = r"/(product|item|p)/[^/]+/?$|-[0-9]+\.html$"
 CATEGORY_PAGE = "/product-category/|/category/|/product-tag/|/collection/|/shop/?$|/products/?$"
 ABOUT = "about\\s+this\\s+product|description|über\\s+das\\s+produkt"
-DESCRIBED = "description|product[^\"]*detail|detail[^\"]*product|info|text|content|cmptxt"
 NOISE, MAIN_NOISE = "cookie|privacy|terms|menu|navigation|skip to", "cookie|privacy|menu|navigation|login|register"
 PRODUCT_LINK = r"\[[^\n]*?\]\([^\n]*?/product/[^\n]*?\)"
 
@@ -107,26 +106,3 @@ def crawled_products(pages: DataFrame, brand: str) -> DataFrame:
     inner = listing_products(listed.withColumn("page_id", F.struct("page_id", "category", "subcategory")))
     many = inner.select("page_id.page_id", F.col("target").alias("source_url"), F.col("title").alias("model"), "page_id.category", "page_id.subcategory")
     return one.unionByName(many, allowMissingColumns=True).withColumn("collection", F.concat_ws(" > ", "category", "subcategory"))
-
-
-def main_text(pages: DataFrame, most: int = 1500) -> DataFrame:
-    """(page_id, about) of pages (page_id, html): the page's description of over 50 characters and the texts below a heading about the product;
-    without any, the texts of the first five blocks whose class says description, detail, text or content; else those of ``main`` or
-    ``article``. Paragraphs count from 20, 50 and 100 characters on; those of cookies, menus and the like do not in the last two. Of
-    equal sentences the first stays (U8); the result is cut at ``most`` characters. Pages without a text give no row."""
-    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-
-    def paragraphs(block: Column, least: int, noise: str | None) -> Column:
-        texts = F.transform(F.regexp_extract_all(block, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1), strip_tags)
-        return F.filter(texts, lambda t: (F.length(t) > least) & (~F.lower(t).rlike(noise) if noise else F.lit(True)))
-
-    tag = F.regexp_extract(html, r"(?is)<meta[^>]*name=[\"']description[\"'][^>]*>", 0)
-    meta = F.filter(F.array(strip_tags(F.regexp_extract(tag, r"(?is)content=[\"']([^\"']*)[\"']", 1))), lambda t: F.length(t) > 50)
-    about = F.regexp_extract(html, rf"(?is)<h[1-4][^>]*>[^<]*(?:{ABOUT})[^<]*</h[1-4]>(.*?)(?:<h[1-4]|</section>|\z)", 1)
-    blocks = F.regexp_extract_all(html, F.lit(rf"(?is)<(div|section)[^>]*class=\"[^\"]*(?:{DESCRIBED})[^\"]*\"[^>]*>(.*?)</\1>"), 2)
-    described = F.flatten(F.transform(F.slice(blocks, 1, 5), lambda b: paragraphs(b, 50, NOISE)))
-    main = paragraphs(F.regexp_extract(html, r"(?is)<(main|article)[^>]*>(.*?)</\1>", 2), 100, MAIN_NOISE)
-    read = pages.select(F.col("page_id").alias("doc_id"), F.concat(meta, paragraphs(about, 20, None)).alias("first"), described.alias("second"), main.alias("third"))
-    parts = F.when(F.size("first") > 0, F.col("first")).when(F.size("second") > 0, F.col("second")).otherwise(F.col("third"))
-    joined = read.select("doc_id", F.trim(F.regexp_replace(F.array_join(parts, " "), "\\s+", " ")).alias("text"))
-    return sentences_once(joined, "text", most).select(F.col("doc_id").alias("page_id"), "about")

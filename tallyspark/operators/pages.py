@@ -10,9 +10,9 @@ from tallyspark.functions.text import absolute_url, any_of, clean_category, stri
 
 #: The first group keeps its quotes, if it has any.
 ANCHOR = r"(?is)<a\s(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)[^>]*>(.*?)</a>"
+# Paths of products and of categories.
 PRODUCT_PATH = "/product/|/products/|/item/|/detail/|/p/|prodotto|scheda"
 CATEGORY_PATH = "/product-category/|/category/|/categories/|/collection/|/collections/"
-FRAMEWORKS = "react|angular|vue|__next|ng-app"
 # Makers whose hosts are routed alike.
 ITALIAN_MAKERS = ["martex", "manerba", "las", "frezza", "fantoni", "della valentina", "bralco", "ibebi", "estel", "arcadia", "unifor"]
 
@@ -40,12 +40,6 @@ def categories(pages: DataFrame) -> DataFrame:
     return found.withColumn("_r", rank).where("_r = 1").select("site", "category", "target", "page_id")
 
 
-def needs_script(pages: DataFrame) -> DataFrame:
-    """Pages with little text or a framework's name."""
-    text = F.length(strip_tags(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")))
-    return pages.select("page_id", text.cast("long").alias("text_chars"), ((text < 500) | F.lower("html").rlike(FRAMEWORKS)).alias("needs_script"))
-
-
 def sentences_once(docs: DataFrame, text: str, cap: int = 1500) -> DataFrame:
     """U8: of equal sentences (without case) the first stays, in order; the result is cut at ``cap`` characters."""
     rows = docs.select("doc_id", F.posexplode(F.split(F.col(text), r"\. ")).alias("pos", "s")).withColumn("_k", F.lower(F.trim("s")))

@@ -295,14 +295,6 @@ def f12(spark, d):
     return _read(spark, d, "pages").select("page_id", text.category_from_url(F.col("url")).alias("category"), text.subcategory_from_url(F.col("url")).alias("subcategory"))
 
 
-_TEXT_SQL = _strip_sql("regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')")
-
-
-@query("X23_needs_script", f"WITH t AS (SELECT page_id, html, length({_TEXT_SQL}) AS text_chars FROM pages) SELECT page_id, text_chars, text_chars < 500 OR regexp_matches(lower(html), '{pages.FRAMEWORKS}') AS needs_script FROM t")
-def x23(spark, d):
-    return pages.needs_script(_read(spark, d, "pages"))
-
-
 @query("U8_sentences", "WITH s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS pos FROM documents), f AS (SELECT doc_id, arg_min(s, pos) AS s, min(pos) AS pos FROM s WHERE trim(s) <> '' GROUP BY doc_id, lower(trim(s))) SELECT doc_id, left(string_agg(s, '. ' ORDER BY pos), 1500) AS about, count(*) AS sentences FROM f GROUP BY doc_id")
 def u8(spark, d):
     return pages.sentences_once(_read(spark, d, "documents"), "text")

@@ -68,15 +68,3 @@ def s8(spark, d):
     meta = F.create_map(F.lit("title"), F.concat("p_name", F.lit(" by Acme | Shop")), F.lit("ogImage"), F.concat(F.lit("http://i/"), n, F.lit(".png")), F.lit("description"), F.concat(F.lit("about "), F.col("p_brand")))
     crawl_pages = _read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), url.alias("url"), text.alias("markdown"), F.when(k == 0, meta).alias("metadata"))
     return crawl.crawled_products(crawl_pages, "Acme").select("page_id", "source_url", "model", "image_url", "price", "description", "collection")
-
-
-_PARTS_SQL = "list_filter(list_transform(regexp_extract_all(regexp_extract(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: " + _strip_sql("x") + f"), lambda t: length(t) > 100 AND NOT regexp_matches(lower(t), '{crawl.MAIN_NOISE}'))"
-
-
-@query(
-    "X25_main_text",
-    f"""WITH p AS (SELECT page_id, trim(array_to_string({_PARTS_SQL}, ' ')) AS text FROM pages), s AS (SELECT page_id, unnest(string_split(text, '. ')) AS s, generate_subscripts(string_split(text, '. '), 1) AS pos FROM p),
-f AS (SELECT page_id, arg_min(s, pos) AS s, min(pos) AS pos FROM s WHERE trim(s) <> '' GROUP BY page_id, lower(trim(s))) SELECT page_id, left(string_agg(s, '. ' ORDER BY pos), 1500) AS about FROM f GROUP BY page_id""",
-)
-def x25(spark, d):
-    return crawl.main_text(_read(spark, d, "pages"))

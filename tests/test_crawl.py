@@ -55,19 +55,6 @@ def test_crawled_products(spark):
     assert got[3].source_url == "http://h/product/sola" and crawl.crawled_products(pages.where("false"), "Acme").count() == 0
 
 
-def test_main_text(spark):
-    long = "A chair of oak with a seat of wool. " * 4
-    rows = [
-        (1, f"<meta name='description' content='{'good chair ' * 6}'><section><h2>About this product</h2><p>Made by hand in small series.</p><p>short</p></section><article><p>{long}</p></article>"),
-        (2, f'<div class="product-info"><p>{"Soft seat, firm back and legs of steel, " * 2}</p><p>{"We use a cookie to see what you do here. " * 2}</p></div><main><p>{long}</p></main>'),
-        (3, f"<main><p>{long}</p><p>menu {long}</p></main>"),
-        (4, "<p>no main part</p>"),
-        (5, None),
-    ]
-    got = {r.page_id: r.about for r in crawl.main_text(spark.createDataFrame(rows, "page_id int, html string")).collect()}
-    assert got == {1: ("good chair " * 6).strip() + " Made by hand in small series.", 2: ("Soft seat, firm back and legs of steel, " * 2).strip(), 3: "A chair of oak with a seat of wool. A chair of oak with a seat of wool."}
-
-
 def test_links_of_any_quotes(spark):
     html = "<a href='/a'>A</a><a class=x href=/b>B</a><A rel=\"n\" HREF = \"/c?x='1'\"><b>C</b></A><a data-href='/no'>D</a><abbr href='/no'>E</abbr><a href=\"\">F</a>"
     got = pages.links(spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/x", None)], "page_id int, url string, html string")).orderBy("pos").collect()
