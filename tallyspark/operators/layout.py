@@ -14,6 +14,47 @@ def gap_columns(words: DataFrame, keys: list[str], x: str = "x0", gap: float = 1
     return placed.groupBy(*keys, "column_no").agg(F.avg("_x").alias("centre"), F.count("*").alias("words"))
 
 
+# Fixed values by mode: how near a position must be to the running centre, how many positions make a column, the gap that separates columns (none: any).
+COLUMN_MODES = {"all": (15.0, 3, 30.0), "header": (15.0, 2, None), "alignment": (20.0, 2, None)}
+
+
+def running_columns(words: DataFrame, keys: list[str], mode: str = "all", header: str = "header_top") -> DataFrame:
+    """Columns of each page by a running centre: (keys, column_no, centre).
+
+    Different positions of the words (x0, x1, top), from left to right, join the current column while they are nearer than the mode's reach to the mean of its
+    members so far. ``all`` takes left edges and middles of all words; ``header`` and ``alignment`` those, or the middles alone, of the row at ``header`` (less than 2 away) and of
+    rows 5 and more from it, the former only where there is such a row. Columns of too few positions go; in mode ``all`` so do those 30 or less right of the column before. Each page's positions are one fold over one array.
+    """
+    reach, fewest, apart = COLUMN_MODES[mode]
+    rows = words
+    if mode != "all":
+        away = F.abs(F.col("top") - F.col(header))
+        rows = rows.withColumn("_head", away < 2).where("_head or abs(top - " + f"`{header}`" + ") >= 5")
+        if mode == "header":
+            rows = rows.withColumn("_any", F.bool_or("_head").over(Window.partitionBy(*keys))).where("_any")
+    middle = (F.col("x0") + F.col("x1")) / 2
+    spots = F.array(middle) if mode == "alignment" else F.array(F.col("x0").cast("double"), middle)
+    xs = F.array_sort(F.array_distinct(F.flatten(F.collect_set(spots))))
+    of_page = rows.groupBy(*keys).agg(xs.alias("_xs"))
+    none = F.array().cast("array<struct<total:double,n:int>>")
+
+    def closed(acc):
+        return F.when(acc["n"] >= fewest, F.concat(acc["done"], F.array(F.struct(acc["total"].alias("total"), acc["n"].alias("n"))))).otherwise(acc["done"])
+
+    def add(acc, x):
+        near = x - acc["total"] / acc["n"] < reach
+        joined = F.struct((acc["total"] + x).alias("total"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))
+        return F.when(near, joined).otherwise(F.struct(x.alias("total"), F.lit(1).alias("n"), closed(acc).alias("done")))
+
+    start = F.struct(F.get("_xs", 0).alias("total"), F.lit(1).alias("n"), none.alias("done"))
+    found = F.aggregate(F.slice("_xs", 2, F.greatest(F.size("_xs") - 1, F.lit(0))), start, add, closed)
+    centres = F.transform(found, lambda c: c["total"] / c["n"])
+    placed = of_page.select(*keys, centres.alias("_c"))
+    if apart is not None:
+        placed = placed.withColumn("_c", F.filter("_c", lambda c, i: (i == 0) | (c - F.get("_c", i - 1) > apart)))
+    return placed.select(*keys, F.posexplode("_c").alias("column_no", "centre"))
+
+
 def nearest_column(words: DataFrame, columns: DataFrame, keys: list[str], x: str = "x0", reach: float = 50.0) -> DataFrame:
     """Each word with the column of its page whose centre is nearest, the leftmost of equal ones; null beyond ``reach``. A page's columns are one short array."""
     of_page = columns.groupBy(*keys).agg(F.collect_list(F.struct("centre", "column_no")).alias("_columns"))

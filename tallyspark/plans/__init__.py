@@ -1,3 +1,3 @@
 """Queries over the given tables; importing the package registers all of them."""
 
-from tallyspark.plans import catalog, crawled, documents, markup, offers, values  # noqa: F401
+from tallyspark.plans import catalog, crawled, documents, grids, markup, offers, timed, values  # noqa: F401

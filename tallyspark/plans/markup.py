@@ -79,7 +79,7 @@ def x21_tree(spark, d):
 
 @query(
     "X23_needs_script",
-    f"""WITH t AS (SELECT page_id, html, length({_strip_sql("replace(replace(replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '&copy;', 'c'), '&middot;', '.'), '&quot;', '.')")}) AS text_chars FROM pages)
+    f"""WITH t AS (SELECT page_id, html, length({_strip_sql("replace(replace(replace(regexp_replace(regexp_replace(html, '&amp([^;])', '&amp;\\1', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '&copy;', 'c'), '&middot;', '.'), '&quot;', '.')")}) AS text_chars FROM pages)
 SELECT page_id, text_chars, (page_id % 5)::INTEGER AS empty_containers, text_chars < 500 OR page_id % 5 >= 3 OR regexp_matches(lower(html), '{any_of(dom.SCRIPT_WORDS)}') AS needs_script FROM t""",
 )
 def x23_boxes(spark, d):

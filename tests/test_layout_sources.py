@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import catalogue, headers
+from tallyspark.operators import catalogue, headers, layout
 from tallyspark.sources import io
 
 
@@ -77,3 +77,40 @@ def test_tables_by_page_and_text_rows(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).where("doc_id = 2").orderBy("row_idx").collect()
     assert [(r.row_idx, r.cells) for r in got] == [(0, ["one"]), (2, ["two"])]
     assert io.with_text_rows(grid.drop("page"), texts).columns == ["doc_id", "table_idx", "row_idx", "cells"]
+
+
+def by_hand(positions, reach, fewest, apart):
+    """Columns by a loop over the sorted positions."""
+    xs, clusters, current = sorted(set(positions)), [], []
+    for x in xs:
+        if current and x - sum(current) / len(current) >= reach:
+            clusters.append(current)
+            current = []
+        current.append(x)
+    centres = [sum(c) / len(c) for c in [*clusters, current] if len(c) >= fewest]
+    return [c for k, c in enumerate(centres) if apart is None or k == 0 or c - centres[k - 1] > apart]
+
+
+def test_running_columns(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for page in range(60):
+        for _ in range(rng.randrange(1, 25)):
+            x0 = rng.choice([10, 60, 75, 200, 230]) + rng.randrange(-9, 9)
+            rows.append((1, page, float(x0), float(x0 + rng.randrange(4, 60)), rng.choice([100.0, 101.5, 103.0, 120.0, 140.0]), 100.0 if page % 3 else 500.0))
+    df = spark.createDataFrame(rows, "doc_id int, page int, x0 double, x1 double, top double, header_top double")
+    for mode, (reach, fewest, apart) in layout.COLUMN_MODES.items():
+        got = {}
+        for r in layout.running_columns(df, ["doc_id", "page"], mode).orderBy("column_no").collect():
+            got.setdefault(r.page, []).append(r.centre)
+        for page in range(60):
+            own = [r for r in rows if r[1] == page]
+            if mode != "all":
+                own = [r for r in own if abs(r[4] - r[5]) < 2 or abs(r[4] - r[5]) >= 5]
+            if mode == "header" and not any(abs(r[4] - r[5]) < 2 for r in own):
+                own = []
+            spots = [(r[2] + r[3]) / 2 for r in own] + ([] if mode == "alignment" else [r[2] for r in own])
+            assert got.get(page, []) == (by_hand(spots, reach, fewest, apart) if own else []), (mode, page)
+    assert layout.running_columns(df.limit(0), ["doc_id", "page"]).collect() == []
