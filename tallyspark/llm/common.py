@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -24,12 +25,18 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 
 
+def size_of(setting: str) -> int:
+    """The number of a setting such as 10000, 64m or 1gb, in bytes where it has a unit."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it (a cluster without that path gets it by --py-files), and bounds their batches."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+        if not 0 < size_of(spark.conf.get(name)) <= most:
             spark.conf.set(name, str(most))
 
 
@@ -73,6 +80,18 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def wide_hash(*columns: Column) -> Column:
+    """128 bits that stand for these values, nulls included. Columns of composite types are to be written as text before (``hashable``)."""
+    values = [*columns, *[c.isNull() for c in columns]]
+    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*values), F.xxhash64(F.lit(42), *values))]
+    return F.unhex(F.concat(*halves))
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df``; arrays, maps and the like as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if f.dataType.typeName() in ("array", "map", "struct", "variant") else F.col(f"`{f.name}`") for f in df.schema]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,7 @@ _BLANKED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 @cache
 def _is_letter(c: str) -> bool:
-    return re.match(r"[^\W\d_]", c) is not None
+    return c.isalpha()  # categories L*
 
 
 def words_of(text: str | None) -> list[bytes]:

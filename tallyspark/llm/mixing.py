@@ -95,12 +95,13 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
     Sizes are whole words; a null or blank text has none and is never taken. Whole rounds of a source come first; the rest
     of its budget takes further documents, chosen by length count and, within a length, in the order of a seeded
     hash. Only counts by source and length meet in one task; the documents of a length are ranked in GROUPS groups, so a
-    length that holds a third of the rows is no hot spot. Rows that repeat each other count one by one. ``carried`` is a struct of the columns in ``carry``; other columns are not read.
+    length that holds a third of the rows is no hot spot. Rows that repeat each other count one by one. A very long text counts like any other; an empty table gives no rows. ``carried`` is a struct of the columns
+    in ``carry``, whatever their names; other columns are not read.
     """
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text))
     name = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    extra = F.struct(*[F.col(c).alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
+    extra = F.struct(*[F.col(f"`{c}`").alias(c) for c in carry]) if carry else F.struct(F.lit(0).alias("none"))
     group = F.pmod(F.shiftright(h, 17), F.lit(GROUPS)).cast("int")
     rows = written(docs.select("doc_id", "source", size.alias("size"), name.alias("_s"), h.alias("_h"), group.alias("_g"), extra.alias("carried")))
     groups = rows.groupBy("_s", "source", "size", "_g").agg(F.count("*").alias("_n"))

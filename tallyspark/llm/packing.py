@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remember, self.young, self.old = remember, {}, {}
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
@@ -58,6 +58,18 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (one more than there are texts)."""
+        whole = pa.array(np.zeros(len(texts), bool))
+        for token in self.special:  # the tokenizer cuts them out before all else
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        if not whole.true_count:
+            return self._plain(texts)
+        ids, at = self._plain(pc.if_else(whole, "", texts))
+        parts = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            parts[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.split_pattern(texts, " ")
         runs = pc.match_substring_regex(texts, _RUNS)
         if runs.true_count:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import fold, free_name, slices
+from tallyspark.llm.common import fold, free_name, slices, written
 
 _WORDS = re.compile(r"[^\W_]+")
 _SENTENCES = re.compile(r"[.!?\n]+")
@@ -187,11 +187,12 @@ def train(rows: Sequence[Sequence[int]], labels: Sequence[int], pairs: Sequence[
     return Model(bias, {int(names[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = 2000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = 2000, sentences: int = 20_000, **options) -> Model:
     """Fits on the labelled rows of ``docs`` outside the held-out fold.
 
     ``rows_per_class`` (documented bound) rows of either label at most, those with the smallest hash of their id; both labels weigh the same.
-    Rows without a label, a text or an id are not used. Only the hashed words of these rows reach the driver.
+    Of the swapped forms of their sentences ``sentences`` (documented bound too) at most are compared, those with the smallest hash. Rows without a label, a text or an id are not used; with an
+    empty table the score is 0. Very long texts count whole. Only the hashed words of these rows and sentences reach the driver.
     """
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     h = F.xxhash64("doc_id")
@@ -200,21 +201,22 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
         part = own.where(F.col("y") == y).orderBy(h, "doc_id").limit(rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
 
-    kinds = options.pop("kinds", IDENTITY_TERMS)
+    kinds, sides = options.pop("kinds", IDENTITY_TERMS), pa.struct([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
             rows = [packed(words_of(t)) for t in texts]
-            pairs = [[packed(side) for pair in swapped_sentences(t, kinds) for side in pair] for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], ["doc_id", "y", "row", "pairs"])
+            pairs = [[{"a": packed(a), "b": packed(b)} for a, b in swapped_sentences(t, kinds)] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(rows, pa.binary()), pa.array(pairs, pa.list_(sides))], ["doc_id", "y", "row", "pairs"])
 
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, row binary, pairs array<binary>")
-    got = found.toArrow().sort_by("doc_id")
+    found = written(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, row binary, pairs array<struct<a:binary,b:binary>>"))
+    got = found.select("doc_id", "y", "row").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    swapped = found.select("doc_id", F.inline("pairs")).orderBy(F.xxhash64("a", "b"), "doc_id").limit(sentences).toArrow()
     unpacked = lambda x: np.frombuffer(x.as_buffer(), np.uint32)
-    sides = [unpacked(p) for own in got["pairs"] for p in own.values]
-    return train([unpacked(r) for r in got["row"]], got["y"].to_pylist(), list(zip(sides[::2], sides[1::2], strict=True)), **options)
+    pairs = [(unpacked(a), unpacked(b)) for a, b in zip(swapped["a"], swapped["b"], strict=True)]
+    return train([unpacked(r) for r in got["row"]], got["y"].to_pylist(), pairs, **options)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
