@@ -19,22 +19,23 @@ def _line(cells) -> Column:
     return F.lower(F.array_join(cells, " ", ""))
 
 
-def stitched(grid: DataFrame, strict: bool = True, dedup: bool = False) -> DataFrame:
-    """Rows (doc_id, page, table_idx, row_idx, cells) of all of a document's tables -> (doc_id, row_no, headers, cells) under one header.
+def stitched(grid: DataFrame, dedup: bool = False) -> DataFrame:
+    """Rows (doc_id, page, table_idx, row_idx, cells) of all of a document's tables -> (doc_id, row_no, headers, cells) under one header.
 
-    The header is the first row that has one of the item words; what stands above it and blank rows (P2) go. A header that comes again
-    goes too: two of the words or more and no number (``strict``), or one of the words of repeated headers. With ``dedup`` of equal rows the
-    first stays. Documents without a header have no rows.
+    Only the first row of a table can be a header: one that has a header word (P3). The document's header is that of its first table that has one, and
+    leaves the rows; so do the first rows of later tables that are headers, unless they are all of their table. All other rows stay, in order: those of tables
+    before the header, those of documents without any (``headers`` null), titles and notes. Blank rows (P2) go. With ``dedup`` of equal rows the first stays.
     """
     order = Window.partitionBy("doc_id").orderBy("page", "table_idx", "row_idx")
-    rows = grid.where(F.exists("cells", lambda c: F.length(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), _BLANK, "")) > 0))
-    line = _line(F.col("cells"))
-    head = F.when(line.rlike(any_of(rules.ITEM_HEADERS)), F.struct(F.monotonically_increasing_id().alias("no"), F.col("cells")))
-    above = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_own", head).withColumn("_head", F.first("_own", ignorenulls=True).over(above))
-    again = (hits(line, rules.ITEM_HEADERS) >= 2) & ~F.exists("cells", lambda c: number(c).isNotNull()) if strict else line.rlike(any_of(rules.REPEATED_HEADERS))
-    first = F.coalesce(F.col("_own.no") == F.col("_head.no"), F.lit(False))
-    out = rows.where(F.col("_head").isNotNull() & ~first & ~again).withColumn("headers", F.col("_head.cells"))
+    table = Window.partitionBy("doc_id", "page", "table_idx")
+    leads = (F.col("row_idx") == F.min("row_idx").over(table)) & _line(F.col("cells")).rlike(any_of(rules.HEADER_WORDS))
+    marked = grid.select("doc_id", "page", "table_idx", "row_idx", "cells", leads.alias("_leads"), F.count("*").over(table).alias("_rows"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    main = F.first(F.when(F.col("_leads"), F.struct("page", "table_idx", F.col("cells").alias("headers"))), ignorenulls=True).over(whole)
+    rows = marked.withColumn("_main", main)
+    own = (F.col("page") == F.col("_main.page")) & (F.col("table_idx") == F.col("_main.table_idx"))
+    blank = ~F.exists("cells", lambda c: F.length(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", ""), _BLANK, "")) > 0)
+    out = rows.where(~blank & ~(F.col("_leads") & (own | (F.col("_rows") > 1)))).withColumn("headers", F.col("_main.headers"))
     if dedup:
         same = Window.partitionBy("doc_id", F.transform("cells", lambda c: F.trim(c))).orderBy("page", "table_idx", "row_idx")
         out = out.withColumn("_r", F.row_number().over(same)).where("_r = 1")
@@ -48,11 +49,15 @@ def field(headers, cells, keys: list[str]) -> Column:
     return F.get(cells, (F.coalesce(*map(first, keys)) - 1).cast("int"))
 
 
-def table_items(rows: DataFrame) -> DataFrame:
+def table_items(rows: DataFrame, strict: bool = True) -> DataFrame:
     """Line items of stitched rows (headers, cells): a description of five characters, and a quantity or a rate. Rows with
-    fewer cells than headers, as titles of sections, are none."""
+    fewer cells than headers, as titles of sections, are none; nor are headers that come again: two of the words or more and no number
+    (``strict``), or one of the words of repeated headers. Rows without headers have no fields, so they are none either."""
+    line = _line(F.col("cells"))
+    again = (hits(line, rules.ITEM_HEADERS) >= 2) & ~F.exists("cells", lambda c: number(c).isNotNull()) if strict else line.rlike(any_of(rules.REPEATED_HEADERS))
     of = {name: F.trim(field("headers", "cells", keys)) for name, keys in rules.ITEM_FIELDS.items()}
-    items = rows.where(F.size("cells") >= F.size("headers")).select("doc_id", "row_no", *[(number_or_zero(c) if n in ("qty", "unit_rate", "total") else c).alias(n) for n, c in of.items()])
+    items = rows.where(F.col("headers").isNotNull() & (F.size("cells") >= F.size("headers")) & ~again)
+    items = items.select("doc_id", "row_no", *[(number_or_zero(c) if n in ("qty", "unit_rate", "total") else c).alias(n) for n, c in of.items()])
     items = items.where((F.length("description") >= 5) & ((F.col("qty") > 0) | (F.col("unit_rate") > 0)))
     return items.withColumn("_c", category(F.col("description"))).select("*", "_c.category", "_c.subcategory").drop("_c")
 
@@ -62,14 +67,26 @@ def _last(test) -> Column:
     return F.array_max(F.filter(F.transform(lowered("headers"), lambda h, i: F.when(test(h), i)), lambda i: i.isNotNull()))
 
 
+def _is_qty(h: Column) -> Column:
+    return h.rlike("qty|quantity")
+
+
+def _is_rate(h: Column) -> Column:
+    return h.rlike("unit rate|unit price") & ~_is_qty(h)
+
+
+def _is_total(h: Column) -> Column:
+    return h.isin("total", "amount", "total amount")
+
+
+def _two_decimals(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.format_string("%.2f", x))
+
+
 def recomputed(rows: DataFrame) -> DataFrame:
     """The total of rows (headers, cells) from quantity and unit rate, where a table has all three columns and both are numbers."""
-    is_qty = lambda h: h.rlike("qty|quantity")
-    is_rate = lambda h: h.rlike("unit rate|unit price") & ~is_qty(h)
-    is_total = lambda h: h.isin("total", "amount", "total amount")
-    value = number(F.get("cells", _last(is_qty))) * number(F.get("cells", _last(is_rate)))
-    total = F.when(value.isNotNull(), F.format_string("%.2f", round2(value)))
-    out = rows.withColumns({"_t": _last(is_total), "_v": total})
+    value = number(F.get("cells", _last(_is_qty))) * number(F.get("cells", _last(_is_rate)))
+    out = rows.withColumns({"_t": _last(_is_total), "_v": _two_decimals(round2(value))})
     # no lambda: what is put into one is worked out again for every cell
     cells = F.concat(F.slice("cells", F.lit(1), F.col("_t")), F.array("_v"), F.slice("cells", F.col("_t") + 2, F.size("cells")))
     return out.withColumn("cells", F.when(F.col("_v").isNotNull() & (F.col("_t") < F.size("cells")), cells).otherwise(F.col("cells"))).drop("_t", "_v")
@@ -77,11 +94,27 @@ def recomputed(rows: DataFrame) -> DataFrame:
 
 def costed_rows(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """X1, X2, J12 on text: stitched rows under each scenario. Numbers under price headers are costed, then totals are made anew from the costed
-    rate. ``factors`` is the user's short list of scenarios."""
-    out = rows.crossJoin(F.broadcast(factors))
-    price = F.slice(F.transform("headers", is_price_header), F.lit(1), F.size("cells"))
-    new = lambda c, p: F.when(p & number(c).isNotNull(), F.format_string("%.2f", costed(number(c)))).otherwise(c)
-    return recomputed(out.withColumn("cells", F.zip_with("cells", price, new)).drop(*FACTORS))
+    rate. Rows without headers stay as they are. ``factors`` is the user's short list of scenarios.
+
+    Cells are read as numbers, and columns found, once per row below the join; above it there is arithmetic, and each changed cell is written once.
+    """
+    price = F.coalesce(F.transform("headers", is_price_header), F.array().cast("array<boolean>"))
+    read = rows.withColumns({
+        "_v": F.transform("cells", number),
+        "_p": F.transform("cells", lambda _, i: F.coalesce(F.get(price, i), F.lit(False))),
+        "_q": _last(_is_qty), "_r": _last(_is_rate), "_t": _last(_is_total),
+    })
+    out = read.crossJoin(F.broadcast(factors))
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    at = lambda new, k: F.coalesce(F.get(new, F.col(k)), F.get("_v", F.col(k)))
+
+    def written(new: Column, total: Column) -> Column:
+        put = lambda c, i: F.coalesce(_two_decimals(F.when(i == F.col("_t"), F.coalesce(total, F.get(new, i))).otherwise(F.get(new, i))), c)
+        return F.transform("cells", put)
+
+    new = F.zip_with("_v", "_p", lambda v, p: F.when(p & v.isNotNull(), costed(v)))
+    cells = once(new, lambda n: once(round2(at(n, "_q") * at(n, "_r")), lambda total: written(n, total)))
+    return out.withColumn("cells", cells).drop("_v", "_p", "_q", "_r", "_t", *FACTORS)
 
 
 def candidates(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,17 +24,36 @@ def grid(spark):
 
 
 def test_stitched(spark):
-    rows = stitch.stitched(grid(spark)).orderBy("row_no").collect()
-    assert [r.cells[0] for r in rows] == ["ZONE A", "1", "2", "1", ""] and all(r.headers == HEAD and r.doc_id == 1 for r in rows)
-    assert [r.row_no for r in rows] == [1, 2, 3, 4, 5]
-    assert stitch.stitched(grid(spark), dedup=True).count() == 4
-    # as the original: a data row with one of the words of a header goes too
-    assert stitch.stitched(grid(spark), strict=False).count() == 4
+    rows = stitch.stitched(grid(spark)).where("doc_id = 1").orderBy("row_no").collect()
+    assert [r.cells[0] for r in rows] == ["Offer for you", "ZONE A", "1", "2", "1", ""] and all(r.headers == HEAD for r in rows)
+    assert [r.row_no for r in rows] == [1, 2, 3, 4, 5, 6]
+    assert stitch.stitched(grid(spark), dedup=True).where("doc_id = 1").count() == 5
+    none = stitch.stitched(grid(spark)).where("doc_id = 2").collect()
+    assert [(r.headers, r.cells, r.row_no) for r in none] == [(None, ["nothing", "here"], 1)]
+
+
+def test_stitching_loses_no_rows(spark):
+    rows = [
+        (1, 0, 0, 0, ["Ref", "Colour"]), (1, 0, 0, 1, ["A1", "oak"]),
+        (2, 0, 0, 0, ["a letter"]), (2, 0, 1, 0, ["Item", "Qty"]), (2, 0, 1, 1, ["desk", "2"]), (2, 0, 1, 2, ["unit and price as agreed", ""]), (2, 0, 1, 3, [None, " "]),
+        (2, 1, 0, 0, ["Total amount"]), (2, 2, 0, 0, ["QTY", "Rate"]), (2, 2, 0, 1, ["chair", "1"]), (2, 2, 0, 2, ["Item", "Qty"]),
+        (3, 0, 0, 0, ["x", "y"]), (3, 0, 0, 1, ["Item", "z"]),
+    ]
+    out = stitch.stitched(spark.createDataFrame(rows, "doc_id long, page int, table_idx int, row_idx int, cells array<string>").repartition(5)).orderBy("doc_id", "row_no").collect()
+    got = {d: [(r.cells[0], r.headers) for r in out if r.doc_id == d] for d in (1, 2, 3)}
+    assert got[1] == [("A1", ["Ref", "Colour"])]
+    # a letter above the header, a note in the middle, a header that is all of its table, and one that is no first row
+    assert got[2] == [(x, ["Item", "Qty"]) for x in ("a letter", "desk", "unit and price as agreed", "Total amount", "chair", "Item")]
+    assert got[3] == [("x", None), ("Item", None)]
 
 
 def test_items_and_totals(spark):
-    rows = stitch.stitched(grid(spark))
+    rows = stitch.stitched(grid(spark)).where("doc_id = 1").withColumn("row_no", F.col("row_no") - 1)
     items = stitch.table_items(rows).orderBy("row_no").collect()
+    # as the original: a data row with one of the words of a header goes too
+    assert stitch.table_items(rows, strict=False).count() == 2
+    again = spark.createDataFrame([(1, 1, HEAD, ["Si.No", "Item", "Qty", "Unit", "Price"]), (1, 2, HEAD, ["1", "oak desk", "2", "3", "6"]), (1, 3, None, ["1", "oak desk", "2", "3", "6"])], "doc_id int, row_no int, headers array<string>, cells array<string>")
+    assert [r.row_no for r in stitch.table_items(again).collect()] == [2]
     assert [(r.description, r.qty, r.unit_rate, r.category) for r in items] == [("Executive chair", 3.0, 100.0, "seating"), ("Item description of a unit desk", 2.0, 0.0, "desking"), ("Executive chair", 3.0, 100.0, "seating")]
     factors = costing.scenarios(spark, [("a", 20.0, 10.0, None, None, 2.0, None), ("b", None, None, None, None, None, None)])
     out = {(r.scenario_id, r.row_no): r.cells for r in stitch.costed_rows(rows, factors).collect()}
