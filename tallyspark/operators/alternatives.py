@@ -17,17 +17,34 @@ def line_items(rows: DataFrame) -> DataFrame:
     return rows.where(ok).withColumn("_c", category(F.col("description"))).select("*", "_c.category", "_c.subcategory").drop("_c")
 
 
+#: Rows of a table that is broadcast.
+SMALL = 100_000
+
+
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """Marked for a broadcast if it has ``most`` rows at most, as a count finds; else it is left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _best(catalogue: DataFrame, tiers: list[str], top: int) -> DataFrame:
+    """The first ``top`` entries of each category, subcategory and tier."""
+    keys = ["category", "subcategory", "tier"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
+    best = catalogue.where(F.col("tier").isin(*tiers)).withColumn("alt_rank", rank).where(F.col("alt_rank") <= top)
+    return best.select(*keys, "alt_rank", "brand", "model", "country", round2((F.col("price_low") + F.col("price_high")) / 2).alias("alt_rate"))
+
+
+def _priced(items: DataFrame, best: DataFrame) -> DataFrame:
+    total = round2(F.col("alt_rate") * F.col("qty"))
+    return items.join(best, ["category", "subcategory"]).withColumn("alt_total", total).withColumn("lead_time", lead_time(F.col("tier"), F.col("country")))
+
+
 def matched(items: DataFrame, catalogue: DataFrame, tier: str, top: int = TOP) -> DataFrame:
     """Each item's first ``top`` catalogue entries of its category, subcategory and tier, in catalogue order.
 
-    The entries are ranked within their group before the join, so an item never meets more than ``top`` of them.
+    The entries are ranked within their group before the join, so an item never meets more than ``top`` of them; where they are few (SMALL) items are not shuffled.
     """
-    keys = ["category", "subcategory"]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
-    best = catalogue.where(F.col("tier") == tier).withColumn("alt_rank", rank).where(F.col("alt_rank") <= top)
-    best = best.select(*keys, "tier", "alt_rank", "brand", "model", "country", round2((F.col("price_low") + F.col("price_high")) / 2).alias("alt_rate"))
-    total = round2(F.col("alt_rate") * F.col("qty"))
-    return items.join(best, keys).withColumn("alt_total", total).withColumn("lead_time", lead_time(F.col("tier"), F.col("country")))
+    return _priced(items, _small(_best(catalogue, [tier], top)))
 
 
 def generated_brands(spark: SparkSession) -> DataFrame:
@@ -38,33 +55,44 @@ def generated_brands(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "tier string, category string, i int, brand string, letter string, share double, start double, step double")
 
 
-def generated(items: DataFrame, tier: str) -> DataFrame:
-    """Up to three made-up alternatives around the tier's share of the item's rate; categories without brands get the default one."""
-    table = F.broadcast(generated_brands(items.sparkSession).where(F.col("tier") == tier).withColumnRenamed("category", "_cat"))
-    known = F.col("category").isin(*rules.GENERATED[tier][5])
-    key = F.when(known, F.col("category"))
-    rows = items.join(table, key.eqNullSafe(F.col("_cat")))
+def _generated(items: DataFrame, tiers: list[str], have: str | None = None) -> DataFrame:
+    """X8 for several tiers at once; tiers in the array ``have`` of an item are left out."""
+    table = F.broadcast(generated_brands(items.sparkSession).where(F.col("tier").isin(*tiers)).withColumnRenamed("category", "_cat"))
+    known = {c for tier in tiers for c in rules.GENERATED[tier][5]}
+    key = F.when(F.col("category").isin(*known), F.col("category"))
+    on = key.eqNullSafe(F.col("_cat"))
+    rows = items.join(table, on if have is None else on & ~F.array_contains(have, F.col("tier")))
     target, factor = F.col("unit_rate") * F.col("share"), F.col("start") + F.col("i") * F.col("step")
     model = F.concat(F.initcap("category"), F.lit(" Model "), F.col("letter"), (F.col("i") + 1).cast("string"))
     out = rows.withColumns({"alt_rank": F.col("i") + 1, "model": model, "alt_rate": round2(target * factor), "alt_total": round2(target * F.col("qty") * factor)})
     return out.drop("_cat", "i", "letter", "share", "start", "step")
 
 
+def generated(items: DataFrame, tier: str) -> DataFrame:
+    """Up to three made-up alternatives around the tier's share of the item's rate; categories without brands get the default one."""
+    return _generated(items, [tier])
+
+
+def alternatives_of(items: DataFrame, catalogue: DataFrame, tiers: list[str], top: int = TOP) -> DataFrame:
+    """X7, J2, X8 for several tiers: items of a tier without a catalogue entry get generated alternatives. The catalogue is ranked once, and items meet it once."""
+    keys = ["category", "subcategory"]
+    best = _best(catalogue, tiers, top)
+    found = _priced(items, _small(best))
+    tiers_of = _small(best.groupBy(*keys).agg(F.collect_set("tier").alias("_have")))
+    rest = items.join(tiers_of, keys, "left").withColumn("_have", F.coalesce("_have", F.array().cast("array<string>"))).where(F.size("_have") < len(tiers))
+    made = _generated(rest, tiers, "_have").drop("_have")
+    return found.withColumn("source", F.lit("catalogue")).unionByName(made.withColumn("source", F.lit("generated")), allowMissingColumns=True)
+
+
 def alternatives(items: DataFrame, catalogue: DataFrame, tier: str) -> DataFrame:
     """X7 with its fallback (J2, X8): items without a catalogue entry get generated alternatives."""
-    found = matched(items, catalogue, tier)
-    have = catalogue.where(F.col("tier") == tier).select("category", "subcategory").distinct()
-    rest = generated(items.join(have, ["category", "subcategory"], "left_anti"), tier)
-    return found.withColumn("source", F.lit("catalogue")).unionByName(rest.withColumn("source", F.lit("generated")), allowMissingColumns=True)
+    return alternatives_of(items, catalogue, [tier])
 
 
 def three_tiers(items: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
     """The best alternative's rate of each tier side by side; the lowest where rows repeat a key."""
-    out = None
-    for tier in rules.TIERS:
-        one = alternatives(items, catalogue, tier).where("alt_rank = 1")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(*keys).pivot("tier", rules.TIERS).agg(F.min("alt_rate"))
+    best = alternatives_of(items, catalogue, rules.TIERS, top=1).where("alt_rank = 1")
+    return best.groupBy(*keys).pivot("tier", rules.TIERS).agg(F.min("alt_rate"))
 
 
 def sheet(items: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

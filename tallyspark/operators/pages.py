@@ -120,9 +120,41 @@ def crumbs(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", names.alias("crumbs"), F.get(names, 1).alias("category"), F.get(names, 2).alias("subcategory"))
 
 
+#: Lengths of the pieces by which names are looked up in texts, longest first; shorter names by their own length.
+PIECES = (8, 4)
+
+
+def _piece_length(name):
+    n = F.length(name)
+    return F.coalesce(*[F.when(n >= k, F.lit(k)) for k in PIECES], n)
+
+
+def _pieces(text, n):
+    """The different pieces of ``n`` characters; the empty one for 0."""
+    last = F.length(text) - n + 1
+    found = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, n))
+    return F.when((n > 0) & (last >= 1), F.array_distinct(found)).when(n == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+
+
+def model_candidates(models: DataFrame, page_links: DataFrame) -> DataFrame:
+    """Pairs (site, model, page_id, pos) of models and links of their site that can match: the link's text has the model's rarest piece among all of
+    the site's texts. Models with a piece that no text has are left out."""
+    a = models.select("site", "model").distinct().withColumns({"_m": F.lower("model")}).withColumn("_n", _piece_length(F.col("_m")))
+    own = a.select("site", "model", "_n", F.explode(_pieces(F.col("_m"), F.col("_n"))).alias("_p"))
+    lengths = a.select("site", "_n").distinct()
+    texts = page_links.select("site", "page_id", "pos", F.lower("text").alias("_t")).join(lengths, "site")
+    key = ["site", "_n", "_p"]
+    index = texts.select("site", "page_id", "pos", "_n", F.explode(_pieces(F.col("_t"), F.col("_n"))).alias("_p")).join(own.select(*key).distinct(), key, "left_semi")
+    often = own.join(index.groupBy(*key).count(), key, "left")
+    picked = often.groupBy("site", "model", "_n").agg(F.min_by("_p", F.struct("count", "_p")).alias("_p"), F.bool_and(F.col("count").isNotNull()).alias("_all")).where("_all")
+    return index.join(picked.select(*key, "model"), key).select("site", "model", "page_id", "pos")
+
+
 def linked_models(models: DataFrame, page_links: DataFrame) -> DataFrame:
-    """Models (site, model) with the first link of their site whose text contains the name, without case. Joined on the site;
-    a site's links meet its models only, and only the first link leaves the join's aggregate."""
-    a, b = models.select("site", "model").distinct(), page_links.select("site", "page_id", "pos", "target", F.lower("text").alias("_t"))
-    hit = a.join(b, "site").where(F.contains("_t", F.lower("model")))
+    """Models (site, model) with the first link (site, page_id, pos, target, text) of their site whose text contains the name, without case.
+
+    Names are looked up by their rarest piece (``model_candidates``) and then compared, so a site's models do not meet all of its links. ``page_id`` and ``pos`` tell links apart.
+    """
+    texts = page_links.select("site", "page_id", "pos", "target", F.lower("text").alias("_t"))
+    hit = model_candidates(models, page_links).join(texts, ["site", "page_id", "pos"]).where(F.contains("_t", F.lower("model")))
     return hit.groupBy("site", "model").agg(F.min_by("target", F.struct("page_id", "pos")).alias("target"))

@@ -59,3 +59,24 @@ def test_links_of_any_quotes(spark):
     html = "<a href='/a'>A</a><a class=x href=/b>B</a><A rel=\"n\" HREF = \"/c?x='1'\"><b>C</b></A><a data-href='/no'>D</a><abbr href='/no'>E</abbr><a href=\"\">F</a>"
     got = pages.links(spark.createDataFrame([(1, "http://h/x", html), (2, "http://h/x", None)], "page_id int, url string, html string")).orderBy("pos").collect()
     assert [(r.href, r.text) for r in got] == [("/a", "A"), ("/b", "B"), ("/c?x='1'", "C"), ("", "F")]
+
+
+def test_linked_models_meet_few_links(spark):
+    n = 3000
+    models = spark.range(n).select(F.lit("s").alias("site"), F.format_string("Model %05d", (F.col("id") * 7919) % 100_000).alias("model"))
+    links = models.select("site", F.xxhash64("model").alias("page_id"), F.lit(0).alias("pos"), F.concat(F.lit("/"), "model").alias("target"), F.concat(F.lit("see the new "), F.upper("model"), F.lit(" now")).alias("text"))
+    assert pages.model_candidates(models, links).count() < 3 * n
+    got = pages.linked_models(models, links)
+    assert got.count() == n and got.where(F.col("target") != F.concat(F.lit("/"), "model")).count() == 0
+
+
+def test_linked_models_like_all_pairs(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abAB ") for _ in range(rng.randrange(0, 12)))
+    models = [(rng.choice("st"), word()) for _ in range(150)] + [("s", ""), ("s", "Ünï"), ("u", "nowhere")]
+    links = [(rng.choice("st"), k, 0, f"/{k}", word() + word()) for k in range(150)] + [("s", 900, 1, "/900", "ÜNÏcode")]
+    want = {(s, m): next((t for ls, _, _, t, x in links if ls == s and m.lower() in x.lower()), None) for s, m in models}
+    got = pages.linked_models(spark.createDataFrame(models, "site string, model string"), spark.createDataFrame(links, "site string, page_id int, pos int, target string, text string"))
+    assert {(r.site, r.model): r.target for r in got.collect()} == {k: v for k, v in want.items() if v}
