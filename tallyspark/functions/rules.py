@@ -78,3 +78,8 @@ PRICE_IN_PROSE = [r"(?:Price|Cost|AED|USD|\$|€|£)\s*:?\s*(\d+(?:[.,]\d{2})?)"
 # Titles that are controls, and entries of menus that are no category.
 PRODUCT_NOISE = ["open submenu", "close submenu", "toggle", "menu", "back", "search", "cart", "account", "login", "register", "checkout", "view all", "read more", "select options", "add to cart", "filter", "sort", "previous", "next"]
 MENU_SKIP = ["home", "about", "contact", "blog", "news", "login", "register", "cart", "checkout", "account", "search", "menu", "close", "more", "view all", "see all", "all products", "shop", "store", "back", "close submenu", "open submenu", "reserved area", "download", "projects", "designer", "company", "history", "environment", "certifications", "showroom", "whistleblowing", "find out more", "share by", "share", "mail", "email"]
+SECTION_SKIP = ["filter", "sort", "view", "showing", "page"]
+# Words of materials and finishes, and the lines of a submittal's specifications.
+SUBMITTAL_MATERIALS = ["wood", "metal", "fabric", "leather", "plastic", "steel", "aluminum"]
+SUBMITTAL_FINISHES = ["polished", "matte", "glossy", "powder coated", "chrome"]
+SUBMITTAL_LINES = ["Material: As specified", "Finish: As specified", "Material/Finish: Per manufacturer standard", "Color: As per approved sample", "Compliance: Meet relevant standards"]

@@ -149,6 +149,14 @@ def specifications(text: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.left(text, F.lit(200))))
 
 
+def submittal_specifications(text: Column) -> Column:
+    """the fixed lines of a submittal, four at most: material and finish as specified where the text names one, by standard unless it names both."""
+    low, (material, finish, standard, colour, norm) = F.lower(text), map(F.lit, rules.SUBMITTAL_LINES)
+    has = [F.coalesce(low.rlike(any_of(w)), F.lit(False)) for w in (rules.SUBMITTAL_MATERIALS, rules.SUBMITTAL_FINISHES)]
+    lines = F.array(F.when(has[0], material), F.when(has[1], finish), F.when(~(has[0] & has[1]), standard), colour, norm)
+    return F.slice(F.array_compact(lines), 1, 4)
+
+
 def is_price_header(header: Column) -> Column:
     """P15."""
     return F.lower(header).rlike(any_of(rules.PRICE_HEADERS))
@@ -174,6 +182,27 @@ def wrapped(text: Column, width: int = 60) -> Column:
     return F.regexp_replace(lines, r"\n\z", "")
 
 
+def wrapped_cell(text: Column, over: int = 50, width: int = 60) -> Column:
+    """a cell of over ``over`` characters in lines of at most ``width``, joined by ``<br>``; words stay whole, white space between them is one space. Shorter cells stay as they are."""
+    words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0).alias("used"))
+
+    def add(acc: Column, word: Column) -> Column:
+        n = F.length(word)
+        on = F.struct(acc["lines"].alias("lines"), F.when(acc["line"] == "", word).otherwise(F.concat(acc["line"], F.lit(" "), word)).alias("line"), (acc["used"] + n + 1).alias("used"))
+        new = F.struct(F.when(acc["line"] == "", acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))).alias("lines"), word.alias("line"), n.alias("used"))
+        return F.when(acc["used"] + n + 1 <= width, on).otherwise(new)
+
+    lines = F.aggregate(words, start, add, lambda acc: F.array_join(F.concat(acc["lines"], F.array(acc["line"])), "<br>"))
+    return F.when(F.length(text) > over, lines).otherwise(text)
+
+
+def slug_name(url: Column) -> Column:
+    """the last part of a URL's path as a name, where it has more than three characters."""
+    slug = title_case(F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1))
+    return F.when(F.length(slug) > 3, slug)
+
+
 def english_url(url: Column) -> Column:
     """F16: the Italian path becomes the English one; else the language is a parameter."""
     asked = F.concat(url, F.when(F.contains(url, F.lit("?")), "&lang=en").otherwise("?lang=en"))

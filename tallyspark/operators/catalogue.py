@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import clean_category, title_case
+from tallyspark.functions.text import clean_category, slug_name
 
 
 def normal_tier(tier):
@@ -164,6 +164,30 @@ def collections(products: DataFrame) -> DataFrame:
     return products.groupBy("brand", "tier", name.alias("collection")).agg(nested.alias("products"))
 
 
+#: Products of one piece of a collection.
+PIECE = 1000
+
+
+def collection_pieces(products: DataFrame, most: int = PIECE) -> DataFrame:
+    """Collections in pieces of ``most`` products at most: (brand, tier, collection, piece, products), each piece in order of position. Products are dealt by a hash first and
+    numbered within it, so no task holds a whole collection; a collection is the union of its pieces."""
+    name = F.when(F.coalesce("subcategory", F.lit("")) == "", F.col("category")).otherwise(F.concat("category", F.lit(" > "), "subcategory"))
+    rows = products.select("brand", "tier", name.alias("collection"), F.struct("position", "model", "price").alias("p"))
+    keys = ["brand", "tier", "collection"]
+    sizes = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.ceil(F.count("*") / most).cast("int").alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    dealt = rows.join(sizes, same).select(*keys, "p", "_n", F.pmod(F.xxhash64("p"), F.col("_n")).alias("_g"))
+    part = F.floor((F.row_number().over(Window.partitionBy(*keys, "_g").orderBy("p")) - 1) / most)
+    numbered = dealt.withColumn("piece", F.col("_g") + F.col("_n") * part)
+    return numbered.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list("p")).alias("products"))
+
+
+def read_collections(spark: SparkSession, path: str) -> DataFrame:
+    """The products (brand, tier, collection, position, model, price) that ``write_collections`` wrote."""
+    schema = "collection string, piece long, products array<struct<position:long,model:string,price:double>>, tier string, brand string"
+    return spark.read.schema(schema).json(path).select("brand", "tier", "collection", F.inline("products"))
+
+
 def assigned(products: DataFrame, categories: DataFrame) -> DataFrame:
     """Products (brand, model, category) with ``assigned``: the first category of their brand (name, position) that contains theirs or is contained in it
     (without case), else their product class if the brand has it, else General if the brand has it, else the brand's first; null without categories.
@@ -185,16 +209,15 @@ def found_image(reference, images):
 
 
 def write_collections(products: DataFrame, path: str) -> None:
-    """Nested collections as JSON, one folder per tier and brand; a rewrite replaces the folders that it has rows for."""
-    out = collections(products).repartition("tier", "brand")
+    """Pieces of nested collections as JSON, one folder per tier and brand, a large brand by several tasks; a rewrite replaces the folders that it has rows for as a whole."""
+    out = collection_pieces(products).repartition("tier", "brand", "collection", "piece")
     out.write.partitionBy("tier", "brand").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
 def organised(products: DataFrame) -> DataFrame:
-    """Products with a name (the model, else the last part of the URL), labels of controls cleaned off their categories; of equal
+    """Products with a name (the model, else the last part of the URL if that has more than three characters, F14), labels of controls cleaned off their categories; of equal
     (brand, tier, category, subcategory, model) the last by position stays, and General gives way to a specific subcategory."""
-    slug = title_case(F.regexp_extract("source_url", r"([^/?#]+)/?(?:[?#].*)?$", 1))
-    named = products.withColumns({"model": F.coalesce(F.nullif(F.trim("model"), F.lit("")), F.nullif(slug, F.lit(""))), "category": clean_category(F.col("category")), "subcategory": clean_category(F.col("subcategory"))})
+    named = products.withColumns({"model": F.coalesce(F.nullif(F.trim("model"), F.lit("")), slug_name(F.col("source_url"))), "category": clean_category(F.col("category")), "subcategory": clean_category(F.col("subcategory"))})
     keys = ["brand", "tier", "category", "subcategory", "model"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("position")))
     kept = named.where("model is not null").withColumn("_r", rank).where("_r = 1").drop("_r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules
 from tallyspark.functions.text import absolute_url, any_of, clean_category
 from tallyspark.operators.crawl import ABOUT, MAIN_NOISE, NOISE, is_category_link
-from tallyspark.operators.pages import sentences_once
+from tallyspark.operators.pages import CATEGORY_PATH, PRODUCT_PATH, sentences_once
 from tallyspark.sources.html import TEXT, parsed
 
 # Classes of product containers in the order they are tried, how many containers are enough, classes of names, and image attributes.
@@ -269,3 +269,70 @@ def main_text(pages: DataFrame, most: int = 1500, html: str = "html") -> DataFra
     read = parsed(pages, html).select(F.col("page_id").alias("doc_id"), F.get(F.filter(steps, lambda s: F.size(s) > 0), 0).alias("parts"))
     joined = read.where("parts is not null").select("doc_id", F.trim(F.regexp_replace(F.array_join("parts", " "), "\\s+", " ")).alias("text"))
     return sentences_once(joined, "text", most).select(F.col("doc_id").alias("page_id"), "about")
+
+
+def features(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, features): up to ten items (under 200 characters) of each of the first two lists classed as features or specifications, then up to ten rows of the first such
+    table as ``name: value`` (under 50 and 100 characters); fifteen in all."""
+    nodes = F.col("nodes")
+    lists = F.slice(F.filter(nodes, of_kind(["ul", "ol"], "feature|spec|benefit")), 1, 2)
+    items = F.flatten(F.transform(lists, lambda x: F.transform(F.slice(F.filter(below(nodes, x), of_kind("li")), 1, 10), lambda i: words(below(nodes, i)))))
+    tables = F.slice(F.filter(nodes, of_kind("table", "spec|feature|detail")), 1, 1)
+
+    def pair(row: Column) -> Column:
+        cells = F.transform(F.filter(below(nodes, row), of_kind(["td", "th"])), lambda c: words(below(nodes, c)))
+        return bound(cells, lambda c: F.when((F.size(c) >= 2) & F.length(F.get(c, 0)).between(1, 49) & F.length(F.get(c, 1)).between(1, 99), F.concat(F.get(c, 0), F.lit(": "), F.get(c, 1))))
+
+    rows = F.flatten(F.transform(tables, lambda t: F.transform(F.slice(F.filter(below(nodes, t), of_kind("tr")), 1, 10), pair)))
+    short = F.filter(items, lambda t: F.length(t).between(1, 199))
+    return parsed(pages, html).select("page_id", F.slice(F.concat(short, F.array_compact(rows)), 1, 15).alias("features"))
+
+
+def collections(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Links to ``/collection/name/number``: (page_id, pos, name, products, target). The name is the link's text, else that of the element around it; ``products`` is the
+    number that the element around it gives. Names of fewer than three characters go; each name and number once per page, the first seen."""
+    nodes = F.col("nodes")
+    found = F.filter(nodes, lambda n: has_href(n) & F.lower(F.try_element_at(n["attrs"], F.lit("href"))).rlike("/collection/[^/]+/[0-9]+"))
+
+    def read(a: Column) -> Column:
+        own = F.coalesce(text_in(nodes, a), F.lit(""))
+        block = F.coalesce(text_in(nodes, F.try_element_at(F.filter(nodes, lambda n: is_a(n, ["div", "article", "li"]) & (n["node"] < a["node"]) & (a["node"] <= n["last"])), F.lit(-1))), F.lit(""))
+        number = F.nullif(F.regexp_extract(F.coalesce(F.nullif(block, F.lit("")), own), r"(?i)([0-9]+)\s*products?", 1), F.lit(""))
+        return F.struct(a["node"].alias("pos"), F.when(F.length(own) >= 2, own).otherwise(block).alias("name"), number.cast("int").alias("products"), F.try_element_at(a["attrs"], F.lit("href")).alias("href"))
+
+    rows = parsed(pages, html).select("page_id", "url", F.inline(F.transform(found, read))).where(F.length("name") > 2)
+    rows = rows.withColumn("target", absolute_url(F.col("href"), F.col("url")))
+    first_of = rows.groupBy("page_id", "name", "products").agg(F.min(F.struct("pos", "target")).alias("x"))
+    return first_of.select("page_id", "x.pos", "name", "products", "x.target")
+
+
+def product_links(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, pos, target, strategy): links whose path is a product's; on a page without any the first links of product containers that lead to no category. Each target once per page, the first seen."""
+    nodes = F.col("nodes")
+    by_path = F.filter(nodes, has_href)
+    boxes = F.filter(nodes, of_kind(["div", "article", "li"], "product|item|card"))
+    in_boxes = F.filter(F.transform(boxes, lambda b: first(below(nodes, b), has_href)), lambda a: a.isNotNull())
+
+    def targets(links: Column, strategy: str) -> Column:
+        return F.transform(links, lambda a: F.struct(F.lit(strategy).alias("strategy"), a["node"].alias("pos"), absolute_url(F.trim(F.try_element_at(a["attrs"], F.lit("href"))), F.col("url")).alias("target")))
+
+    good = F.filter(targets(by_path, "path"), lambda x: F.lower(x["target"]).rlike(PRODUCT_PATH) & ~F.lower(x["target"]).rlike(CATEGORY_PATH))
+    fallback = F.filter(targets(in_boxes, "containers"), lambda x: ~F.lower(x["target"]).rlike("/typologies/|/category/"))
+    rows = parsed(pages, html).select("page_id", F.inline(F.get(F.filter(F.array(good, fallback), lambda s: F.size(s) > 0), 0)))
+    once = rows.groupBy("page_id", "target").agg(F.min(F.struct("pos", "strategy")).alias("x"))
+    return once.select("page_id", "x.pos", "target", "x.strategy")
+
+
+def product(pages: DataFrame, most: int = 200, html: str = "html") -> DataFrame:
+    """(page_id, title, image_url, price, description) of a product's page: the first heading, else the title; the declared image, else the first one; the first price's digits; the declared
+    description, else the first paragraph with a text, ``most`` characters."""
+    nodes = F.col("nodes")
+    meta = lambda key, name: attr(first(nodes, lambda n: is_a(n, "meta") & (F.try_element_at(n["attrs"], F.lit(key)) == name)), "content")
+    image = first(nodes, of_kind("img"))
+    paragraph = F.get(F.filter(F.transform(F.filter(nodes, of_kind("p")), lambda p: words(below(nodes, p))), lambda t: t != ""), 0)
+    price = text_in(nodes, first(nodes, of_kind(["span", "div"], "price")))
+    return parsed(pages, html).select(
+        "page_id", F.coalesce(text_in(nodes, first(nodes, of_kind("h1"))), text_in(nodes, first(nodes, of_kind("title")))).alias("title"),
+        absolute_url(F.coalesce(meta("property", "og:image"), *[attr(image, a) for a in IMAGE_ATTRS]), F.col("url")).alias("image_url"),
+        F.nullif(F.regexp_extract(price, "[0-9,.]+", 0), F.lit("")).alias("price"), F.coalesce(meta("name", "description"), F.left(paragraph, F.lit(most))).alias("description"),
+    )

@@ -106,6 +106,17 @@ def similar_tables(grid: DataFrame, share: float = 0.7) -> DataFrame:
     return b.join(a, same_page & (overlap > share), "left_semi").select("doc_id", "page", "table_idx")
 
 
+def extraction_counts(grid: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Pages, tables, rows and images of each document that has any: grid (doc_id, page, table_idx), images (doc_id, page). Pages are those that have either."""
+    by_table = grid.groupBy("doc_id", "page", "table_idx").agg(F.count("*").alias("rows"))
+    by_page = by_table.groupBy("doc_id", "page").agg(F.count("*").alias("tables"), F.sum("rows").alias("rows")).withColumn("images", F.lit(0).cast("long"))
+    if images is not None:
+        of_page = images.groupBy("doc_id", "page").agg(F.count("*").alias("images"))
+        by_page = by_page.unionByName(of_page.select("doc_id", "page", F.lit(0).cast("long").alias("tables"), F.lit(0).cast("long").alias("rows"), "images"))
+        by_page = by_page.groupBy("doc_id", "page").agg(*[F.sum(c).alias(c) for c in ("tables", "rows", "images")])
+    return by_page.groupBy("doc_id").agg(F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("tables", "rows", "images")])
+
+
 def counts(grid: DataFrame) -> DataFrame:
     """Tables and rows of each document."""
     of_table = grid.groupBy("doc_id", "table_idx").agg(F.count("*").alias("_n"))

@@ -77,6 +77,28 @@ def listing_products(pages: DataFrame, markdown: str = "markdown") -> DataFrame:
     return good.groupBy("page_id", "target").agg(F.min_by("title", "pos").alias("title"))
 
 
+def listing_sections(pages: DataFrame, markdown: str = "markdown", most: int = 200) -> DataFrame:
+    """Sections of a markdown page, from ``###`` to the next one, that link to a ``/product/`` page: (page_id, pos, title, target, image_url, description). Sections about filters
+    and views go; the description is the first ``most`` characters of a section."""
+    parts = F.split(F.coalesce(F.col(markdown), F.lit("")), "###")
+    rows = pages.select("page_id", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("pos", "_s"))
+    body = F.regexp_extract("_s", r"(?s)^[^\n]*\n+(.*)$", 1)
+    one = lambda pattern: F.nullif(F.regexp_extract(body, pattern, 1), F.lit(""))
+    found = rows.select(
+        "page_id", "pos", F.trim(F.regexp_extract("_s", r"^\s+\[?([^\]\n]+)", 1)).alias("title"), one(r"\((https?://[^)]+/product/[^)]+)\)").alias("target"),
+        one(r"!\[.*?\]\((https?://[^)]+)\)").alias("image_url"), F.trim(F.left(body, F.lit(most))).alias("description"),
+    )
+    return found.where(F.col("target").isNotNull() & (F.col("title") != "") & ~F.lower("title").rlike(any_of(rules.SECTION_SKIP)))
+
+
+def listing(pages: DataFrame, markdown: str = "markdown") -> DataFrame:
+    """Products of a listing: those it links to, then those of its sections that it does not: (page_id, target, title, image_url, description)."""
+    linked = listing_products(pages, markdown)
+    first = listing_sections(pages, markdown).groupBy("page_id", "target").agg(F.min_by(F.struct("title", "image_url", "description"), "pos").alias("x"))
+    more = first.select("page_id", "target", "x.*").join(linked.select("page_id", "target"), ["page_id", "target"], "left_anti")
+    return linked.unionByName(more, allowMissingColumns=True)
+
+
 def subcategory_links(pages: DataFrame) -> DataFrame:
     """Links that go on from their own page's path, or lead to a category; the cleaned name is none of the page's own title: (page_id, name, target)."""
     here = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "/$", "")

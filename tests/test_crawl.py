@@ -80,3 +80,10 @@ def test_linked_models_like_all_pairs(spark):
     want = {(s, m): next((t for ls, _, _, t, x in links if ls == s and m.lower() in x.lower()), None) for s, m in models}
     got = pages.linked_models(spark.createDataFrame(models, "site string, model string"), spark.createDataFrame(links, "site string, page_id int, pos int, target string, text string"))
     assert {(r.site, r.model): r.target for r in got.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_listing_with_sections(spark):
+    text = "[Nova](http://h/product/1)\n### [Oak desk](x)\nmade of oak ![i](http://i/2.png)\n(http://h/product/2)\n### Nova again\n(http://h/product/1)\n### Sort by\n(http://h/product/3)\n### Empty\nno link\n###   Late\n\n[x](http://h/product/4)"
+    got = {r.target: r for r in pages.listing(spark.createDataFrame([(1, text), (2, None)], "page_id int, markdown string")).collect()}
+    assert {k: v.title for k, v in got.items()} == {"http://h/product/1": "Nova", "http://h/product/2": "Oak desk", "http://h/product/4": "Late"}
+    assert got["http://h/product/2"].image_url == "http://i/2.png" and got["http://h/product/2"].description.startswith("made of oak") and got["http://h/product/4"].image_url is None

@@ -129,3 +129,30 @@ def test_main_text_of_pages(spark):
     ]
     got = {r.page_id: r.about for r in dom.main_text(spark.createDataFrame(rows, "page_id int, html string").withColumn("url", F.lit(URL))).collect()}
     assert got == {1: ("good chair " * 6).strip() + " Made by hand in small series.", 2: ("Soft seat, firm back and legs of steel, " * 2).strip(), 3: "A chair of oak with a seat of wool. A chair of oak with a seat of wool."}
+
+
+def test_features_of_classed_lists_and_tables(spark):
+    items = lambda c, n: f'<ul class="{c}">' + "".join(f"<li>{c} {k}" for k in range(n)) + "</ul>"
+    table = '<table class="spec">' + "".join(f"<tr><th>name {k}<td>value {k}" for k in range(12)) + "<tr><td>alone</table>"
+    page = items("menu", 3) + items("product-features", 12) + items("benefits", 2) + items("specs", 2) + table
+    got = dom.features(pages(spark, page, "<ul><li>x</ul>", table + f'<ul class="feature"><li>{"y" * 200}<li>ok</ul>')).orderBy("page_id").collect()
+    assert got[0].features == [f"product-features {k}" for k in range(10)] + ["benefits 0", "benefits 1"] + [f"name {k}: value {k}" for k in range(3)]
+    assert got[1].features == [] and got[2].features == ["ok"] + [f"name {k}: value {k}" for k in range(10)]
+
+
+def test_collections_with_their_counts(spark):
+    page = '<div><a href="/en/collection/nova/12">Nova</a><span>14 products</span></div><li><a href="/collection/oak/7"></a><b>Oak line</b> 3 Products</li><a href="/collection/bare/9">Bare 2 products</a><a href="/collection/x">x</a><a href="/collection/ab/1">ab</a>'
+    assert rows(dom.collections(pages(spark, page)), "name", "products", "target") == [("Nova", 14, "https://shop.example.com/en/collection/nova/12"), ("Oak line 3 Products", 3, "https://shop.example.com/collection/oak/7"), ("Bare 2 products", 2, "https://shop.example.com/collection/bare/9")]
+
+
+def test_product_links_and_their_fallback(spark):
+    box = '<div class="card"><a href="/chairs/nova">Nova</a><a href="/second">x</a></div><div class="card"><a href="/typologies/x">Desks</a></div>'
+    got = rows(dom.product_links(pages(spark, box + '<a href="/product/1">a</a><a href="/product/1">b</a>', box, "<a href='/x'>x</a>")), "page_id", "target", "strategy")
+    assert got == [(0, "https://shop.example.com/product/1", "path"), (1, "https://shop.example.com/chairs/nova", "containers")]
+
+
+def test_product_of_a_page(spark):
+    whole = '<head><title>Shop</title><meta property="og:image" content="/o.png"><meta name="description" content="said"></head><h1>Nova <b>Chair</b></h1><img src="/i.png"><div class="price-box">USD 1,250.50</div><p>first</p>'
+    got = dom.product(pages(spark, whole, "<title>Only</title><img data-src='a.png'><p> </p><p>" + "x" * 300, None)).orderBy("page_id").collect()
+    assert tuple(got[0])[1:] == ("Nova Chair", "https://shop.example.com/o.png", "1,250.50", "said")
+    assert tuple(got[1])[1:] == ("Only", "https://shop.example.com/a.png", None, "x" * 200) and tuple(got[2])[1:] == (None,) * 4

@@ -114,3 +114,24 @@ def test_running_columns(spark):
             spots = [(r[2] + r[3]) / 2 for r in own] + ([] if mode == "alignment" else [r[2] for r in own])
             assert got.get(page, []) == (by_hand(spots, reach, fewest, apart) if own else []), (mode, page)
     assert layout.running_columns(df.limit(0), ["doc_id", "page"]).collect() == []
+
+
+def test_extraction_counts(spark):
+    grid = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (1, 0, 1), (1, 2, 0), (2, 0, 0)], "doc_id int, page int, table_idx int")
+    images = spark.createDataFrame([(1, 0), (1, 5), (3, 1)], "doc_id int, page int")
+    assert sorted(tuple(r) for r in layout.extraction_counts(grid, images).collect()) == [(1, 3, 3, 4, 2), (2, 1, 1, 1, 0), (3, 1, 0, 0, 1)]
+    assert sorted(tuple(r) for r in layout.extraction_counts(grid).collect()) == [(1, 2, 3, 4, 0), (2, 1, 1, 1, 0)]
+
+
+def test_collections_in_pieces(spark, tmp_path):
+    rows = [("A", "t", "Chairs", "Task" if k % 3 else "", k, f"m{k % 50}", float(k)) for k in range(2500)] + [("B", "t", "Desks", None, 1, "x", None)] * 7
+    df = spark.createDataFrame(rows, "brand string, tier string, category string, subcategory string, position long, model string, price double")
+    pieces = catalogue.collection_pieces(df, most=100)
+    assert pieces.where(F.size("products") > 100).count() == 0 and pieces.count() >= 26
+    assert catalogue.collection_pieces(df, most=5).where("brand = 'B'").agg(F.sum(F.size("products")), F.max(F.size("products"))).first()[:] == (7, 5)
+    path = str(tmp_path / "out")
+    catalogue.write_collections(df, path)
+    catalogue.write_collections(df.where("brand = 'A' and position < 2000"), path)
+    got = catalogue.read_collections(spark, path).collect()
+    name = lambda r: r[2] if not r[3] else f"{r[2]} > {r[3]}"
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], r[1], name(r), *r[4:])) for r in rows if r[0] == "B" or r[4] < 2000)
