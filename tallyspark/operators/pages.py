@@ -86,7 +86,7 @@ def listing_sections(pages: DataFrame, markdown: str = "markdown", most: int = 2
     one = lambda pattern: F.nullif(F.regexp_extract(body, pattern, 1), F.lit(""))
     found = rows.select(
         "page_id", "pos", F.trim(F.regexp_extract("_s", r"^\s+\[?([^\]\n]+)", 1)).alias("title"), one(r"\((https?://[^)]+/product/[^)]+)\)").alias("target"),
-        one(r"!\[.*?\]\((https?://[^)]+)\)").alias("image_url"), F.trim(F.left(body, F.lit(most))).alias("description"),
+        one(r"!\[.*?\]\((https?://[^)]+)\)").alias("image_url"), F.regexp_replace(F.left(body, F.lit(most)), r"^\s+|\s+$", "").alias("description"),
     )
     return found.where(F.col("target").isNotNull() & (F.col("title") != "") & ~F.lower("title").rlike(any_of(rules.SECTION_SKIP)))
 
