@@ -100,12 +100,6 @@ def subcategory_from_url(url: Column) -> Column:
     return title_case(F.try_element_at(url_path_parts(url), F.lit(2)))
 
 
-def product_id(url: Column) -> Column:
-    """digits at the end of the last part of the path, else that part."""
-    last = F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1)
-    return F.coalesce(F.nullif(F.regexp_extract(last, r"-([0-9]{5,})$", 1), F.lit("")), last)
-
-
 def absolute_url(href: Column, base: Column) -> Column:
     """F15."""
     root = F.regexp_extract(base, r"^[a-zA-Z]+://[^/?#]+", 0)

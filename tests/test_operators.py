@@ -23,7 +23,6 @@ def test_names(spark):
     assert values(spark, lambda c: text.clean_title(c, "Acme"), ["Acme Nova Chair - Buy Online", "Tufty-Time (new)"]) == ["Nova Chair", "Tufty-Time"]
     assert values(spark, text.category_from_url, ["http://a.b/chairs/executive/x", "http://a.b/"]) == ["Chairs", "Products"]
     assert values(spark, text.subcategory_from_url, ["http://a.b/chairs/executive/x", "http://a.b/"]) == ["Executive", None]
-    assert values(spark, text.product_id, ["/en/p/narbutas-parthos-acoustic-columns-20732680/"]) == ["20732680"]
     assert values(spark, text.specifications, ["Desk 1600 x 800 x 750 mm, steel, black"])[0] == ["Dimensions: 1600 x 800 x 750 mm", "Materials: Steel", "Available Colors: Black"]
     assert values(spark, text.listed, ["a, b;c ,"]) == [["a", "b", "c"]]
     assert values(spark, text.strip_tags, ["<b>a&amp;b</b>\n c&lt;"]) == ["a&b c<"]
