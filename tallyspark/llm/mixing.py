@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, written
+from tallyspark.llm.common import WORD, shuffle_partitions, written
 
 #: Weights of the sources in order, repeating; copies of a document at most.
 WEIGHTS = (5, 2, 1)
@@ -19,23 +19,38 @@ GROUPS = 256
 EXACT_WORDS = 1 << 16
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``_i``, the number of each source from 1, by code point, null last: sources are range-partitioned, each part is numbered on its own, and the
+    counts of the parts, one number each, say where it begins."""
+    n = shuffle_partitions(sizes.sparkSession)
+    parts = written(sizes.repartitionByRange(n, F.asc_nulls_last("source")).withColumn("_part", F.spark_partition_id()))
+    starts, at = [], 0
+    for part, count in sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect()):
+        starts.append((part, at))
+        at += count
+    begins = F.broadcast(sizes.sparkSession.createDataFrame(starts, "_part int, _start long"))  # a row per partition
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last("source")))
+    return parts.withColumn("_i", rank).join(begins, "_part").withColumn("_i", F.col("_i") + F.col("_start")).drop("_part", "_start")
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """``sizes`` (one row per source: source, source_size) with ``target``.
 
     Sources by code point, null last, take the weights in turn and share all words; a target stops at ``most`` times
-    its source, and what is over is shared again by weight. That ends where each target is the smaller of its
-    limit and its weight times one common level, which the running sums by limit per weight give directly.
-    One row per source only: the window over them all is small.
+    its source, and what is over is shared again by weight until none is above. Each turn is one sum over all sources: with those at their
+    limit left out, the level (words a unit of weight) rises, until no further source reaches its limit.
     """
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("_i") - 1) % len(weights) + 1).cast("int"))
-    named = sizes.withColumn("_i", F.row_number().over(Window.orderBy(F.asc_nulls_last("source")))).withColumn("_w", w)
-    limit = F.col("source_size") * F.lit(most)
-    order = Window.orderBy(limit / F.col("_w"), "_i")
-    past, future, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(limit).over(past), F.lit(0))) / F.sum("_w").over(future)
-    fits = named.withColumn("_level", level).withColumn("_limit", limit.cast("double"))
-    first = fits.withColumn("_level", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_limit"), F.struct(F.col("_limit") / F.col("_w"), F.col("_i"), F.col("_level"))).otherwise(F.lit(None))).over(whole)["_level"])
-    return first.withColumn("target", F.least("_limit", F.coalesce(F.col("_level") * F.col("_w"), F.col("_limit")))).select("source", "source_size", "target")
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("_i") - 1) % len(weights) + 1).cast("int"))
+    rows = written(numbered(sizes).select("source", "source_size", w.alias("_w"), (F.col("source_size") * F.lit(most)).alias("_limit")))
+    full = lambda level: F.col("_limit") <= F.lit(level) * F.col("_w")
+    total, level, before = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0, -1
+    while True:
+        got = rows.agg(F.count_if(full(level)).alias("n"), F.coalesce(F.sum(F.when(full(level), F.col("_limit"))), F.lit(0)).alias("taken"), F.coalesce(F.sum(F.when(~full(level), F.col("_w"))), F.lit(0)).alias("open")).first()
+        if got["n"] == before or not got["open"]:
+            break
+        level, before = (total - got["taken"]) / got["open"], got["n"]
+    target = F.when(full(level), F.col("_limit")).otherwise(F.lit(level) * F.col("_w")).cast("double")
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
