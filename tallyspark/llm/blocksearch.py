@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import shuffle_partitions, written
+from tallyspark.llm.common import by_length, shuffle_partitions, written
 
 K = 5
 #: Documents in a block, and queries that meet a range of documents in one task.
@@ -26,12 +27,13 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for i, x in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True):
-                if x and i is not None and all(c is not None and math.isfinite(c) for c in x):
-                    ids.append(i)
-                    out.append(np.floor(scale * np.array(x, float)).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "terms"])
+            out: list = [None] * b.num_rows
+            for rows, x in by_length(b.column("embedding")):
+                good = np.isfinite(x).all(1)
+                for k, terms in zip(rows[good].tolist(), np.floor(scale * x[good]).astype("<i8"), strict=True):
+                    out[k] = terms.tobytes()
+            found = pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "terms"])
+            yield found.filter(pc.and_(found.column(0).is_valid(), found.column(1).is_valid()))
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(run, "vec_id long, terms binary")

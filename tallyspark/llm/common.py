@@ -129,6 +129,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
     give_back()
 
 
+def by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the lists of each length but 0: their numbers, and their values as rows of doubles; a null value is nan. Null lists are left out."""
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    start = np.cumsum(length) - length
+    for n in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == n)
+        yield rows, flat[start[rows][:, None] + np.arange(n)]
+
+
 def split_words(data: bytes | None) -> list[bytes]:
     """``bytes.split()`` cuts at exactly the six characters that WORD leaves out."""
     return data.split() if data else []

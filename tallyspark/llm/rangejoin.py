@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import forget, written
+from tallyspark.llm.common import by_length, forget, written
 from tallyspark.llm.components import connected_components
 
 COSINE = 0.98
@@ -29,11 +29,16 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x, label in zip(b.column("embedding").to_pylist(), b.column("label").to_pylist(), strict=True):
-                v = np.array([math.nan if c is None else c for c in x] if x else [], float)
-                n = np.linalg.norm(v / (m or 1)) * m if len(v) and np.isfinite(m := float(np.abs(v).max())) else math.nan
-                out.append((v / n).astype("<f8").tobytes() if label is not None and math.isfinite(n) and n > 0 else None)
+            out: list = [None] * b.num_rows
+            labelled = b.column("label").is_valid().to_numpy(zero_copy_only=False)
+            for rows, v in by_length(b.column("embedding")):
+                most = np.abs(v).max(1)
+                good = np.isfinite(most) & (most > 0) & labelled[rows]
+                v, most, rows = v[good], most[good][:, None], rows[good]
+                n = np.linalg.norm(v / most, axis=1)[:, None] * most
+                good = np.isfinite(n[:, 0])
+                for k, unit in zip(rows[good].tolist(), (v / n)[good].astype("<f8"), strict=True):
+                    out[k] = unit.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(out, pa.binary())], ["vec_id", "label", "unit"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
