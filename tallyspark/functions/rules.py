@@ -83,3 +83,5 @@ SECTION_SKIP = ["filter", "sort", "view", "showing", "page"]
 SUBMITTAL_MATERIALS = ["wood", "metal", "fabric", "leather", "plastic", "steel", "aluminum"]
 SUBMITTAL_FINISHES = ["polished", "matte", "glossy", "powder coated", "chrome"]
 SUBMITTAL_LINES = ["Material: As specified", "Finish: As specified", "Material/Finish: Per manufacturer standard", "Color: As per approved sample", "Compliance: Meet relevant standards"]
+# Names that are controls.
+NO_MODEL = ["select options", "contact for price", "read more", "add to cart"]

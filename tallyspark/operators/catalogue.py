@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import rules
 from tallyspark.functions.text import clean_category, slug_name
 
 
@@ -215,9 +216,11 @@ def write_collections(products: DataFrame, path: str) -> None:
 
 
 def organised(products: DataFrame) -> DataFrame:
-    """Products with a name (the model, else the last part of the URL if that has more than three characters, F14), labels of controls cleaned off their categories; of equal
+    """Products with a name (the model, else the last part of the URL if that has more than three characters, F14; names of controls go, and the note on the price goes off a name), labels of controls cleaned off their categories; of equal
     (brand, tier, category, subcategory, model) the last by position stays, and General gives way to a specific subcategory."""
-    named = products.withColumns({"model": F.coalesce(F.nullif(F.trim("model"), F.lit("")), slug_name(F.col("source_url"))), "category": clean_category(F.col("category")), "subcategory": clean_category(F.col("subcategory"))})
+    own = F.trim(F.regexp_replace("model", r"(?i)\(contact for price\)|contact for price", ""))
+    own = F.when(~F.lower(F.trim("model")).isin(rules.NO_MODEL), own)
+    named = products.withColumns({"model": F.coalesce(F.nullif(own, F.lit("")), F.when(F.coalesce(F.trim("model"), F.lit("")) == "", slug_name(F.col("source_url")))), "category": clean_category(F.col("category")), "subcategory": clean_category(F.col("subcategory"))})
     keys = ["brand", "tier", "category", "subcategory", "model"]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("position")))
     kept = named.where("model is not null").withColumn("_r", rank).where("_r = 1").drop("_r")

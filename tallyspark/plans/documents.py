@@ -197,11 +197,14 @@ def s5(spark, d):
     return blocks.select("doc_id", F.md5(F.col("content").cast("binary")).alias("content"), "is_table")
 
 
-@query("X15_organised", f"WITH {_CATALOGUE_SQL}, m AS (SELECT *, CASE WHEN position % 4 = 0 THEN 'General' ELSE subcategory END AS sub, CASE WHEN position % 10 = 0 THEN (position % 700)::VARCHAR ELSE split_part(model, ' ', 1) END AS name FROM cat), k AS (SELECT brand, tier, category, sub, name, max(position) AS position FROM m GROUP BY ALL) SELECT position, name AS model, sub AS subcategory FROM k QUALIFY sub <> 'General' OR NOT bool_or(sub <> 'General') OVER (PARTITION BY category, name)")
+@query("X15_organised", f"WITH {_CATALOGUE_SQL}, m AS (SELECT *, CASE WHEN position % 4 = 0 THEN 'General' ELSE subcategory END AS sub, CASE WHEN position % 10 > 0 THEN split_part(model, ' ', 1) WHEN position % 20 = 10 THEN 'Nova Nr ' || position END AS name FROM cat WHERE position % 30 <> 7), k AS (SELECT brand, tier, category, sub, name, max(position) AS position FROM m WHERE name IS NOT NULL GROUP BY ALL) SELECT position, name AS model, sub AS subcategory FROM k QUALIFY sub <> 'General' OR NOT bool_or(sub <> 'General') OVER (PARTITION BY category, name)")
 def x15(spark, d):
     c = _catalogue(spark, d)
-    model = F.when(F.col("position") % 10 == 0, " ").otherwise(F.split_part("model", F.lit(" "), F.lit(1)))
-    return catalogue.organised(c.withColumns({"model": model, "subcategory": F.when(F.col("position") % 4 == 0, "General").otherwise(F.col("subcategory"))})).select("position", "model", "subcategory")
+    n = F.col("position")
+    word = F.split_part("model", F.lit(" "), F.lit(1))
+    model = F.when(n % 10 == 0, " ").when(n % 30 == 7, "Select options").when(n % 30 == 8, F.concat(word, F.lit(" (Contact for price)"))).otherwise(word)
+    url = F.when(n % 20 == 10, F.concat(F.lit("http://shop/p/nova-nr-"), n.cast("string"), F.lit("/"))).otherwise(F.col("source_url"))
+    return catalogue.organised(c.withColumns({"model": model, "source_url": url, "subcategory": F.when(F.col("position") % 4 == 0, "General").otherwise(F.col("subcategory"))})).select("position", "model", "subcategory")
 
 
 @query("X12_flattened", f"WITH {_CATALOGUE_SQL} SELECT brand, category || ' > ' || subcategory AS collection, position, model FROM cat")
