@@ -158,13 +158,6 @@ def refetch(brands: DataFrame) -> DataFrame:
     return g.select("brand", "products", "categories", again.alias("refetch"))
 
 
-def collections(products: DataFrame) -> DataFrame:
-    """Products nested into ``Category > Subcategory`` collections of their brand, in order of position; the form of the JSON sink."""
-    name = F.when(F.coalesce("subcategory", F.lit("")) == "", F.col("category")).otherwise(F.concat("category", F.lit(" > "), "subcategory"))
-    nested = F.sort_array(F.collect_list(F.struct("position", "model", "price")))
-    return products.groupBy("brand", "tier", name.alias("collection")).agg(nested.alias("products"))
-
-
 #: Products of one piece of a collection.
 PIECE = 1000
 

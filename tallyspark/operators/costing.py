@@ -24,16 +24,25 @@ def costed(p):
     return round2(value)
 
 
+#: Scenarios that are broadcast.
+SCENARIOS = 1000
+
+
+def under_scenarios(rows: DataFrame, factors: DataFrame, most: int = SCENARIOS) -> DataFrame:
+    """Each row under each scenario. Scenarios are broadcast if a count finds ``most`` at most; more of them are left to the planner."""
+    return rows.crossJoin(F.broadcast(factors) if factors.limit(most + 1).count() <= most else factors)
+
+
 def cost_items(items: DataFrame, factors: DataFrame) -> DataFrame:
     """Items (qty, unit_rate, ...) under each scenario: costed unit rate and the total recomputed from it."""
-    out = items.crossJoin(F.broadcast(factors)).withColumn("rate", costed(F.col("unit_rate")))
+    out = under_scenarios(items, factors).withColumn("rate", costed(F.col("unit_rate")))
     return out.withColumn("total", round2(F.col("qty") * F.col("rate"))).drop(*FACTORS)
 
 
 def cost_cells(cells: DataFrame, factors: DataFrame) -> DataFrame:
     """X1 over the long form (doc_id, table_id, row_no, header, text): price columns are costed, other cells and unparsable ones unchanged."""
     value = costed(number(F.col("text")))
-    out = cells.crossJoin(F.broadcast(factors))
+    out = under_scenarios(cells, factors)
     return out.withColumn("text", F.when(is_price_header(F.col("header")) & value.isNotNull(), F.format_string("%.2f", value)).otherwise(F.col("text"))).drop(*FACTORS)
 
 

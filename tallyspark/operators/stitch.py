@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
 from tallyspark.functions.text import any_of, brand_in, category, image_sources, is_price_header, number, number_or_zero, round2, specifications, strip_tags
-from tallyspark.operators.costing import FACTORS, costed
+from tallyspark.operators.costing import FACTORS, costed, under_scenarios
 from tallyspark.operators.headers import hits, lowered
 
 _BLANK = "[\\s ​‌‍﻿]+"
@@ -104,7 +104,7 @@ def costed_rows(rows: DataFrame, factors: DataFrame) -> DataFrame:
         "_p": F.transform("cells", lambda _, i: F.coalesce(F.get(price, i), F.lit(False))),
         "_q": _last(_is_qty), "_r": _last(_is_rate), "_t": _last(_is_total),
     })
-    out = read.crossJoin(F.broadcast(factors))
+    out = under_scenarios(read, factors)
     once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
     at = lambda new, k: F.coalesce(F.get(new, F.col(k)), F.get("_v", F.col(k)))
 

@@ -156,7 +156,9 @@ def a8(spark, d):
 
 @query("A12_collections", f"WITH {_CATALOGUE_SQL} SELECT brand, tier, category || ' > ' || subcategory AS collection, count(*) AS n, arg_min(model, position) AS first_model FROM cat GROUP BY ALL")
 def a12(spark, d):
-    return catalogue.collections(_catalogue(spark, d)).select("brand", "tier", "collection", F.size("products").cast("long").alias("n"), F.get("products", 0)["model"].alias("first_model"))
+    first = F.get("products", 0)
+    pieces = catalogue.collection_pieces(_catalogue(spark, d))
+    return pieces.groupBy("brand", "tier", "collection").agg(F.sum(F.size("products")).alias("n"), F.min_by(first["model"], first["position"]).alias("first_model"))
 
 
 @query("X19_listing", f"WITH {_CATALOGUE_SQL} SELECT brand AS page_id, 'http://shop/product/' || position AS target, model AS title FROM cat WHERE NOT regexp_matches(lower(model), '{text.any_of(rules.LISTING_SKIP)}')")
@@ -209,5 +211,5 @@ def x15(spark, d):
 
 @query("X12_flattened", f"WITH {_CATALOGUE_SQL} SELECT brand, category || ' > ' || subcategory AS collection, position, model FROM cat")
 def x12(spark, d):
-    nested = catalogue.collections(_catalogue(spark, d)).groupBy("brand", "tier").agg(F.collect_list(F.struct("collection", "products")).alias("collections"))
+    nested = catalogue.collection_pieces(_catalogue(spark, d)).select("brand", "tier", F.array(F.struct("collection", "products")).alias("collections"))
     return io.flattened(nested).select("brand", "collection", "position", "model")
