@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules
 from tallyspark.functions.text import any_of
 from tallyspark.operators import crawl, dom
-from tallyspark.plans.catalog import _read, _strip_sql, query
+from tallyspark.plans.catalog import _PLACED_SQL, _TARGET_SQL, _clean_sql, _read, _strip_sql, query
 from tallyspark.sources import html
 
 _ROOT = "http://shop.example.com"
@@ -77,6 +77,25 @@ def x21_tree(spark, d):
     return dom.site_categories(_page(spark, d, body)).drop("site", "pos")
 
 
+_SKIP_SQL = ", ".join(f"'{x}'" for x in rules.MENU_SKIP)
+_HOST_SQL, _PATH_SQL = "lower(regexp_extract({}, '^[a-zA-Z]+://([^/?#]+)', 1))", "regexp_extract(lower({}), '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(
+    "X21_site_menus",
+    f"""WITH n AS (SELECT page_id, url, array_to_string(regexp_extract_all(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), ' ') AS h FROM pages), l AS ({_PLACED_SQL}),
+c AS (SELECT page_id, pos, url, lower(href) AS h, {_strip_sql("replace(txt, '&quot;', chr(34))")} AS txt, {_TARGET_SQL} AS target FROM l), d AS (SELECT *, {_clean_sql('txt')} AS name FROM c)
+SELECT page_id, {_HOST_SQL.format('url')} AS site, 'menu' AS strategy, arg_min(name, pos) AS category, arg_min(name, pos) AS name, 1 AS depth, target FROM d
+WHERE h <> '' AND txt <> '' AND NOT regexp_matches(h, '{crawl.NO_CATEGORY}') AND NOT regexp_matches(lower(txt), '{crawl.NO_CATEGORY}') AND (regexp_matches(h, '{crawl.CATEGORY_WORDS}') OR length(txt) BETWEEN 2 AND 50)
+  AND length(name) >= 2 AND lower(name) NOT IN ({_SKIP_SQL}) AND lower(txt) NOT IN ({_SKIP_SQL}) AND {_HOST_SQL.format('target')} = {_HOST_SQL.format('url')}
+  AND regexp_replace(target, '/$', '') <> regexp_replace(url, '/$', '') AND length(regexp_replace({_PATH_SQL.format('target')}, '/$', '')) > 0
+GROUP BY page_id, url, target""",
+)
+def x21_menus(spark, d):
+    """Menus of the given pages."""
+    return dom.site_categories(_read(spark, d, "pages")).drop("pos", "parent")
+
+
 @query(
     "X23_needs_script",
     f"""WITH t AS (SELECT page_id, html, length({_strip_sql("replace(replace(replace(regexp_replace(regexp_replace(html, '&amp([^;])', '&amp;\\1', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '&copy;', 'c'), '&middot;', '.'), '&quot;', '.')")}) AS text_chars FROM pages)
