@@ -336,3 +336,67 @@ def product(pages: DataFrame, most: int = 200, html: str = "html") -> DataFrame:
         absolute_url(F.coalesce(meta("property", "og:image"), *[attr(image, a) for a in IMAGE_ATTRS]), F.col("url")).alias("image_url"),
         F.nullif(F.regexp_extract(price, "[0-9,.]+", 0), F.lit("")).alias("price"), F.coalesce(meta("name", "description"), F.left(paragraph, F.lit(most))).alias("description"),
     )
+
+
+# Where breadcrumbs and lists of subcategories are, and crumbs that do not count.
+CRUMBS = "breadcrumb|bread-crumb|path"
+NO_CRUMB = [">", "/", "»", "Home"]
+SUBCATEGORY_LISTS = [
+    ("ul", "product.*categor"), ("div", "product.*categor"), ("div", "categor.*list|categor.*grid"), ("ul", "sub.*categor|child.*categor"),
+    ("aside", "categor|sidebar"), ("div", "widget.*categor"), ("div", "filter|facet"),
+]
+
+
+def _crumb_blocks(nodes: Column) -> Column:
+    by_class = F.filter(nodes, of_kind(["nav", "div", "ul", "ol"], CRUMBS))
+    by_id = F.filter(nodes, lambda n: is_a(n, "div") & F.coalesce(F.lower(F.try_element_at(n["attrs"], F.lit("id"))).rlike("breadcrumb"), F.lit(False)))
+    return F.concat(by_class, by_id)
+
+
+def breadcrumbs(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, url, crumbs, links) of every page. ``crumbs``: texts of the links, spans and items of the first block classed as breadcrumbs that has any, of two
+    characters or more, without separators and Home; of equal neighbours one. ``links``: (name, href) of the first such block that has links."""
+    nodes = F.col("nodes")
+
+    def texts(block: Column) -> Column:
+        found = F.transform(F.filter(below(nodes, block), of_kind(["a", "span", "li"])), lambda n: words(below(nodes, n)))
+        good = F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(NO_CRUMB))
+        return bound(good, lambda g: F.filter(g, lambda t, i: (i == 0) | (t != F.get(g, i - 1))))
+
+    def linked(block: Column) -> Column:
+        pairs = F.transform(F.filter(below(nodes, block), has_href), lambda a: F.struct(words(below(nodes, a)).alias("name"), attr(a, "href").alias("href")))
+        return F.filter(pairs, lambda p: (p["name"] != "") & p["href"].isNotNull() & ~p["name"].isin(NO_CRUMB))
+
+    some = lambda lists: F.get(F.filter(lists, lambda x: F.size(x) > 0), 0)
+    read = parsed(pages, html).withColumn("_b", _crumb_blocks(nodes))
+    return read.select(
+        "page_id", "url", F.coalesce(some(F.transform("_b", texts)), F.array().cast("array<string>")).alias("crumbs"),
+        F.coalesce(some(F.transform("_b", linked)), F.array().cast("array<struct<name:string,href:string>>")).alias("links"),
+    )
+
+
+def crumb_subcategories(pages: DataFrame, parent: str = "parent", html: str = "html") -> DataFrame:
+    """(page_id, name, target): the crumb after one that contains the page's parent category or is contained in it (without case, names cleaned), unless it is the page itself or the parent again."""
+    keyed = pages.withColumn("page_id", F.struct("page_id", F.lower(F.col(parent)).alias("parent")))
+    read = breadcrumbs(keyed, html).select("page_id.page_id", F.col("page_id.parent").alias("_p"), "url", F.transform("links", lambda x: F.struct(clean_category(x["name"]).alias("name"), absolute_url(x["href"], F.col("url")).alias("target"))).alias("_l"))
+    near = lambda x: F.contains(F.col("_p"), F.lower(x["name"])) | F.contains(F.lower(x["name"]), F.col("_p"))
+    after = F.filter("_l", lambda x, i: (i > 0) & near(F.get("_l", i - 1)) & (x["target"] != F.col("url")) & (x["name"] != "") & (F.lower(x["name"]) != F.col("_p")))
+    rows = read.where(F.coalesce(F.col("_p"), F.lit("")) != "").select("page_id", F.posexplode(after).alias("pos", "x"))
+    return rows.groupBy("page_id", F.col("x.name").alias("name")).agg(F.max_by("x.target", "pos").alias("target"))
+
+
+def subcategories(pages: DataFrame, parent: str = "parent", html: str = "html") -> DataFrame:
+    """(page_id, name, target) of links to categories in a page's lists of categories, sidebars and filters; cleaned names that differ from the parent's, and targets from the page. Of
+    one name the last stays, by the kind of list and then by place."""
+    nodes = F.col("nodes")
+
+    def of_list(k: int, kind: tuple[str, str]) -> Column:
+        anchors = F.flatten(F.transform(F.filter(nodes, of_kind(*kind)), lambda b: F.filter(below(nodes, b), has_href)))
+        return F.transform(anchors, lambda a: F.struct(F.lit(k).alias("kind"), a["node"].alias("pos"), words(below(nodes, a)).alias("text"), F.coalesce(attr(a, "href"), F.lit("")).alias("href")))
+
+    keyed = pages.withColumn("page_id", F.struct("page_id", F.col(parent).alias("parent")))
+    links = F.concat(*[of_list(k, kind) for k, kind in enumerate(SUBCATEGORY_LISTS)])
+    rows = parsed(keyed, html).select("page_id.page_id", F.coalesce("page_id.parent", F.lit("")).alias("_p"), "url", F.inline(links))
+    rows = rows.where(F.col("href").rlike("/product-category/|/category/") & (F.length("text") >= 2)).withColumns({"name": clean_category(F.col("text")), "target": absolute_url(F.col("href"), F.col("url"))})
+    good = rows.where((F.col("name") != "") & (F.col("name") != F.col("_p")) & (F.col("target") != F.col("url")))
+    return good.groupBy("page_id", "name").agg(F.max_by("target", F.struct("kind", "pos")).alias("target"))

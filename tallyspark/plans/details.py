@@ -166,3 +166,28 @@ def s6_varied(spark, d):
     rows = [["Offer", "", ""], ["", " ", ""], [_by(2, "No", "1"), _by(2, "Description", "oak"), _by(2, "Qty", "x")], ["", "", ""], [F.col("p_partkey"), F.col("p_name"), F.lit("2")]]
     found = headers.sheet_rows(_tables(spark, d, *rows))
     return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("row_idx")), ",").alias("rows"))
+
+
+
+@query(
+    "X22_crumbs_after_parent",
+    f"SELECT p_partkey AS page_id, p_type AS name, '{_ROOT}/c/' || p_partkey AS target FROM part WHERE p_partkey % 3 < 2",
+)
+def x22_after(spark, d):
+    """The crumb after the parent, by its whole name, by a part of it, and pages whose parent is in no crumb."""
+    trail = ["<nav class='breadcrumb'><ol><li><a href='/'>Home</a><li>»<li><div><a href='/c'>", "$p_name", "</a></div><li><a href='/c/", "$p_partkey", "'>", "$p_type", " (7)</a><li>", "$p_brand", "</ol></nav>"]
+    k = F.col("p_partkey") % 3
+    parents = _read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.when(k == 0, F.upper("p_name")).when(k == 1, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise("nowhere").alias("parent"))
+    return dom.crumb_subcategories(_page(spark, d, *trail).join(parents, "page_id"))
+
+
+@query(
+    "X27_listed_subcategories",
+    f"""SELECT p_partkey AS page_id, p_name AS name, '{_ROOT}/product-category/' || p_partkey AS target FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_name, '{_ROOT}/category/side/' || p_partkey FROM part WHERE p_partkey % 2 = 1""",
+)
+def x27_listed(spark, d):
+    """Lists of categories; in every other page a sidebar leads the same name elsewhere."""
+    side = F.when(F.col("p_partkey") % 2 == 1, _text('<aside class="sidebar"><div><a href="/category/side/', "$p_partkey", '">', "$p_name", "</a></div></aside>")).otherwise("")
+    page = _page(spark, d, '<ul class="product-categories"><li><a href="/product-category/', "$p_partkey", '">', "$p_name", ' (3)</a><li><a href="/product-category/x">', "$p_brand", '</a><li><a href="/other">Other</a></ul>', side, '<p><a href="/category/loose">Loose</a>')
+    return dom.subcategories(page.join(_read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("parent")), "page_id"))

@@ -156,3 +156,18 @@ def test_product_of_a_page(spark):
     got = dom.product(pages(spark, whole, "<title>Only</title><img data-src='a.png'><p> </p><p>" + "x" * 300, None)).orderBy("page_id").collect()
     assert tuple(got[0])[1:] == ("Nova Chair", "https://shop.example.com/o.png", "1,250.50", "said")
     assert tuple(got[1])[1:] == ("Only", "https://shop.example.com/a.png", None, "x" * 200) and tuple(got[2])[1:] == (None,) * 4
+
+
+def test_breadcrumbs(spark):
+    trail = '<div class="path"><span>/</span></div><nav class="breadcrumb"><ol><li><a href="/">Home</a></li><li>»</li><li><a href="/c/seating">Seating</a></li><li><div><a href="/c/chairs">Chairs (4)</a></div></li><li><span>Nova</span></li></ol></nav>'
+    got = dom.breadcrumbs(pages(spark, trail, '<div id="the-breadcrumb"><a href="/x">X1</a></div>', "<p>x", None)).orderBy("page_id").collect()
+    assert got[0].crumbs == ["Seating", "Chairs (4)", "Nova"] and [tuple(x) for x in got[0].links] == [("Seating", "/c/seating"), ("Chairs (4)", "/c/chairs")]
+    assert got[1].crumbs == ["X1"] and got[2].crumbs == [] and got[3].links == []
+    parents = pages(spark, trail, trail, trail, trail).withColumn("parent", F.element_at(F.array(F.lit("seating"), F.lit("Chairs"), F.lit("none"), F.lit(None)), (F.col("page_id") + 1).cast("int")))
+    assert rows(dom.crumb_subcategories(parents), "page_id", "name", "target") == [(0, "Chairs", "https://shop.example.com/c/chairs")]
+
+
+def test_subcategories_of_lists(spark):
+    page = '<ul class="product-categories"><li><a href="/product-category/desks">Desks (3)</a></li><li><a href="/product-category/seating">Seating</a><li><a href="/other">Other</a></ul><aside class="sidebar"><div><a href="/category/desks2">Desks</a><a href="/category/x">x</a></div></aside><p><a href="/category/loose">Loose</a>'
+    got = dom.subcategories(pages(spark, page, "<p>none").withColumn("parent", F.lit("Seating")))
+    assert rows(got, "page_id", "name", "target") == [(0, "Desks", "https://shop.example.com/category/desks2")]
