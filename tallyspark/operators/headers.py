@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
@@ -164,27 +164,36 @@ def in_region(tables: DataFrame, regions: DataFrame, common: int = 3) -> DataFra
     return of(tables).join(r, "doc_id", "left").where(F.col("_regions").isNull() | near).select(*TABLE)
 
 
-def sheet_start(grid: DataFrame) -> DataFrame:
-    """(doc_id, table_idx, start): the first row with three filled cells and two header words, else the first row."""
+def _start(group: WindowSpec | None = None) -> Column:
+    """Of a sheet's rows the first with three filled cells and two header words, else the first row: an aggregate, over ``group`` if given."""
     full = F.filter("cells", lambda c: F.trim(c) != "")
     good = (F.size(full) >= 3) & (hits(F.lower(F.array_join(full, " ")), rules.SHEET_WORDS) >= 2)
-    return grid.groupBy(*TABLE).agg(F.coalesce(F.min(F.when(good, F.col("row_idx"))), F.lit(0)).alias("start"))
+    first = F.min(F.when(good, F.col("row_idx")))
+    return F.coalesce(first if group is None else first.over(group), F.lit(0))
+
+
+def sheet_start(grid: DataFrame) -> DataFrame:
+    """(doc_id, table_idx, start): the first row with three filled cells and two header words, else the first row."""
+    return grid.groupBy(*TABLE).agg(_start().alias("start"))
 
 
 def sheet_rows(grid: DataFrame) -> DataFrame:
-    """The rows from a sheet's start on; rows without text go, the row number stays."""
-    rows = grid.join(sheet_start(grid), TABLE).where("row_idx >= start")
+    """The rows from a sheet's start on; rows without text go, the row number stays. Sheets without an id go."""
+    rows = grid.where(" and ".join(f"{c} is not null" for c in TABLE)).withColumn("start", _start(Window.partitionBy(*TABLE))).where("row_idx >= start")
     return rows.where(F.exists("cells", lambda c: F.trim(c) != "")).drop("start")
 
 
 def live_columns(grid: DataFrame) -> DataFrame:
-    """``sheet_rows`` without the columns that are empty below the head; columns of images stay, as their cells hold no text."""
-    rows = grid.join(sheet_start(grid), TABLE).where("row_idx >= start").where(F.exists("cells", lambda c: F.trim(c) != ""))
-    head = F.max(F.when(F.col("row_idx") == F.col("start"), F.col("cells"))).alias("_head")
-    heads = rows.groupBy(*TABLE).agg(head)
+    """``sheet_rows`` without the columns that are empty below the head; columns of images stay, as their cells hold no text.
+
+    There are as many heads and lists of live columns as sheets, so they are merged with the rows by key and never broadcast. Sheets without an id go."""
+    sheet = Window.partitionBy(*TABLE)
+    rows = grid.where(" and ".join(f"{c} is not null" for c in TABLE)).withColumn("start", _start(sheet))
+    rows = rows.where("row_idx >= start").where(F.exists("cells", lambda c: F.trim(c) != ""))
     below = rows.where("row_idx > start").select(*TABLE, F.posexplode("cells").alias("at", "c")).where("trim(c) <> ''")
     live = below.groupBy(*TABLE).agg(F.collect_set("at").alias("_live"))
-    out = rows.join(heads, TABLE).join(live, TABLE, "left")
+    head = F.max(F.when(F.col("row_idx") == F.col("start"), F.col("cells"))).over(sheet)
+    out = rows.withColumn("_head", head).join(live.hint("merge"), TABLE, "left")
     stays = lambda i: F.coalesce(F.array_contains("_live", i), F.lit(False)) | F.coalesce(F.lower(F.get("_head", i)).rlike(any_of(rules.IMAGE_COLUMNS)), F.lit(False))
     return out.withColumn("cells", F.filter("cells", lambda c, i: stays(i))).drop("start", "_head", "_live")
 

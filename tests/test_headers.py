@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.operators import catalogue, headers, pages
+from tallyspark.plans import catalog
 
 
 def grid(spark, *tables):
@@ -50,6 +51,16 @@ def test_regions_and_sheets(spark):
     assert sorted((r.table_idx, r.row_idx) for r in headers.sheet_rows(sheet).collect()) == [(0, 1), (0, 3), (1, 0), (1, 1)]
 
 
+def test_sheets_are_not_broadcast(spark, sf_dir):
+    """There are as many heads as sheets: no table of them goes through the driver."""
+    got = catalog.queries()["S6_live_columns"](spark, sf_dir)
+    assert got.collect() and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    sheet = grid(spark, [["", "", ""], ["a", "Image", ""], ["1", "", "x"]], [["Offer", "", "", ""], ["No", "Qty", "Image", "Note"], ["", "5", "", " "]])
+    assert sorted((r.table_idx, r.row_idx, r.cells) for r in headers.live_columns(sheet).collect()) == [
+        (0, 1, ["a", "Image", ""]), (0, 2, ["1", "", "x"]), (1, 1, ["Qty", "Image"]), (1, 2, ["5", ""]),
+    ]
+
+
 def test_rendered(spark):
     got = headers.rendered(grid(spark, [["a", "b|c"], ["<b>1</b>", "x"]])).first().markdown
     assert got == "| a | b\\|c |\n| --- | --- |\n| 1 | x |"
