@@ -40,6 +40,16 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Rows of a table that a task of a shuffle takes.
+ROWS = 100_000
+
+
+def _dealt(spark: SparkSession, d: str, name: str, *keys: str) -> DataFrame:
+    """A table by key, in as many partitions as its rows ask for, which Parquet's footers count: what a task holds does not grow with the table."""
+    df = _read(spark, d, name)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS)), *keys)
+
+
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as bill-of-quantities rows."""
     li = _read(spark, d, "lineitem")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import rules, text
 from tallyspark.operators import catalogue, costing, headers, items, layout, pages, tables
-from tallyspark.plans.catalog import _read, query
+from tallyspark.plans.catalog import _dealt, _read, query
 from tallyspark.sources import io
 
 
@@ -257,7 +257,7 @@ def w13(spark, d):
 SELECT doc_id, n * 3 AS img_id, coalesce(below, n) AS row_idx FROM x UNION ALL SELECT doc_id, n * 3 + 1, coalesce(below, n) FROM x UNION ALL SELECT doc_id, n * 3 + 2, n FROM x""",
 )
 def j5(spark, d):
-    r = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n")).distinct()
+    r = _dealt(spark, d, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("n")).distinct()
     boxes = r.select("doc_id", "page", F.col("n").alias("row_idx"), (F.col("n") * 100).alias("y0"), (F.col("n") * 100 + 60).alias("y1"))
     image = lambda k, y0, y1: F.struct((F.col("n") * 3 + k).alias("img_id"), (F.col("n") * 100 + y0).alias("y0"), (F.col("n") * 100 + y1).alias("y1"))
     images = r.select("doc_id", "page", F.inline(F.array(image(0, 50, 120), image(1, 72, 92), image(2, 62, 70))))
