@@ -341,7 +341,7 @@ _WORDS_SQL = "w AS (SELECT l_orderkey AS page, l_suppkey, (l_partkey % 200)::DOU
 
 
 def _words(spark, d, x):
-    return _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), "l_suppkey", x.cast("double").alias("x0"))
+    return _dealt(spark, d, "lineitem", "l_orderkey").select(F.col("l_orderkey").alias("page"), "l_suppkey", x.cast("double").alias("x0"))
 
 
 @query("W7_gap_columns", f"WITH {_WORDS_SQL} SELECT page, column_no, centre, words FROM cols")

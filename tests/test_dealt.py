@@ -6,7 +6,7 @@ import pytest
 
 from tallyspark.plans import catalog
 
-QUERIES = ["J5_overlapped"]
+QUERIES = ["J5_overlapped", "W7_gap_columns", "W8_nearest_column"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
