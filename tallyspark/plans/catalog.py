@@ -220,7 +220,7 @@ def u1(spark, d):
 
 def _markdown(spark, d):
     """One text per order: a header, a separator, a row per line item (every seventh with a blank cell), a closing line."""
-    li = _read(spark, d, "lineitem")
+    li = _dealt(spark, d, "lineitem", "l_orderkey")
     cell = F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_partkey").cast("string"))
     row = F.concat_ws("|", F.lit(""), F.col("l_linenumber").cast("string"), cell, F.floor("l_quantity").cast("string"), F.lit(""))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"]), "\n")

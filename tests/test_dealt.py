@@ -6,7 +6,7 @@ import pytest
 
 from tallyspark.plans import catalog
 
-QUERIES = ["J5_overlapped", "W7_gap_columns", "W8_nearest_column"]
+QUERIES = ["J5_overlapped", "W7_gap_columns", "W8_nearest_column", "S2_markdown", "A10_quality", "U5_distinct_tables", "A14_counts", "T6_best_table", "A1_cell_subtotal"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
