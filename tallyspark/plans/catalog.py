@@ -40,14 +40,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-#: Rows of a table that a task of a shuffle takes.
-ROWS = 100_000
+#: Rows of a table that a task of a shuffle takes, and rows of ``part`` that a task makes pages of: the file is small, so that few tasks would read it, but its pages take long.
+ROWS, PAGES = 100_000, 10_000
 
 
-def _dealt(spark: SparkSession, d: str, name: str, *keys: str) -> DataFrame:
+def _dealt(spark: SparkSession, d: str, name: str, *keys: str, rows: int | None = None) -> DataFrame:
     """A table by key, in as many partitions as its rows ask for, which Parquet's footers count: what a task holds does not grow with the table."""
     df = _read(spark, d, name)
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // ROWS)), *keys)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // (rows or ROWS))), *keys)
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules
 from tallyspark.functions.text import any_of
 from tallyspark.operators import crawl, dom
+from tallyspark.plans import catalog
 from tallyspark.plans.catalog import _PLACED_SQL, _TARGET_SQL, _clean_sql, _read, _strip_sql, query
 from tallyspark.sources import html
 
@@ -20,7 +21,7 @@ def _text(*parts):
 def _page(spark, d, *parts):
     """Pages made of expressions, literal texts and columns of ``part`` (``$name``)."""
     text = _text(*parts)
-    return _read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit(f"{_ROOT}/en/").alias("url"), text.alias("html"))
+    return catalog._dealt(spark, d, "part", "p_partkey", rows=catalog.PAGES).select(F.col("p_partkey").alias("page_id"), F.lit(f"{_ROOT}/en/").alias("url"), text.alias("html"))
 
 
 @query(

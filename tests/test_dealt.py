@@ -16,3 +16,15 @@ def test_partitions_follow_rows(spark, sf_dir, monkeypatch, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     n = math.ceil(rows / 500)
     assert n > 4 and f", {n})" in plan and "hashpartitioning(l_orderkey" in plan
+
+
+PAGES = ["X20_container_products", "X24_classed_features", "X21_menu_tree", "X28_collection_counts", "X26_links_or_containers"]
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_are_spread(spark, sf_dir, monkeypatch, name):
+    """The file of ``part`` is small, the pages made from it take long: not one task makes them all."""
+    monkeypatch.setattr(catalog, "PAGES", 20)
+    n = math.ceil(spark.read.parquet(f"{sf_dir}/part.parquet").count() / 20)
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert n > 4 and "hashpartitioning(p_partkey" in plan and f", {n})" in plan
