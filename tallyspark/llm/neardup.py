@@ -1,4 +1,4 @@
-"""Near-duplicate texts by Jaccard similarity of word shingles: MinHash bands give candidates, the exact similarity decides."""
+"""Near-duplicate texts by Jaccard similarity of word shingles: SimHash fingerprints decoded by the Golay code, then MinHash bands for pairs further apart, give candidates; the exact similarity decides."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import free_name, hashable, lower_ascii, slices, wide_hash, written
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.simhash import shingle_hashes
+from tallyspark.llm.simhash import links as golay_links
+from tallyspark.llm.simhash import majority, shingle_hashes
 
 #: The contract of stages without one of their own.
 N_WORDS = 5
@@ -48,7 +49,7 @@ def bands(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, n_words: int) -> DataFrame:
-    """(node, key, size, bands) of rows (node, key, data): how many different shingles a text has, and its band values (none without words)."""
+    """(node, key, size, fp, bands) of rows (node, key, data): how many different shingles a text has, its SimHash fingerprint, and its band values (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "data"):
@@ -60,9 +61,19 @@ def _signed(rows: DataFrame, n_words: int) -> DataFrame:
             ends = np.cumsum(np.where(full, BANDS, 0))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values.ravel()))
             size = pa.array([len(set(r)) for r in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("key"), size, lists], ["node", "key", "size", "bands"])
+            fp = pa.array(majority(flat, np.cumsum(n) - n, n).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("key"), size, fp, lists], ["node", "key", "size", "fp", "bands"])
 
-    return rows.mapInArrow(run, "node binary, key binary, size int, bands array<long>")
+    return rows.mapInArrow(run, "node binary, key binary, size int, fp long, bands array<long>")
+
+
+def _close(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) among ``nodes`` (node, fp): each with the smallest node of its fingerprint, and the smallest nodes of fingerprints that differ in three bits at most."""
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = nodes.join(heads, "fp").where("node <> head").select(*_ordered(F.col("head"), F.col("node")))
+    x, y = (heads.select(F.col("fp").alias(fp), F.col("head").alias(head)) for fp, head in (("a", "x"), ("b", "y")))
+    near = golay_links(heads.select("fp")).distinct().join(x, "a").join(y, "b").select(*_ordered(F.col("x"), F.col("y")))
+    return equal.unionByName(near)
 
 
 def _sets(rows: DataFrame, n_words: int) -> DataFrame:
@@ -194,7 +205,7 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
     are told apart by 128 bits of all their columns, and rows that are equal in all are one. Null and empty texts are texts without words; an empty table gives no
     rows. A very long text is one row wherever it goes. Columns may have any name and type.
 
-    First each node of a band's bucket is compared with one node of the bucket's largest component, another in each band and round, as
+    The nodes that SimHash finds close (``_close``) are compared first. Then each node of a band's bucket is compared with one node of the bucket's largest component, another in each band and round, as
     long as a round joins many. Then, in buckets that still hold several components, all pairs of different components are compared, those of
     large buckets in blocks inside tasks: no pair that shares a band and would join two components is left out, and the rows
     that leave a group of copies grow with its members, not with its pairs.
@@ -206,23 +217,25 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
     ids = keyed.select(F.col(own).alias("key"), F.col(f"`{doc_id}`").alias("id"), node_of(F.col(f"`{text}`")).alias("node"))
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
     first = written(ids.groupBy("node").agg(F.min(rank).alias("first")))
-    nodes = written(_signed(rows, n_words).groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = written(_signed(rows, n_words).groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     members = written(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")).select("node", "size", F.xxhash64("band", "value").alias("bucket")))
 
     several = members.groupBy("bucket").count().where("count > 1").select("bucket")
     held = written(members.join(several, "bucket", "left_semi"))
-    whose = first.join(held.select("node").distinct(), "node", "left_semi").select(F.col("first.key").alias("key"))
+    close = written(_close(nodes.where("size > 0").select("node", "fp")))
+    compared = held.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    whose = first.join(compared, "node", "left_semi").select(F.col("first.key").alias("key"))
     sets = written(_sets(rows.join(whose, "key", "left_semi").select("node", "data"), n_words).dropDuplicates(["node"]))
 
-    members, links, roots, before, turn = held.withColumn("root", F.col("node")), [], None, 0, 0
+    links, before, turn = [written(_alike(close, sets, least))], 0, 0
     while True:
+        roots = connected_components(reduce(DataFrame.unionByName, links))
+        members = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         outside = written(_outside(members, turn))
         n = outside.count()
-        if links and n > WORTH * before or not n:
+        if turn and n > WORTH * before or not n:
             break
         links.append(written(_alike(outside.select(*_ordered(F.col("head"), F.col("node"))).distinct(), sets, least)))
-        roots = connected_components(reduce(DataFrame.unionByName, links))
-        members = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         before, turn = n, turn + 1
     if n:
         left = members.join(outside.select("bucket").distinct(), "bucket", "left_semi")
@@ -233,8 +246,6 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
         large = outside.where(F.col("n") > FEW)
         links.append(written(_alike(pairs, sets, least).unionByName(_alike_in_blocks(large, left, sets, least))))
         roots = connected_components(reduce(DataFrame.unionByName, links))
-    if roots is None:
-        roots = first.select("node", F.col("node").alias("root"))
     groups = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     stay = groups.select(F.col("first.key").alias(own))
     kept = keyed.join(stay, own, "left_semi")

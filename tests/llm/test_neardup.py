@@ -85,3 +85,16 @@ def test_ids_that_are_no_key(spark):
     check(spark, [(*r, "en", "a") for r in rows])
     check(spark, ROWS)
     assert corpus_pipeline.drop_near_duplicates(spark, documents(spark, []).where("false"), "").count() == 0
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """Candidates of the Golay-decoded fingerprints are part of the stage; the exact similarity decides on them too."""
+    rows = [(bytes([i]), fp) for i, fp in enumerate([0, 0, 0b111, 0b1111, -1])]
+    pairs = neardup._close(spark.createDataFrame(rows, "node binary, fp long")).distinct().collect()
+    assert sorted((r.a[0], r.b[0]) for r in pairs) == [(0, 1), (0, 2), (2, 3)]
+    asked, decode = [], neardup.golay_links
+    monkeypatch.setattr(neardup, "golay_links", lambda fps: asked.append(fps.columns) or decode(fps))
+    rng = np.random.default_rng(10)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    check(spark, [(no, " ".join(edited(rng, base, n)), "en", "a") for no, n in enumerate((0, 1, 2, 40, 41))])
+    assert asked == [["fp"]]
