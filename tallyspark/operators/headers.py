@@ -76,12 +76,18 @@ def is_data(cells) -> Column:
 def detected_header(grid: DataFrame) -> DataFrame:
     """P5: (doc_id, table_idx, header_row): of the first two rows the first that is no data and has role words (two in
     tables of two rows or fewer), else the second if it is no data, else row 0."""
-    roles = F.size(F.array_compact(F.transform("cells", role)))
-    rows = grid.withColumns({"_n": F.count("*").over(Window.partitionBy(*TABLE)), "_roles": roles, "_plain": ~is_data(F.col("cells"))})
-    good = F.col("_plain") & (F.col("_roles") >= F.when(F.col("_n") <= 2, 2).otherwise(1))
-    top = rows.where("row_idx <= 1")
-    order = F.when(good, F.col("row_idx")).when((F.col("row_idx") == 1) & F.col("_plain"), 2).when(F.col("row_idx") == 0, 3).otherwise(4)
-    return top.groupBy(*TABLE).agg(F.min_by("row_idx", order).alias("header_row"))
+    # only the first two rows are read: the others are counted, in the same pass
+    top = F.col("row_idx") <= 1
+    read = F.when(top, F.struct(F.size(F.array_compact(F.transform("cells", role))).alias("roles"), (~is_data(F.col("cells"))).alias("plain")))
+    rows = grid.select(*TABLE, "row_idx", read.alias("_r"))
+
+    def first(fewest: int) -> Column:
+        good = F.col("_r.plain") & (F.col("_r.roles") >= fewest)
+        order = F.when(good, F.col("row_idx")).when((F.col("row_idx") == 1) & F.col("_r.plain"), 2).when(F.col("row_idx") == 0, 3).otherwise(4)
+        return F.min_by("row_idx", F.when(top, order))
+
+    found = rows.groupBy(*TABLE).agg(F.count("*").alias("_n"), F.count_if(top).alias("_top"), first(1).alias("_one"), first(2).alias("_two"))
+    return found.where("_top > 0").select(*TABLE, F.when(F.col("_n") <= 2, F.col("_two")).otherwise(F.col("_one")).alias("header_row"))
 
 
 def _first_of_each(headers) -> tuple[Column, Column]:
@@ -109,8 +115,10 @@ def aligned_cells(headers, cells) -> Column:
 
 def is_non_table_row(text: Column, phrases: list[str] = rules.NON_TABLE) -> Column:
     """P10: a phrase from outside tables, or fewer than two words."""
+    # plain searches and a pattern that ends at the second word: an alternation of all phrases is tried at every place of a long text
     low = F.lower(text)
-    return low.rlike("|".join([any_of(phrases), *rules.NON_TABLE_PATTERNS])) | (F.regexp_count(text, F.lit(r"[^ \t\r\n]+")) < 2)
+    outside = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
+    return ~text.rlike(r"[^ \t\r\n][ \t\r\n]+[^ \t\r\n]") | outside | low.rlike("|".join(rules.NON_TABLE_PATTERNS))
 
 
 def has_table_content(text: Column, phrases: list[str] = rules.NON_TABLE_PAGE) -> Column:

@@ -107,3 +107,11 @@ def test_catalogue(spark, tmp_path):
     assert spark.range(1).select(image.alias("i")).first().i == "x/b.png"
     none = spark.createDataFrame([], "brand string, category string, products int, needs_script boolean")
     assert catalogue.refetch(none).count() == 0
+
+
+def test_light_plans(spark, sf_dir):
+    """P5 sorts no table, it counts rows; P10 counts no words, it looks for a second one."""
+    plan = lambda name: catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" in plan("P5_detected_header") and "count(1) windowspecdefinition" not in plan("P5_detected_header")
+    assert "regexp_count" not in plan("P10_non_table").lower() and "regexp_extract_all" not in plan("P10_non_table").lower()
+    assert values(spark, headers.is_non_table_row, [None, "oak\ndesk", " oak "]) == [None, False, True]
