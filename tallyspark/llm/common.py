@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -56,11 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def run_once(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here are not run again from their shuffles: Spark deletes these as a job ends, not when the driver's memory happens to be collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, which survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with run_once(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

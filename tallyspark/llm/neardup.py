@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import free_name, hashable, lower_ascii, slices, wide_hash, written
+from tallyspark.llm.common import forget, free_name, hashable, lower_ascii, slices, wide_hash, written
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.simhash import links as golay_links
 from tallyspark.llm.simhash import majority, shingle_hashes
@@ -218,14 +218,15 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
     first = written(ids.groupBy("node").agg(F.min(rank).alias("first")))
     nodes = written(_signed(rows, n_words).groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    members = written(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")).select("node", "size", F.xxhash64("band", "value").alias("bucket")))
+    every = written(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")).select("node", "size", F.xxhash64("band", "value").alias("bucket")))
 
-    several = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    held = written(members.join(several, "bucket", "left_semi"))
+    several = every.groupBy("bucket").count().where("count > 1").select("bucket")
+    held = written(every.join(several, "bucket", "left_semi"))
     close = written(_close(nodes.where("size > 0").select("node", "fp")))
     compared = held.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     whose = first.join(compared, "node", "left_semi").select(F.col("first.key").alias("key"))
     sets = written(_sets(rows.join(whose, "key", "left_semi").select("node", "data"), n_words).dropDuplicates(["node"]))
+    forget(nodes, every)
 
     links, before, turn = [written(_alike(close, sets, least))], 0, 0
     while True:
@@ -236,6 +237,7 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
         if turn and n > WORTH * before or not n:
             break
         links.append(written(_alike(outside.select(*_ordered(F.col("head"), F.col("node"))).distinct(), sets, least)))
+        forget(outside)
         before, turn = n, turn + 1
     if n:
         left = members.join(outside.select("bucket").distinct(), "bucket", "left_semi")
@@ -247,6 +249,7 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
         links.append(written(_alike(pairs, sets, least).unionByName(_alike_in_blocks(large, left, sets, least))))
         roots = connected_components(reduce(DataFrame.unionByName, links))
     groups = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
-    stay = groups.select(F.col("first.key").alias(own))
+    stay = written(groups.select(F.col("first.key").alias(own)))
+    forget(first, held, close, sets, outside, *links)
     kept = keyed.join(stay, own, "left_semi")
     return kept.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in names])
