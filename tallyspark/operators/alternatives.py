@@ -11,10 +11,15 @@ from tallyspark.functions.text import category, lead_time, round2
 TOP = 5
 
 
-def line_items(rows: DataFrame) -> DataFrame:
-    """X4 (typed part), P17, X5: rows with a description of five characters and a quantity or a rate, with their category."""
-    ok = (F.length("description") >= 5) & ((F.col("qty") > 0) | (F.col("unit_rate") > 0))
-    return rows.where(ok).withColumn("_c", category(F.col("description"))).select("*", "_c.category", "_c.subcategory").drop("_c")
+def categorised(rows: DataFrame) -> DataFrame:
+    """Rows with the category and subcategory of their description."""
+    return rows.withColumn("_c", category(F.col("description"))).select("*", "_c.category", "_c.subcategory").drop("_c")
+
+
+def line_items(rows: DataFrame, known: bool = False) -> DataFrame:
+    """X4 (typed part), P17, X5: rows with a description of five characters and a quantity or a rate, with their category, unless it is ``known``."""
+    items = rows.where((F.length("description") >= 5) & ((F.col("qty") > 0) | (F.col("unit_rate") > 0)))
+    return items if known else categorised(items)
 
 
 #: Rows of a table that is broadcast.
@@ -92,7 +97,7 @@ def alternatives(items: DataFrame, catalogue: DataFrame, tier: str) -> DataFrame
 def three_tiers(items: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
     """The best alternative's rate of each tier side by side; the lowest where rows repeat a key."""
     best = alternatives_of(items, catalogue, rules.TIERS, top=1).where("alt_rank = 1")
-    return best.groupBy(*keys).pivot("tier", rules.TIERS).agg(F.min("alt_rate"))
+    return best.groupBy(*keys).agg(*[F.min(F.when(F.col("tier") == t, F.col("alt_rate"))).alias(t) for t in rules.TIERS])
 
 
 def sheet(items: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

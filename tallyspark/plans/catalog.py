@@ -44,10 +44,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 ROWS, PAGES = 100_000, 10_000
 
 
+def _tasks(spark: SparkSession, d: str, name: str, rows: int | None = None) -> int:
+    """As many partitions as the rows of a table ask for, one a core at least; Parquet's footers count them."""
+    return max(spark.sparkContext.defaultParallelism, -(-_read(spark, d, name).count() // (rows or ROWS)))
+
+
 def _dealt(spark: SparkSession, d: str, name: str, *keys: str, rows: int | None = None) -> DataFrame:
     """A table by key, in as many partitions as its rows ask for, which Parquet's footers count: what a task holds does not grow with the table."""
-    df = _read(spark, d, name)
-    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // (rows or ROWS))), *keys)
+    return _read(spark, d, name).repartition(_tasks(spark, d, name, rows), *keys)
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +72,9 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    parts = _parts(spark, d).select(F.col("p_partkey").alias("l_partkey"), "description")
-    return alternatives.line_items(_rows(spark, d).join(parts, "l_partkey"))
+    # a description's category is found once per part, not once per row that has it
+    parts = alternatives.categorised(_parts(spark, d).select(F.col("p_partkey").alias("l_partkey"), "description"))
+    return alternatives.line_items(_rows(spark, d).join(parts, "l_partkey"), known=True)
 
 
 _R2 = "sign({0}) * floor(abs({0}) * 1e2 + 0.5e0) / 1e2"
