@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
 from tallyspark.operators import costing, stitch, tables
-from tallyspark.plans.catalog import _FACTORS_SQL, FACTOR_ROWS, _read, query
+from tallyspark.plans.catalog import _FACTORS_SQL, FACTOR_ROWS, _dealt, _read, _tasks, query
 from tallyspark.sources import io
 
 HEAD = ["Si.No", "Item Description", "Qty", "Unit Rate", "Total"]
@@ -18,7 +18,7 @@ li AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey O
 
 
 def _lines(spark, d):
-    li = _read(spark, d, "lineitem")
+    li = _dealt(spark, d, "lineitem", "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100.0 + 0.5).cast("long")
     rate = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
@@ -30,8 +30,9 @@ def _lines(spark, d):
 
 def _grid(spark, d):
     """The orders as documents of several pages: a third each as markdown, as HTML, and as HTML in the blocks of a layout answer. Every page has the header
-    again; HTML pages have a section's title below it, and HTML documents end with a row of totals."""
-    rows = _lines(spark, d)
+    again; HTML pages have a section's title below it, and HTML documents end with a row of totals. Pages and the rows of their tables are dealt
+    into partitions that follow the rows: they are small, so that few tasks would take them, but texts and patterns take long."""
+    rows, tasks = _lines(spark, d), _tasks(spark, d, "lineitem")
     kind = F.col("doc_id") % 3
     page = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("rn", "cells"))).alias("r"), F.max("last").alias("last"))
     page = page.select((F.col("doc_id") * 1000 + F.col("page")).alias("key"), kind.alias("kind"), "last", F.transform("r", lambda x: x["cells"]).alias("r"))
@@ -41,13 +42,13 @@ def _grid(spark, d):
     tr = lambda cells, tag="td": F.concat(F.lit(f"<tr><{tag}>"), F.array_join(cells, f"</{tag}><{tag}>"), F.lit(f"</{tag}></tr>"))
     total = F.when(F.col("last"), tr(F.array(*map(F.lit, ["", "Total", "", "", "12.00"])))).otherwise("")
     html = F.concat(F.lit("<table>"), tr(head, "th"), F.when(F.col("kind") == 1, "<tr><td>ZONE A</td></tr><tr><td> </td></tr>").otherwise(""), F.array_join(F.transform("r", lambda cells: tr(cells)), ""), total, F.lit("</table>"))
-    docs = page.select(F.col("key").alias("doc_id"), "kind", markdown.alias("md"), html.alias("html"))
+    docs = page.select(F.col("key").alias("doc_id"), "kind", markdown.alias("md"), html.alias("html")).repartition(tasks, "doc_id")
     answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("table").alias("block_label"), F.col("html").alias("block_content"))).alias("parsing_res_list")).alias("prunedResult"))).alias(io.PAGE_KEYS[0])))
     blocks = io.layout_blocks(docs.where("kind = 2").select("doc_id", answer.alias("json"))).where("is_table").select("doc_id", F.col("content").alias("html"))
     cells = ["doc_id", "table_idx", "row_idx", "cells"]
     parts = [tables.markdown_grid(docs.where("kind = 0")), tables.html_grid(docs.where("kind = 1")), tables.html_grid(blocks)]
     grid = parts[0].select(*cells).unionByName(parts[1].select(*cells)).unionByName(parts[2].select(*cells))
-    return grid.select(F.floor(F.col("doc_id") / 1000).alias("doc_id"), (F.col("doc_id") % 1000).alias("page"), "table_idx", "row_idx", "cells")
+    return grid.select(F.floor(F.col("doc_id") / 1000).alias("doc_id"), (F.col("doc_id") % 1000).alias("page"), "table_idx", "row_idx", "cells").repartition(tasks, "doc_id")
 
 
 _MONEY = "(c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0')"
