@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import strip_tags
 from tallyspark.operators import crawl, pages
-from tallyspark.plans.catalog import _ANCHOR_SQL, _read, _strip_sql, query
+from tallyspark.plans.catalog import _ANCHOR_SQL, _dealt, _read, _strip_sql, query
 
 
 @query(
@@ -43,7 +43,7 @@ def r5(spark, d):
     "SELECT l_orderkey AS doc_id, 100::DOUBLE AS header_y, 95::DOUBLE AS top, max(120 + 20 * l_linenumber)::DOUBLE AS bottom, 10::DOUBLE AS left, 320::DOUBLE AS right FROM lineitem GROUP BY 1 HAVING 3 * count(*) + 2 >= 10",
 )
 def w14(spark, d):
-    li = _read(spark, d, "lineitem")
+    li = _dealt(spark, d, "lineitem", "l_orderkey")
     word = lambda x0, x1, top, text: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), top.cast("double").alias("top"), text.cast("string").alias("text"))
     y = F.col("l_linenumber") * 20 + 100
     row = li.select(F.col("l_orderkey").alias("doc_id"), F.inline(F.array(word(30.0, 40.0, y, F.col("l_linenumber")), word(80.0, 160.0, y, F.lit("oak")), word(200.0, 220.0, y, F.floor("l_quantity")))))
