@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -28,6 +29,11 @@ _RUNS = "(?: [{0}]|[{0}] )".format(r"\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\
 _PARTS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?\n])|(?<=\S\n)(?=\S)")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Whole texts to token ids. Byte-level BPE never merges over a single space between two other
     characters, so texts are cut there and each piece is encoded once as long as it is remembered."""
@@ -45,15 +51,24 @@ class Encoder:
         if len(self.young) > self.remember:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = [p for p in dict.fromkeys(pieces) if p not in young]
-        young.update((p, old[p]) for p in new if p in old)
-        cut = {p: _PARTS.split(p) for p in new if p not in young}
-        new = [q for q in dict.fromkeys(q for parts in cut.values() for q in parts) if q not in young]
+        new, cut = [], {}
+        for p in pieces:
+            if p in young:
+                continue
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+            elif p[1:].isalnum() or len(parts := _PARTS.split(p)) == 1:  # letters and digits alone have no place to cut
+                new.append(p)
+            else:
+                cut[p] = parts
+                new += [q for q in parts if q not in young]
+        new = list(dict.fromkeys(new))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            young.update((q, np.array(x.ids, "<u4").tobytes()) for q, x in zip(part, found, strict=True))
-        young.update((p, b"".join([young[q] for q in parts])) for p, parts in cut.items() if len(parts) > 1)
+            young.update(zip(part, [_bytes(x.ids) for x in found], strict=True))
+        for p, parts in cut.items():
+            young[p] = b"".join([young[q] for q in parts])
         return [young[p] for p in pieces]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
