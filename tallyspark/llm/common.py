@@ -86,6 +86,12 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """For joins of tables that grow with the corpus: both sides are sorted, none is broadcast. Spark takes a table for smaller than it is after an explode or a
+    Python function that returns more rows than it gets, and where files are compressed; what it then broadcasts does not fit the driver."""
+    return df.hint("merge")
+
+
 def free_name(taken: Iterable[str], name: str) -> str:
     """``name``, with as many ``_`` at its end as it takes to be none of ``taken`` (in any case)."""
     low = {c.lower() for c in taken}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import run_once, shared_dir
+from tallyspark.llm.common import run_once, shared_dir, unbroadcast
 
 #: Edges of a task: few edges go to few tasks (as many as there are cores at least), however many partitions a shuffle has, so that rounds leave few files.
 EDGES = 100_000
@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             # large star: every larger neighbour of u moves to the smallest node around u
             both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-            large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b").coalesce(tasks).distinct().coalesce(tasks)
+            large = both.where("b > a").join(unbroadcast(least), "a").where("b <> m").select(F.col("m").alias("a"), "b").coalesce(tasks).distinct().coalesce(tasks)
             # small star: u and its smaller neighbours move to the smallest of them
             least = large.groupBy("b").agg(F.min("a").alias("m"))
-            moved = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+            moved = large.join(unbroadcast(least), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
             now = moved.unionByName(least.select(F.col("m").alias("a"), "b")).coalesce(tasks).distinct().coalesce(tasks).checkpoint()
             mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
             if mark == seen:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, split_words, written
+from tallyspark.llm.common import slices, split_words, unbroadcast, written
 from tallyspark.llm.components import connected_components
 
 #: Bits of the three fingerprint segments, lowest first; each fits the 23-bit code.
@@ -147,7 +147,7 @@ def links(fps: DataFrame, column: str = "fp") -> DataFrame:
 
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     x, y = side(0, "a"), side(1, "b")
-    return x.join(y, (x["key"] == y["key"]) & close).select("a", "b")
+    return x.join(unbroadcast(y), (x["key"] == y["key"]) & close).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 3, text: str = "text") -> DataFrame:
@@ -160,10 +160,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, text: str = "text") -> Da
     rows = written(fingerprints(docs, n_words, text))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(links(nodes))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    nodes = nodes.join(unbroadcast(roots), nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     groups = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(groups, "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = nodes.join(unbroadcast(groups), "root").select("fp", "component_id")
+    return rows.join(unbroadcast(named), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_golay(spark, sf_dir) -> DataFrame:

@@ -4,6 +4,7 @@ from llm_cases import ROWS, documents
 from pyspark.sql import functions as F
 
 from tallyspark.llm import simhash
+from tallyspark.llm.common import written
 
 
 def brute_fp(text):
@@ -80,3 +81,12 @@ def test_whole_table(spark, sf_dir):
     out = simhash.op5_simhash_golay(spark, sf_dir)
     assert out.columns == ["doc_id", "fingerprint", "component_id"]
     check([tuple(r) for r in docs.select("doc_id", "text").collect()], out.withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")))
+
+
+def test_no_side_of_the_links_is_broadcast(spark):
+    """A fingerprint has some 60 keys, but Spark sizes them by the small table they come from: a broadcast of them fills the driver."""
+    nodes = written(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = simhash.near_duplicates(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
