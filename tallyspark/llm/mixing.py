@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WORD, shuffle_partitions, written
+from tallyspark.llm.common import WORD, shuffle_partitions, unbroadcast, written
 
 #: Weights of the sources in order, repeating; copies of a document at most.
 WEIGHTS = (5, 2, 1)
@@ -136,10 +136,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
 
     chosen = lengths.select("_s", "size", "_n").join(goals, "_s").groupBy("_s").applyInPandas(choose, "_s string, size long, source_size long, target double, _rounds long, _extra long")
     before = F.sum("_n").over(Window.partitionBy("_s", "size").orderBy("_g")) - F.col("_n")
-    shares = groups.select("_s", "size", "_g", "_n").join(chosen, ["_s", "size"]).withColumn("_left", F.col("_extra") - before).drop("_n", "_extra")
+    shares = groups.select("_s", "size", "_g", "_n").join(unbroadcast(chosen), ["_s", "size"]).withColumn("_left", F.col("_extra") - before).drop("_n", "_extra")
     rank = F.row_number().over(Window.partitionBy("_s", "size", "_g").orderBy("_h", "doc_id"))
     copies = (F.col("_rounds") + (rank <= F.col("_left")).cast("long")).alias("copies")
-    return rows.join(shares, ["_s", "size", "_g"]).select("doc_id", "source", "size", "source_size", "target", copies, "carried")
+    return rows.join(unbroadcast(shares), ["_s", "size", "_g"]).select("doc_id", "source", "size", "source_size", "target", copies, "carried")
 
 
 def op2_subset_sum_mixing(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import forget, free_name, hashable, lower_ascii, slices, wide_hash, written
+from tallyspark.llm.common import forget, free_name, hashable, lower_ascii, slices, unbroadcast, wide_hash, written
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.simhash import links as golay_links
 from tallyspark.llm.simhash import majority, shingle_hashes
@@ -26,6 +26,8 @@ _TIMES = _RNG.integers(0, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) | np.uint6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Buckets of up to this many texts give their pairs as rows; larger ones are compared in blocks of about so many shingles a side.
 FEW, BLOCK = 32, 1 << 16
+#: Pairs of nodes that are broadcast at once, some 100 bytes each in the driver.
+SENT = 20_000
 #: Another round of heads is worth its jobs while it leaves at most this share of the texts outside.
 WORTH = 0.5
 
@@ -70,9 +72,9 @@ def _signed(rows: DataFrame, n_words: int) -> DataFrame:
 def _close(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b) among ``nodes`` (node, fp): each with the smallest node of its fingerprint, and the smallest nodes of fingerprints that differ in three bits at most."""
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    equal = nodes.join(heads, "fp").where("node <> head").select(*_ordered(F.col("head"), F.col("node")))
+    equal = nodes.join(unbroadcast(heads), "fp").where("node <> head").select(*_ordered(F.col("head"), F.col("node")))
     x, y = (heads.select(F.col("fp").alias(fp), F.col("head").alias(head)) for fp, head in (("a", "x"), ("b", "y")))
-    near = golay_links(heads.select("fp")).distinct().join(x, "a").join(y, "b").select(*_ordered(F.col("x"), F.col("y")))
+    near = golay_links(heads.select("fp")).distinct().join(unbroadcast(x), "a").join(unbroadcast(y), "b").select(*_ordered(F.col("x"), F.col("y")))
     return equal.unionByName(near)
 
 
@@ -87,8 +89,8 @@ def _sets(rows: DataFrame, n_words: int) -> DataFrame:
     return rows.mapInArrow(run, "node binary, grams binary")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose exact similarity is ``least`` or more."""
+def _alike(pairs: DataFrame, sets: DataFrame, least: float, n: int | None = None) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose exact similarity is ``least`` or more. Up to SENT of them (``n``, where it is known) go to the sets, else these are sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +106,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    pairs = F.broadcast(pairs) if n is not None and n <= SENT else unbroadcast(pairs)
+    return pairs.join(x, "a").join(unbroadcast(y), "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -221,35 +224,35 @@ def one_per_group(docs: DataFrame, n_words: int = N_WORDS, least: float = LEAST,
     every = written(nodes.select("node", "size", F.posexplode("bands").alias("band", "value")).select("node", "size", F.xxhash64("band", "value").alias("bucket")))
 
     several = every.groupBy("bucket").count().where("count > 1").select("bucket")
-    held = written(every.join(several, "bucket", "left_semi"))
+    held = written(every.join(unbroadcast(several), "bucket", "left_semi"))
     close = written(_close(nodes.where("size > 0").select("node", "fp")))
     compared = held.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    whose = first.join(compared, "node", "left_semi").select(F.col("first.key").alias("key"))
-    sets = written(_sets(rows.join(whose, "key", "left_semi").select("node", "data"), n_words).dropDuplicates(["node"]))
+    whose = first.join(unbroadcast(compared), "node", "left_semi").select(F.col("first.key").alias("key"))
+    sets = written(_sets(rows.join(unbroadcast(whose), "key", "left_semi").select("node", "data"), n_words).dropDuplicates(["node"]))
     forget(nodes, every)
 
-    links, before, turn = [written(_alike(close, sets, least))], 0, 0
+    links, before, turn = [written(_alike(close, sets, least, close.count()))], 0, 0
     while True:
         roots = connected_components(reduce(DataFrame.unionByName, links))
-        members = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = held.join(unbroadcast(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         outside = written(_outside(members, turn))
         n = outside.count()
         if turn and n > WORTH * before or not n:
             break
-        links.append(written(_alike(outside.select(*_ordered(F.col("head"), F.col("node"))).distinct(), sets, least)))
+        links.append(written(_alike(outside.select(*_ordered(F.col("head"), F.col("node"))).distinct(), sets, least, n)))
         forget(outside)
         before, turn = n, turn + 1
     if n:
-        left = members.join(outside.select("bucket").distinct(), "bucket", "left_semi")
+        left = members.join(unbroadcast(outside.select("bucket").distinct()), "bucket", "left_semi")
         small = outside.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("n1"), F.col("size").alias("s1"), F.col("root").alias("r1"))
         others = left.select("bucket", F.col("node").alias("n2"), F.col("size").alias("s2"), F.col("root").alias("r2"))
         near = (F.col("s1") >= least * F.col("s2")) & (F.col("s2") >= least * F.col("s1"))  # else they cannot be similar enough
-        pairs = small.join(others, "bucket").where((F.col("r1") != F.col("r2")) & near).select(*_ordered(F.col("n1"), F.col("n2"))).distinct()
+        pairs = small.join(unbroadcast(others), "bucket").where((F.col("r1") != F.col("r2")) & near).select(*_ordered(F.col("n1"), F.col("n2"))).distinct()
         large = outside.where(F.col("n") > FEW)
         links.append(written(_alike(pairs, sets, least).unionByName(_alike_in_blocks(large, left, sets, least))))
         roots = connected_components(reduce(DataFrame.unionByName, links))
-    groups = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
+    groups = first.join(unbroadcast(roots), "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
     stay = written(groups.select(F.col("first.key").alias(own)))
     forget(first, held, close, sets, outside, *links)
-    kept = keyed.join(stay, own, "left_semi")
+    kept = keyed.join(unbroadcast(stay), own, "left_semi")
     return kept.dropDuplicates([own]).select(*[F.col(f"`{c}`") for c in names])

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, written
+from tallyspark.llm.common import slices, unbroadcast, written
 
 CAPACITY = 2048
 #: Rows of one length are numbered in so many separate groups.
@@ -218,7 +218,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = lengths << 44 | first
     before = groups.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_g")) - F.col("_n")).drop("_n")
     in_group = F.row_number().over(Window.partitionBy("length", "_g").orderBy(*names))
-    ranked = rows.join(before, ["length", "_g"]).select(*names, (F.col("_before") + in_group - 1).alias("_rank"))
+    ranked = rows.join(unbroadcast(before), ["length", "_g"]).select(*names, (F.col("_before") + in_group - 1).alias("_rank"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

@@ -4,7 +4,8 @@ import corpus_pipeline
 import numpy as np
 from llm_cases import ROWS, documents
 
-from tallyspark.llm import neardup
+from tallyspark.llm import mixing, neardup, packing
+from tallyspark.llm.common import written
 
 
 def shingles(text):
@@ -98,3 +99,17 @@ def test_simhash_comes_first(spark, monkeypatch):
     base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
     check(spark, [(no, " ".join(edited(rng, base, n)), "en", "a") for no, n in enumerate((0, 1, 2, 40, 41))])
     assert asked == [["fp"]]
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Spark sizes exploded keys and compressed files too low; few pairs, counted, go to the sets."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nodes = written(spark.range(300).selectExpr("cast(cast(id as string) as binary) as node", "xxhash64(id) as fp", "cast('x' as binary) as grams"))
+    pairs = nodes.selectExpr("node as a", "node as b")
+    stages = [neardup._close(nodes), neardup._alike(pairs, nodes.select("node", "grams"), 0.8), neardup.one_per_group(documents(spark))]
+    for df in [*stages, packing.pack_documents(documents(spark))]:
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+    few = lambda n: "BroadcastHashJoin" in plan(neardup._alike(pairs, nodes.select("node", "grams"), 0.8, n))
+    assert few(neardup.SENT) and not few(neardup.SENT + 1)
+    kept = [line for line in plan(mixing.mixed(documents(spark))).split("\n") if "HashJoin" in line]
+    assert all("_g#" not in line and "size#" not in line for line in kept)
