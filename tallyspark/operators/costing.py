@@ -16,12 +16,25 @@ def scenarios(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return df.select("scenario_id", *[F.coalesce(F.col(f), F.lit(1.0 if f == "exchange_rate" else 0.0)).alias(f) for f in FACTORS])
 
 
+SHARES = ("freight", "customs", "installation", "net_margin", "additional")
+
+
+def share(f: str):
+    """A factor in percent as what a price is multiplied by."""
+    return 1 + F.col(f) / 100.0
+
+
+def under_factors(p, by=share):
+    """A price under the factors of its row; ``by`` gives what each stands for."""
+    value = p * F.col("exchange_rate")
+    for f in SHARES:
+        value = value * by(f)
+    return value
+
+
 def costed(p):
     """A price under the factors of its row, two decimals."""
-    value = p * F.col("exchange_rate")
-    for f in ("freight", "customs", "installation", "net_margin", "additional"):
-        value = value * (1 + F.col(f) / 100.0)
-    return round2(value)
+    return round2(under_factors(p))
 
 
 #: Scenarios that are broadcast.

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
-from tallyspark.functions.text import any_of, brand_in, category, image_sources, is_price_header, number, number_or_zero, round2, specifications, strip_tags
-from tallyspark.operators.costing import FACTORS, costed, under_scenarios
+from tallyspark.functions.text import any_of, brand_in, category, digits, image_sources, number, number_or_zero, round2, specifications, strip_tags
+from tallyspark.operators.costing import FACTORS, SHARES, share, under_factors, under_scenarios
 from tallyspark.operators.headers import hits, lowered
 
 _BLANK = "[\\s ​‌‍﻿]+"
@@ -98,22 +98,33 @@ def costed_rows(rows: DataFrame, factors: DataFrame) -> DataFrame:
 
     Cells are read as numbers, and columns found, once per row below the join; above it there is arithmetic, and each changed cell is written once.
     """
-    price = F.coalesce(F.transform("headers", is_price_header), F.array().cast("array<boolean>"))
-    read = rows.withColumns({
-        "_v": F.transform("cells", number),
-        "_p": F.transform("cells", lambda _, i: F.coalesce(F.get(price, i), F.lit(False))),
-        "_q": _last(_is_qty), "_r": _last(_is_rate), "_t": _last(_is_total),
-    })
-    out = under_scenarios(read, factors)
     once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    named = lambda h, words: reduce(Column.__or__, [F.contains(h, F.lit(w)) for w in words])
+
+    def kinds(header: Column, i: Column) -> Column:
+        """What ``is_price_header``, ``_is_qty``, ``_is_rate`` and ``_is_total`` find, in one look at a header and without patterns; positions for the last three."""
+
+        def of(h: Column) -> Column:
+            qty = named(h, ["qty", "quantity"])
+            rate = named(h, ["unit rate", "unit price"]) & ~qty
+            return F.struct(named(h, rules.PRICE_HEADERS).alias("p"), F.when(qty, i).alias("q"), F.when(rate, i).alias("r"), F.when(_is_total(h), i).alias("t"))
+
+        return once(F.lower(F.trim(F.coalesce(header, F.lit("")))), of)
+
+    # no lambda around the headers: what is put into one is worked out again for every cell
+    read = rows.withColumn("_k", F.coalesce(F.transform("headers", kinds), F.transform(F.array().cast("array<string>"), kinds)))
+    asked = F.zip_with("cells", "_k", lambda c, k: F.when(k["p"] | k["q"].isNotNull() | k["r"].isNotNull(), digits(c)))
+    value = F.transform(asked, lambda t: F.nullif(t, F.lit("")).try_cast("double"))
+    read = read.withColumns({"_v": value, "_p": F.col("_k.p"), **{f"_{k}": F.array_max(F.col(f"_k.{k}")) for k in "qrt"}}).drop("_k")
+    out = under_scenarios(read, factors.withColumns({f: share(f) for f in SHARES}))
     at = lambda new, k: F.coalesce(F.get(new, F.col(k)), F.get("_v", F.col(k)))
 
     def written(new: Column, total: Column) -> Column:
-        put = lambda c, i: F.coalesce(_two_decimals(F.when(i == F.col("_t"), F.coalesce(total, F.get(new, i))).otherwise(F.get(new, i))), c)
-        return F.transform("cells", put)
+        values = F.transform("cells", lambda _, i: F.when(i == F.col("_t"), F.coalesce(round2(total), F.get(new, i))).otherwise(F.get(new, i)))
+        return F.zip_with(values, "cells", lambda v, c: F.coalesce(_two_decimals(v), c))
 
-    new = F.zip_with("_v", "_p", lambda v, p: F.when(p & v.isNotNull(), costed(v)))
-    cells = once(new, lambda n: once(round2(at(n, "_q") * at(n, "_r")), lambda total: written(n, total)))
+    raw = F.zip_with("_v", "_p", lambda v, p: F.when(p & v.isNotNull(), under_factors(v, F.col)))  # rounded apart: a lambda works out each mention of a value
+    cells = once(F.transform(raw, round2), lambda n: once(at(n, "_q") * at(n, "_r"), lambda total: written(n, total)))
     return out.withColumn("cells", cells).drop("_v", "_p", "_q", "_r", "_t", *FACTORS)
 
 

@@ -23,3 +23,12 @@ def test_partitions_follow_rows(spark, sf_dir, monkeypatch, name):
 def test_categories_are_found_once_per_part(spark, sf_dir, name):
     lines = [line for line in plan_of(spark, sf_dir, name).split("\n") if "RLIKE" in line]
     assert lines and not any("l_orderkey" in line or "qty" in line for line in lines)
+
+
+def test_rows_are_chosen_below_the_scenarios(spark, sf_dir):
+    """Above them every row would be costed twice, once for the test of its number; and each third of the pages is made of its own lines only."""
+    plan = plan_of(spark, sf_dir, "X2_costed_tables")
+    assert not any("RLIKE" in line or "format_string" in line for line in plan.split("\n") if "NestedLoopJoin" in line)
+    lines = plan.split("\n")
+    scans = [k for k, line in enumerate(lines) if "FileScan" in line]
+    assert len(scans) == 3 and all("% 3) =" in lines[k - 1] for k in scans)

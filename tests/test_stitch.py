@@ -89,3 +89,14 @@ def test_submittal_items(spark):
     got = stitch.submittal_items(spark.createDataFrame(rows, "headers array<string>, cells array<string>").coalesce(1)).collect()
     assert [(r.description, r.qty, r.unit, r.brand, r.image, len(r.images)) for r in got] == [("Oak desk by knoll", "2", "pcs", "Knoll", "x.png", 1), ("lamp of glass", "3", None, "To be specified", "a.png", 2)]
     assert got[1].specifications == ["Materials: Glass"] and got[0].specifications == ["Oak desk by knoll"]
+
+
+def test_costing_of_odd_rows(spark):
+    """Headers that are shorter or longer than their rows, null or missing, and texts that are no number."""
+    heads = ["No", "Quantity", "Unit Price (QAR)", " TOTAL ", None]
+    rows = spark.createDataFrame(
+        [(1, 1, heads, ["1", "2 pcs", "QAR 10.005", "x"]), (1, 2, heads[:3], ["1", "2", "3", "4", "5"]), (1, 3, None, ["1", "2", "3"]), (1, 4, heads, ["1", "none", "-2.5", "7", "8"]), (1, 5, heads, ["1", None, "", None])],
+        "doc_id int, row_no int, headers array<string>, cells array<string>",
+    )
+    out = {r.row_no: r.cells for r in stitch.costed_rows(rows, costing.scenarios(spark, [("a", 10.0, None, 0.0, 0.0, 2.0, 0.0)])).collect()}
+    assert out == {1: ["1", "2 pcs", "22.01", "44.02"], 2: ["1", "2", "6.60", "4", "5"], 3: ["1", "2", "3"], 4: ["1", "none", "-5.50", "15.40", "8"], 5: ["1", None, "", None]}
